@@ -72,23 +72,24 @@ def price_ticks(price_points: DataFrame, candles: DataFrame) -> DataFrame:
 
 
 def odds_around(matched: DataFrame, ticks: DataFrame, start: str = "game_start", *,
-                before: int = PRE_DRAFT, after: int = POST_DRAFT,
+                before: int = PRE_DRAFT, after: int = POST_DRAFT, extra: list[str] = (),
                 rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Odds before and after the draft per market, both from one pass over the ticks.
 
-    The later price must come from the draft itself, not from before it.
+    The later price must come from the draft itself, not from before it. ``extra``
+    columns tell several starts of one market apart.
     """
     g = F.col(start)
     times = F.explode(F.array(
         F.struct(F.lit("pre").alias("kind"), (g - before).alias("at"), F.lit(None).cast("bigint").alias("floor")),
         F.struct(F.lit("post").alias("kind"), (g + after).alias("at"), (g - before).alias("floor"))))
-    probes = (matched.select(*KEY, times.alias("x"))
-              .select(*KEY, "x.kind", F.timestamp_seconds("x.at").alias("probe_ts"),
+    probes = (matched.select(*KEY, *extra, times.alias("x"))
+              .select(*KEY, *extra, "x.kind", F.timestamp_seconds("x.at").alias("probe_ts"),
                       F.timestamp_seconds("x.floor").alias("floor_ts")))
     oldest = F.coalesce(F.col("floor_ts"), F.timestamp_seconds(F.lit(-(2**40))))
     seen = asof_backward(probes, ticks, KEY, "probe_ts", "ts", ["p"], tie="resolution",
                          earliest=oldest, rows_per_segment=rows_per_segment)
-    return seen.groupBy(*KEY).agg(
+    return seen.groupBy(*KEY, *extra).agg(
         F.max(F.when(F.col("kind") == "pre", F.col("p"))).alias("pre_p"),
         F.max(F.when(F.col("kind") == "post", F.col("p"))).alias("post_p"))
 

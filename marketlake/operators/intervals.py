@@ -12,31 +12,31 @@ from .ordered import ROWS_PER_SEGMENT, find_cuts, neighbour
 BUCKET = 8 * 3600
 
 
-def transitions(polls: DataFrame, keys: list[str], time: str, active: str,
+def transitions(polls: DataFrame, keys: list[str], order: list[str], active: str,
                 rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Polls at which the state changes; failed (NULL) polls change nothing.
 
     Before its first poll a key counts as active.
     """
-    known = polls.filter(F.col(active).isNotNull()).select(*keys, time, active)
-    cuts = find_cuts(known, keys, time, rows_per_segment)
-    seen = neighbour(known, keys, [time], active, "__was", cuts=cuts)
+    known = polls.filter(F.col(active).isNotNull()).select(*keys, *order, active)
+    cuts = find_cuts(known, keys, order[0], rows_per_segment)
+    seen = neighbour(known, keys, order, active, "__was", cuts=cuts)
     return (seen.filter(F.col(active) != F.coalesce(F.col("__was"), F.lit(True)))
             .drop("__was"))
 
 
-def halts_from_status(polls: DataFrame, keys: list[str], time: str, active: str,
+def halts_from_status(polls: DataFrame, keys: list[str], order: list[str], active: str,
                       start: str = "start_ts", end: str = "end_ts",
                       rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Halt intervals: opened by an inactive poll, closed by the next active one.
 
-    A halt without a closing poll keeps a NULL end. ``time`` must be an integer
-    that does not repeat within a key.
+    A halt without a closing poll keeps a NULL end. ``order`` is an integer time and,
+    where times repeat within a key, a sequence.
     """
-    changes = transitions(polls, keys, time, active, rows_per_segment)
-    cuts = find_cuts(changes, keys, time, rows_per_segment)
-    paired = neighbour(changes, keys, [time], time, end, "next", cuts)
-    return paired.filter(~F.col(active)).select(*keys, F.col(time).alias(start), end)
+    changes = transitions(polls, keys, order, active, rows_per_segment)
+    cuts = find_cuts(changes, keys, order[0], rows_per_segment)
+    paired = neighbour(changes, keys, order, order[0], end, "next", cuts)
+    return paired.filter(~F.col(active)).select(*keys, F.col(order[0]).alias(start), end)
 
 
 def ongoing_start(outages: DataFrame, keys: list[str], start: str = "start_ts",

@@ -57,9 +57,10 @@ def change_only(df: DataFrame, keys: list[str], order: list[str], value: str,
             .drop("__prev", "__has"))
 
 
-def latest_per_key(df: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Values of the newest row per key."""
-    return df.groupBy(*keys).agg(*[F.max_by(v, time).alias(v) for v in values])
+    newest = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    return df.groupBy(*keys).agg(*[F.max_by(v, newest).alias(v) for v in values])
 
 
 def newest_trade_mark(trades: DataFrame, keys: list[str], time: str, mark: str = "last_trade_ts",
@@ -73,15 +74,16 @@ def newest_trade_mark(trades: DataFrame, keys: list[str], time: str, mark: str =
 
 
 def bucket_last(df: DataFrame, keys: list[str], time: str, width_seconds: int,
-                values: list[str], bucket: str = "bucket_ts") -> DataFrame:
+                values: list[str], bucket: str = "bucket_ts", seq: str | None = None) -> DataFrame:
     """Last values in each time bucket (bucket start in unix seconds).
 
-    ``time`` is in microseconds.
+    ``time`` is in microseconds; ``seq`` orders rows of one instant.
     """
+    order = F.struct(time, seq) if seq else F.col(time)
     width = width_seconds * 1_000_000
     start = F.floor(F.col(time) / width) * width_seconds
     return (df.withColumn(bucket, start.cast("bigint"))
-            .groupBy(*keys, bucket).agg(*[F.max_by(v, time).alias(v) for v in values]))
+            .groupBy(*keys, bucket).agg(*[F.max_by(v, order).alias(v) for v in values]))
 
 
 def series_choice(prices: DataFrame, mids: DataFrame, trades: DataFrame, keys: list[str],
