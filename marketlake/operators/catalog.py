@@ -43,18 +43,19 @@ def search_games(markets: DataFrame, terms: list[str], *, limit: int = 100,
             .limit(limit))
 
 
-def coverage(markets: DataFrame, series: dict[str, DataFrame],
-             keys: tuple[str, str] = ("platform", "market_id"), event: str = "event_id") -> DataFrame:
+def coverage(markets: DataFrame, series: dict[str, DataFrame], keys: list[str] | None = None,
+             event: list[str] | None = None) -> DataFrame:
     """Stored rows per event in each series table, over all markets of the event.
 
     Each table is counted per market first, so only counts are joined.
     """
-    k = list(keys)
-    members = markets.filter(F.col(event).isNotNull()).select(*k, event)
+    keys = keys or ["platform", "market_id"]
+    event = event or ["platform", "event_id"]
+    members = markets.filter(F.col(event[-1]).isNotNull()).select(*dict.fromkeys([*keys, *event]))
     for name, table in series.items():
-        counts = table.groupBy(*k).agg(F.count(F.lit(1)).alias(name))
-        members = members.join(counts, k, "left")
-    return (members.groupBy(k[0], event)
+        counts = table.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        members = members.join(counts, keys, "left")
+    return (members.groupBy(*event)
             .agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in series]))
 
 

@@ -33,13 +33,18 @@ pairs AS (
 """
 
 
+def _views(t):
+    """Views as ticks. Ties prefer the smallest value, so the later event is negated."""
+    return t.events("view").select("user_id", F.col("t").alias("tick_t"), "value",
+                                   (-F.col("event_id")).alias("tie"))
+
+
 def calibration_sample(t):
     """(platform, p, y) of each purchase: the user's last viewed price and the purchase's outcome."""
     probes = t.events("purchase").select(
         "user_id", "event_id", "t",
         F.when(F.get_json_object("props", "$.k").cast("bigint") < 50, 1).otherwise(0).alias("y"))
-    ticks = t.events("view").select("user_id", F.col("t").alias("tick_t"), "value")
-    found = asof_backward(probes, ticks, ["user_id"], "t", "tick_t", ["value"])
+    found = asof_backward(probes, _views(t), ["user_id"], "t", "tick_t", ["value"], tie="tie")
     return (found.filter(F.col("value").isNotNull())
             .select((F.col("user_id") % 2).alias("platform"), (F.col("value") / 500).alias("p"), "y"))
 
@@ -73,8 +78,7 @@ ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
 
 def _asof(t, **kw):
     probes = t.events("purchase").select("user_id", "event_id", "t")
-    ticks = t.events("view").select("user_id", F.col("t").alias("tick_t"), "value")
-    return (asof_backward(probes, ticks, ["user_id"], "t", "tick_t", ["value"], at="tick_us", **kw)
+    return (asof_backward(probes, _views(t), ["user_id"], "t", "tick_t", ["value"], at="tick_us", tie="tie", **kw)
             .select("user_id", "event_id", "value", "tick_us"))
 
 
