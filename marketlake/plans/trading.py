@@ -475,7 +475,7 @@ def ticker_trades(t):
 SELECT CAST(l_partkey AS VARCHAR) AS market_id, CAST(epoch(l_shipdate) AS BIGINT) AS ts,
        CASE WHEN l_returnflag = 'A' THEN l_discount ELSE CAST(round(l_tax * 100) AS DOUBLE) / 100 END AS open,
        CASE WHEN l_returnflag = 'A' THEN l_discount WHEN l_returnflag = 'R' THEN CAST(round(l_tax * 100) AS DOUBLE) / 100
-       END AS close, l_quantity AS volume, 0.0 AS open_interest FROM lineitem""")
+       END AS close, l_quantity AS volume, CAST(0 AS DOUBLE) AS open_interest FROM lineitem""")
 def raw_candles(t):
     """Order lines as raw candle documents: trade prices, else the bid; null dollar keys pass on."""
     flag, cents = F.col("l_returnflag"), F.round(F.col("l_tax") * 100).cast("int")
@@ -552,25 +552,33 @@ def token_markets(t):
             .select("market_id", "event_id", "outcome", "game_start_ts", "status"))
 
 
-_TICKER_SQL = """'KX-' || strftime(o_orderdate, '%y') || upper(strftime(o_orderdate, '%b')) || strftime(o_orderdate, '%d') || '1830'
-       || o_orderkey"""
+_EASTERN_SQL = """
+WITH d AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_orderdate + INTERVAL 30 YEAR AS day FROM orders),
+z AS (SELECT *, strftime(day, '%y') || upper(strftime(day, '%b')) || strftime(day, '%d') AS code,
+             make_date(year(day), 3, 8) AS m, make_date(year(day), 11, 1) AS n FROM d),
+e AS (SELECT *, m + CAST((7 - dayofweek(m)) % 7 AS INTEGER) AS spring, n + CAST((7 - dayofweek(n)) % 7 AS INTEGER) AS autumn FROM z)
+"""
+
+
+def _dated(t):
+    """Orders thirty years on, when tickers exist."""
+    return t("orders").withColumn("day", F.add_months(F.to_date("o_orderdate"), 360))
+
 
+def _code():
+    return F.concat(F.date_format("day", "yy"), F.upper(F.date_format("day", "MMM")), F.date_format("day", "dd"))
 
-@query("ticker_markets", f"""
-SELECT {_TICKER_SQL} || '-Y' AS market_id, {_TICKER_SQL} AS event_id, o_orderpriority AS outcome,
-       CAST(epoch(o_orderdate) AS BIGINT) + 66600 + CASE WHEN
-         o_orderdate >= make_date(year(o_orderdate), 4, 1) + INTERVAL ((7 - dayofweek(make_date(year(o_orderdate), 4, 1))) % 7) DAY
-         AND o_orderdate < make_date(year(o_orderdate), 10, 31) - INTERVAL (dayofweek(make_date(year(o_orderdate), 10, 31))) DAY
-       THEN 14400 ELSE 18000 END + CASE WHEN strftime(o_orderdate, '%Y') < '2000' THEN 3155760000 ELSE 0 END * 0 AS game_start_ts,
-       o_orderstatus AS status FROM orders""")
+
+@query("ticker_markets", _EASTERN_SQL + """
+SELECT 'KX-' || code || '1830' || o_orderkey || '-Y' AS market_id, 'KX-' || code || '1830' || o_orderkey AS event_id,
+       o_orderpriority AS outcome, CAST(epoch(day) AS BIGINT) + 66600
+         + CASE WHEN day >= spring AND day < autumn THEN 14400 ELSE 18000 END AS game_start_ts, o_orderstatus AS status FROM e""")
 def ticker_markets(t):
     """Orders as raw ticker markets; the start (18:30 US Eastern) is part of the ticker."""
-    date = F.col("o_orderdate").cast("timestamp")
-    event = F.concat(F.lit("KX-"), F.date_format(date, "yy"), F.upper(F.date_format(date, "MMM")), F.date_format(date, "dd"),
-                     F.lit("1830"), F.col("o_orderkey"))
+    event = F.concat(F.lit("KX-"), _code(), F.lit("1830"), F.col("o_orderkey"))
     doc = F.to_json(F.struct(F.concat(event, F.lit("-Y")).alias("ticker"), event.alias("event_ticker"),
                              F.col("o_orderpriority").alias("yes_sub_title"), F.col("o_orderstatus").alias("status")))
-    return (normalize_ticker_markets(t("orders").select(doc.alias("value"), F.lit("KX").alias("series")))
+    return (normalize_ticker_markets(_dated(t).select(doc.alias("value"), F.lit("KX").alias("series")))
             .select("market_id", "event_id", "outcome", "game_start_ts", "status"))
 
 
@@ -629,13 +637,13 @@ def team_names(t):
     return t("part").select("p_partkey", norm_team(F.concat(F.lit("Team "), F.upper("p_name"), F.lit("-Esports!"))).alias("name"))
 
 
-@query("ticker_times")
+@query("ticker_times", _EASTERN_SQL + """
+SELECT o_orderkey, CAST(epoch(day) AS BIGINT) + 9000
+       + CASE WHEN day > spring AND day < autumn THEN 14400 ELSE 18000 END AS start_ts FROM e""")
 def ticker_times(t):
-    """Every order date as a ticker at 02:30 US Eastern, including the clock changes."""
-    date = F.col("o_orderdate").cast("timestamp")
-    ticker = F.concat(F.lit("X-"), F.date_format(date, "yy"), F.upper(F.date_format(date, "MMM")), F.date_format(date, "dd"),
-                      F.lit("0230AB"))
-    return t("orders").select("o_orderkey", ticker_start(ticker).alias("start_ts"))
+    """Every order date as a ticker at 02:30 US Eastern, a time the spring change skips."""
+    ticker = F.concat(F.lit("X-"), _code(), F.lit("0230AB"))
+    return _dated(t).select("o_orderkey", ticker_start(ticker).alias("start_ts"))
 
 
 # ---------------------------------------------------------------- match statistics

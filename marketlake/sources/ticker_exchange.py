@@ -1,4 +1,8 @@
-"""Landing records of the ticker exchange: markets, books, trades, candles and status as raw JSON."""
+"""Landing records of the ticker exchange: markets, books, trades, candles and status as raw JSON.
+
+Each document is parsed once: into the members used, or into a VARIANT where the
+type of a number or the presence of a key decides.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +10,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TICKER_PLATFORM
-from ..functions.hashes import book_hash
 from ..functions.numbers import json_kind, json_plain, json_price, to_double
 from ..functions.times import from_seconds, parse_ts, ticker_start
-from .token_exchange import json_text, sorted_levels
+from .token_exchange import with_sides
 
+_MARKET = ("struct<ticker:string,event_ticker:string,occurrence_datetime:string,expected_expiration_time:string,"
+           "title:string,yes_sub_title:string,open_time:string,close_time:string,status:string,result:string>")
 _PAIRS = "array<array<string>>"
+_SIDES = f"struct<yes_dollars:{_PAIRS},yes:{_PAIRS},no_dollars:{_PAIRS},no:{_PAIRS}>"
+_BOOK = f"struct<orderbook_fp:{_SIDES},orderbook:{_SIDES}>"
+_STATUS = ("struct<exchange_active:boolean,trading_active:boolean,exchange_index_statuses:array<struct<"
+           "exchange_index:int,trading_active:boolean,exchange_active:boolean>>>")
+_SCHEDULE = "struct<schedule:struct<maintenance_windows:array<string>>>"
+_WINDOW = "struct<start_datetime:string,start_time:string,end_datetime:string,end_time:string>"
 
 
 def _nonzero(ts: Column) -> Column:
     return F.when(ts != 0, ts)
 
 
+def _given(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
 def normalize_ticker_markets(markets: DataFrame, value: str = "value", series: str = "series") -> DataFrame:
     """One row per ticker; ``series`` is a column beside the document."""
-    doc = F.col(value)
+    d = F.col("d")
+    parsed = markets.select(F.col(series).alias("series"), F.col(value).alias("raw"),
+                            F.from_json(value, _MARKET).alias("d"))
+    start = F.coalesce(_nonzero(ticker_start(F.coalesce(_given(d["event_ticker"]), d["ticker"]))),
+                       _nonzero(parse_ts(d["occurrence_datetime"])), parse_ts(d["expected_expiration_time"]))
+    return parsed.select(
+        F.lit(TICKER_PLATFORM).alias("platform"), d["ticker"].alias("market_id"),
+        d["event_ticker"].alias("event_id"), "series", F.lit(None).cast("string").alias("condition_id"),
+        d["title"].alias("title"), d["yes_sub_title"].alias("outcome"), start.alias("game_start_ts"),
+        parse_ts(d["open_time"]).alias("open_ts"), parse_ts(d["close_time"]).alias("close_ts"),
+        d["status"].alias("status"), d["result"].alias("result"), "raw")
 
-    def field(k):
-        return json_text(doc, f"$.{k}")
 
-    event = F.when(field("event_ticker") != "", field("event_ticker"))
-    start = F.coalesce(_nonzero(ticker_start(F.coalesce(event, field("ticker")))),
-                       _nonzero(parse_ts(field("occurrence_datetime"))),
-                       parse_ts(field("expected_expiration_time")))
-    return markets.select(
-        F.lit(TICKER_PLATFORM).alias("platform"), field("ticker").alias("market_id"),
-        field("event_ticker").alias("event_id"), F.col(series).alias("series"),
-        F.lit(None).cast("string").alias("condition_id"), field("title").alias("title"),
-        field("yes_sub_title").alias("outcome"), start.alias("game_start_ts"),
-        parse_ts(field("open_time")).alias("open_ts"), parse_ts(field("close_time")).alias("close_ts"),
-        field("status").alias("status"), field("result").alias("result"), doc.alias("raw"))
+def _levels(pairs: Column, unit: float) -> Column:
+    return F.transform(pairs, lambda x: F.struct((to_double(F.get(x, F.lit(0))) / unit).alias("price"),
+                                                 to_double(F.get(x, F.lit(1))).alias("size")))
 
 
 def normalize_books_yes_no(books: DataFrame, value: str = "value", market: str = "market_id",
@@ -44,39 +59,40 @@ def normalize_books_yes_no(books: DataFrame, value: str = "value", market: str =
 
     The unit of each side follows the list actually used: dollars, else cents.
     """
-    doc = F.col(value)
+    b = F.col("b")
+    fp = F.col("d.orderbook_fp")
+    filled = (fp["yes_dollars"].isNotNull() | fp["yes"].isNotNull()
+              | fp["no_dollars"].isNotNull() | fp["no"].isNotNull())
+    rows = (books.select(F.lit(TICKER_PLATFORM).alias("platform"), F.col(market).alias("market_id"),
+                         F.col(capture).alias("ts"), F.lit(None).cast("timestamp").alias("source_ts"),
+                         F.from_json(value, _BOOK).alias("d"))
+            .withColumn("b", F.when(filled, fp).otherwise(F.col("d.orderbook"))))
 
-    def present(text):
-        return F.when(~text.isin("", "{}", "[]", "null"), text)
+    def side(name):
+        dollars = b[f"{name}_dollars"]
+        return F.when(F.size(dollars) > 0, _levels(dollars, 1.0)).otherwise(_levels(b[name], 100.0))
 
-    book = F.coalesce(present(json_text(doc, "$.orderbook_fp")), present(json_text(doc, "$.orderbook")))
+    asks = F.transform(side("no"), lambda x: F.struct(F.round(1 - x["price"], 4).alias("price"), x["size"].alias("size")))
+    return (with_sides(rows, side("yes"), asks)
+            .select("platform", "market_id", "ts", "source_ts", "bids", "asks", "hash"))
 
-    def side(name):
-        dollars, cents = present(json_text(book, f"$.{name}_dollars")), present(json_text(book, f"$.{name}"))
-        levels = F.coalesce(F.from_json(F.coalesce(dollars, cents), _PAIRS), F.array().cast(_PAIRS))
-        unit = F.when(dollars.isNotNull(), F.lit(1.0)).otherwise(F.lit(100.0))
-        return F.transform(levels, lambda x: F.struct(
-            (to_double(F.get(x, F.lit(0))) / unit).alias("price"), to_double(F.get(x, F.lit(1))).alias("size")))
 
-    asks = F.transform(side("no"), lambda x: F.struct(
-        F.round(1 - x["price"], 4).alias("price"), x["size"].alias("size")))
-    rows = books.select(
-        F.lit(TICKER_PLATFORM).alias("platform"), F.col(market).alias("market_id"), F.col(capture).alias("ts"),
-        F.lit(None).cast("timestamp").alias("source_ts"),
-        sorted_levels(side("yes"), True).alias("bids"), sorted_levels(asks, False).alias("asks"))
-    return rows.withColumn("hash", book_hash(F.col("bids"), F.col("asks")))
+def _text(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "string")
 
 
 def normalize_ticker_trades(trades: DataFrame, value: str = "value", market: str = "market_id") -> DataFrame:
     """Trades with native ids; ``market`` is a column beside the document."""
-    doc, v = F.col(value), F.try_parse_json(F.col(value))
-    price = F.coalesce(json_price(v, "$.yes_price_dollars"), json_price(v, "$.yes_price"))
-    size = F.coalesce(json_plain(v, "$.count_fp"), json_plain(v, "$.count"), F.lit(0.0))
-    ts = F.coalesce(parse_ts(json_text(doc, "$.created_time")), F.lit(0).cast("bigint"))
-    return trades.select(
-        F.lit(TICKER_PLATFORM).alias("platform"), json_text(doc, "$.trade_id").alias("trade_id"),
-        F.col(market).alias("market_id"), from_seconds(ts).alias("ts"), price.alias("price"),
-        size.alias("size"), F.coalesce(json_text(doc, "$.taker_side"), F.lit("")).alias("side"), doc.alias("raw"))
+    v = F.col("v")
+    parsed = trades.select(F.col(market).alias("market_id"), F.col(value).alias("raw"),
+                           F.try_parse_json(value).alias("v"))
+    ts = F.coalesce(parse_ts(_text(v, "created_time")), F.lit(0).cast("bigint"))
+    return parsed.select(
+        F.lit(TICKER_PLATFORM).alias("platform"), _text(v, "trade_id").alias("trade_id"), "market_id",
+        from_seconds(ts).alias("ts"),
+        F.coalesce(json_price(v, "$.yes_price_dollars"), json_price(v, "$.yes_price")).alias("price"),
+        F.coalesce(json_plain(v, "$.count_fp"), json_plain(v, "$.count"), F.lit(0.0)).alias("size"),
+        F.coalesce(_text(v, "taker_side"), F.lit("")).alias("side"), "raw")
 
 
 def _ohlc(v: Column, name: str) -> Column:
@@ -98,49 +114,47 @@ def _ohlc(v: Column, name: str) -> Column:
 def normalize_candles(candles: DataFrame, value: str = "value", market: str = "market_id",
                       period: str = "period_min") -> DataFrame:
     """OHLC rows; ``market`` and ``period`` are columns beside the document. ts is the period's end."""
-    doc, v = F.col(value), F.try_parse_json(F.col(value))
+    v = F.col("v")
+    parsed = candles.select(F.col(market).alias("market_id"), F.col(period).alias("period_min"),
+                            F.col(value).alias("raw"), F.try_parse_json(value).alias("v"))
 
     def amount(name):
         fp = json_kind(v, f"$.{name}_fp")
         plain = F.coalesce(json_plain(v, f"$.{name}"), F.lit(0.0))
         return F.when(fp.isNotNull() & (fp != "VOID"), json_plain(v, f"$.{name}_fp")).otherwise(plain)
 
-    end = F.coalesce(json_text(doc, "$.end_period_ts").try_cast("bigint"), F.lit(0).cast("bigint"))
-    return candles.select(
-        F.lit(TICKER_PLATFORM).alias("platform"), F.col(market).alias("market_id"), F.col(period).alias("period_min"),
-        from_seconds(end).alias("ts"), *[_ohlc(v, f).alias(f) for f in ("open", "high", "low", "close")],
-        amount("volume").alias("volume"), amount("open_interest").alias("open_interest"), doc.alias("raw"))
+    end = F.coalesce(_text(v, "end_period_ts").try_cast("bigint"), F.lit(0).cast("bigint"))
+    return parsed.select(
+        F.lit(TICKER_PLATFORM).alias("platform"), "market_id", "period_min", from_seconds(end).alias("ts"),
+        *[_ohlc(v, f).alias(f) for f in ("open", "high", "low", "close")],
+        amount("volume").alias("volume"), amount("open_interest").alias("open_interest"), "raw")
 
 
-def _flag(text: Column) -> Column:
-    return F.coalesce(text == "true", F.lit(False))
+def _on(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False))
 
 
 def normalize_exchange_status(polls: DataFrame, value: str = "value", time: str = "ts") -> DataFrame:
     """Polls as (platform, ts, active); a failed poll (NULL document) has NULL active."""
-    doc = F.col(value)
-    parts = F.coalesce(F.from_json(json_text(doc, "$.exchange_index_statuses"), "array<map<string,string>>"),
-                       F.array().cast("array<map<string,string>>"))
-    first = F.filter(parts, lambda x: F.try_element_at(x, F.lit("exchange_index")) == "0")
-    open_all = F.forall(first, lambda x: _flag(F.try_element_at(x, F.lit("trading_active")))
-                        & _flag(F.try_element_at(x, F.lit("exchange_active"))))
-    active = _flag(json_text(doc, "$.exchange_active")) & _flag(json_text(doc, "$.trading_active")) & open_all
-    return polls.select(F.lit(TICKER_PLATFORM).alias("platform"), F.col(time).alias("ts"),
-                        F.when(doc.isNotNull(), active).alias("active"))
+    d = F.col("d")
+    parsed = polls.select(F.col(time).alias("ts"), F.col(value).isNotNull().alias("given"),
+                          F.from_json(value, _STATUS).alias("d"))
+    first = F.filter(d["exchange_index_statuses"], lambda x: x["exchange_index"] == 0)
+    all_on = F.coalesce(F.forall(first, lambda x: _on(x["trading_active"]) & _on(x["exchange_active"])), F.lit(True))
+    active = _on(d["exchange_active"]) & _on(d["trading_active"]) & all_on
+    return parsed.select(F.lit(TICKER_PLATFORM).alias("platform"), "ts", F.when(F.col("given"), active).alias("active"))
 
 
 def normalize_maintenance(schedules: DataFrame, value: str = "value") -> DataFrame:
     """Scheduled maintenance windows as outage rows; an open end is NULL."""
-    windows = F.explode(F.from_json(json_text(F.col(value), "$.schedule.maintenance_windows"), "array<string>"))
     w = F.col("w")
+    windows = (schedules.select(F.from_json(value, _SCHEDULE).alias("d"))
+               .select(F.explode("d.schedule.maintenance_windows").alias("note"))
+               .select("note", F.from_json("note", _WINDOW).alias("w")))
 
     def at(side):
-        def given(k):
-            text = json_text(w, f"$.{k}")
-            return F.when(text != "", text)
-        return parse_ts(F.coalesce(given(f"{side}_datetime"), given(f"{side}_time")))
-
-    rows = schedules.select(windows.alias("w")).select(
-        F.lit(TICKER_PLATFORM).alias("platform"), F.lit("maintenance").alias("kind"),
-        at("start").alias("start_ts"), at("end").alias("end_ts"), w.alias("note"))
+        return parse_ts(F.coalesce(_given(w[f"{side}_datetime"]), _given(w[f"{side}_time"])))
+
+    rows = windows.select(F.lit(TICKER_PLATFORM).alias("platform"), F.lit("maintenance").alias("kind"),
+                          at("start").alias("start_ts"), at("end").alias("end_ts"), "note")
     return rows.filter(F.col("start_ts") != 0)

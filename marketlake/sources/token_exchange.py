@@ -1,4 +1,7 @@
-"""Landing records of the token exchange: events, books and trades as raw JSON."""
+"""Landing records of the token exchange: events, books and trades as raw JSON.
+
+Each document is parsed once into the few members that are used.
+"""
 
 from __future__ import annotations
 
@@ -12,53 +15,54 @@ from ..functions.times import from_millis, from_seconds, parse_ts
 
 _STRINGS = "array<string>"
 _LEVELS = "array<struct<price:string,size:string>>"
+_EVENT = "struct<slug:string,startTime:string,eventDate:string,markets:array<string>>"
+_MARKET = ("struct<clobTokenIds:string,outcomes:string,gameStartTime:string,conditionId:string,question:string,"
+           "startDate:string,endDate:string,closed:string,umaResolutionStatus:string>")
+_BOOK = f"struct<asset_id:string,timestamp:string,bids:{_LEVELS},asks:{_LEVELS}>"
+_TRADE = ("struct<timestamp:string,transactionHash:string,proxyWallet:string,asset:string,price:string,"
+          "size:string,side:string>")
 
 
-def json_text(doc: Column, path: str) -> Column:
-    return F.get_json_object(doc, path)
-
-
-def _string_array(doc: Column, path: str) -> Column:
-    """An array given as JSON, or as a string holding JSON; unreadable text is an empty array."""
-    return F.coalesce(F.from_json(json_text(doc, path), _STRINGS), F.array().cast(_STRINGS))
+def _strings(text: Column) -> Column:
+    """An array member, whether it was JSON or text holding JSON; unreadable is empty."""
+    return F.coalesce(F.from_json(text, _STRINGS), F.array().cast(_STRINGS))
 
 
-def _truthy(text: Column, missing: bool) -> Column:
-    return F.coalesce(~F.lower(text).isin("false", "0", "0.0", "", "[]", "{}"), F.lit(missing))
+def _truthy(text: Column) -> Column:
+    return F.coalesce(~F.lower(text).isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False))
 
 
 def normalize_token_markets(events: DataFrame, value: str = "value") -> DataFrame:
     """One row per outcome token of every market of every event."""
-    doc, m = F.col(value), F.col("m")
-    markets = events.select(
-        doc.alias("ev"),
-        F.explode(F.from_json(json_text(doc, "$.markets"), _STRINGS)).alias("m"))
-    members = F.from_json(m, "map<string,string>")
-    enabled = F.when(F.map_contains_key(members, "enableOrderBook"),
-                     _truthy(F.try_element_at(members, F.lit("enableOrderBook")), False)).otherwise(F.lit(True))
-
-    def nonzero(ts):
-        return F.when(ts != 0, ts)
-
-    start = F.coalesce(nonzero(parse_ts(json_text(m, "$.gameStartTime"))),
-                       nonzero(parse_ts(json_text(F.col("ev"), "$.startTime"))),
-                       parse_ts(json_text(F.col("ev"), "$.eventDate")))
-    outcomes = _string_array(m, "$.outcomes")
+    d, members = F.col("d"), F.col("members")
+    markets = (events.select(F.from_json(value, _EVENT).alias("ev"))
+               .select("ev.slug", "ev.startTime", "ev.eventDate", F.explode("ev.markets").alias("m"))
+               .select("slug", "startTime", "eventDate", "m", F.from_json("m", _MARKET).alias("d"),
+                       F.from_json("m", "map<string,string>").alias("members")))
+    has_book = (~F.map_contains_key(members, "enableOrderBook")
+                | _truthy(F.try_element_at(members, F.lit("enableOrderBook"))))
     # Only a market that repeats its events is rewritten (nested values then as text).
     raw = F.when(F.map_contains_key(members, "events"),
-                 F.to_json(F.map_filter(members, lambda k, v: k != "events"))).otherwise(m)
-    tokens = markets.filter(enabled).select(
-        "ev", "m", F.posexplode(_string_array(m, "$.clobTokenIds")).alias("i", "token"))
-    return tokens.select(
+                 F.to_json(F.map_filter(members, lambda k, v: k != "events"))).otherwise(F.col("m"))
+
+    def nonzero(text):
+        ts = parse_ts(text)
+        return F.when(ts != 0, ts)
+
+    start = F.coalesce(nonzero(d["gameStartTime"]), nonzero(F.col("startTime")), parse_ts(F.col("eventDate")))
+    rows = (markets.filter(has_book)
+            .withColumn("outcomes", _strings(d["outcomes"])).withColumn("raw", raw)
+            .withColumn("game_start_ts", start)
+            .withColumn("open_ts", parse_ts(d["startDate"])).withColumn("close_ts", parse_ts(d["endDate"]))
+            .select("*", F.posexplode(_strings(d["clobTokenIds"])).alias("i", "token")))
+    return rows.select(
         F.lit(TOKEN_PLATFORM).alias("platform"), F.col("token").alias("market_id"),
-        json_text(F.col("ev"), "$.slug").alias("event_id"), F.lit(TOKEN_SERIES).alias("series"),
-        json_text(m, "$.conditionId").alias("condition_id"), json_text(m, "$.question").alias("title"),
-        F.coalesce(F.get(outcomes, F.col("i")), F.col("i").cast("string")).alias("outcome"),
-        start.alias("game_start_ts"),
-        parse_ts(json_text(m, "$.startDate")).alias("open_ts"),
-        parse_ts(json_text(m, "$.endDate")).alias("close_ts"),
-        F.when(_truthy(json_text(m, "$.closed"), False), "closed").otherwise("open").alias("status"),
-        json_text(m, "$.umaResolutionStatus").alias("result"), raw.alias("raw"))
+        F.col("slug").alias("event_id"), F.lit(TOKEN_SERIES).alias("series"),
+        d["conditionId"].alias("condition_id"), d["question"].alias("title"),
+        F.coalesce(F.get("outcomes", F.col("i")), F.col("i").cast("string")).alias("outcome"),
+        "game_start_ts", "open_ts", "close_ts",
+        F.when(_truthy(d["closed"]), "closed").otherwise("open").alias("status"),
+        d["umaResolutionStatus"].alias("result"), "raw")
 
 
 def sorted_levels(levels: Column, best_first_high: bool) -> Column:
@@ -70,38 +74,40 @@ def sorted_levels(levels: Column, best_first_high: bool) -> Column:
     return F.array_sort(levels, by_price)
 
 
+def with_sides(rows: DataFrame, bids: Column, asks: Column) -> DataFrame:
+    """Add both sides, best level first, and the book's hash."""
+    none = F.array().cast("array<struct<price:double,size:double>>")
+    return (rows.withColumn("bids", sorted_levels(F.coalesce(bids, none), True))
+            .withColumn("asks", sorted_levels(F.coalesce(asks, none), False))
+            .withColumn("hash", book_hash(F.col("bids"), F.col("asks"))))
+
+
 def normalize_books_twosided(books: DataFrame, value: str = "value", capture: str = "capture_ts") -> DataFrame:
     """One book per document with both sides given as price and size text."""
-    doc = F.col(value)
+    d = F.col("d")
 
-    def side(path, high):
-        levels = F.coalesce(F.from_json(json_text(doc, path), _LEVELS), F.array().cast(_LEVELS))
-        numbers = F.transform(levels, lambda x: F.struct(to_double(x["price"]).alias("price"),
-                                                         to_double(x["size"]).alias("size")))
-        return sorted_levels(numbers, high)
+    def side(levels):
+        return F.transform(levels, lambda x: F.struct(to_double(x["price"]).alias("price"),
+                                                      to_double(x["size"]).alias("size")))
 
-    stamp = json_text(doc, "$.timestamp").try_cast("bigint")
-    rows = books.select(
-        F.lit(TOKEN_PLATFORM).alias("platform"), json_text(doc, "$.asset_id").alias("market_id"),
-        F.col(capture).alias("ts"), F.when(stamp != 0, from_millis(stamp)).alias("source_ts"),
-        side("$.bids", True).alias("bids"), side("$.asks", False).alias("asks"))
-    return rows.withColumn("hash", book_hash(F.col("bids"), F.col("asks")))
+    stamp = d["timestamp"].try_cast("bigint")
+    rows = (books.select(F.col(capture).alias("ts"), F.from_json(value, _BOOK).alias("d"))
+            .withColumn("platform", F.lit(TOKEN_PLATFORM)).withColumn("market_id", d["asset_id"])
+            .withColumn("source_ts", F.when(stamp != 0, from_millis(stamp))))
+    return (with_sides(rows, side(d["bids"]), side(d["asks"]))
+            .select("platform", "market_id", "ts", "source_ts", "bids", "asks", "hash"))
 
 
 def normalize_token_trades(trades: DataFrame, value: str = "value") -> DataFrame:
     """Trades identified by a hash of their fields."""
-    doc = F.col(value)
-
-    def field(k):
-        return json_text(doc, f"$.{k}")
-
-    ts = F.coalesce(field("timestamp").try_cast("bigint"), F.lit(0).cast("bigint"))
-    trade_id = trade_hash(F.coalesce(field("transactionHash"), F.lit("")), field("proxyWallet"),
-                          field("asset"), ts, field("price"), field("size"), field("side"))
+    d = F.col("d")
+    parsed = (trades.select(F.col(value).alias("raw"), F.from_json(value, _TRADE).alias("d"))
+              .withColumn("t", F.coalesce(d["timestamp"].try_cast("bigint"), F.lit(0).cast("bigint"))))
+    trade_id = trade_hash(F.coalesce(d["transactionHash"], F.lit("")), d["proxyWallet"], d["asset"], F.col("t"),
+                          d["price"], d["size"], d["side"])
     zero = F.lit(0.0)
-    return trades.select(
+    return parsed.select(
         F.lit(TOKEN_PLATFORM).alias("platform"), trade_id.alias("trade_id"),
-        F.coalesce(field("asset"), F.lit("None")).alias("market_id"), from_seconds(ts).alias("ts"),
-        F.coalesce(to_double(field("price")), zero).alias("price"),
-        F.coalesce(to_double(field("size")), zero).alias("size"),
-        F.lower(F.coalesce(field("side"), F.lit(""))).alias("side"), doc.alias("raw"))
+        F.coalesce(d["asset"], F.lit("None")).alias("market_id"), from_seconds(F.col("t")).alias("ts"),
+        F.coalesce(to_double(d["price"]), zero).alias("price"), F.coalesce(to_double(d["size"]), zero).alias("size"),
+        F.lower(F.coalesce(d["side"], F.lit(""))).alias("side"), "raw")
