@@ -10,6 +10,7 @@ from ..constants import (BINARY_RESULTS, GAME_SPACING, MAP_WINNER_SERIES, MATCH_
                          TOKEN_TERMINAL_STATUSES, YES_NO_OUTCOMES)
 from ..functions.numbers import quote_midpoint, sql_round
 from ..functions.texts import norm_team
+from ..session import materialize
 from .asof import asof_backward, nearest
 from .ordered import ROWS_PER_SEGMENT
 
@@ -98,6 +99,7 @@ def build_deltas(markets: DataFrame, games: DataFrame, price_points: DataFrame,
                  rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Draft deltas of every market that can be matched and is priced on both sides."""
     matched = match_games(map_winner_candidates(markets), games, rows_per_segment=rows_per_segment)
+    matched = materialize(matched, "matched")  # a catalog-sized table, read three times below
     odds = odds_around(matched, price_ticks(price_points, candles), rows_per_segment=rows_per_segment)
     return (matched.join(odds.filter(F.col("pre_p").isNotNull() & F.col("post_p").isNotNull()), KEY)
             .select(*KEY, "oe_game_id", "team", "opponent", "league", "game_start", "game_num",

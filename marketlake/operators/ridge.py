@@ -33,26 +33,34 @@ def vectorize(rows: DataFrame, names: list[str], features: str = "features", out
     return model.setBinary(True).transform(rows)
 
 
-def ridge(vectors: DataFrame, lam: float = RIDGE_LAMBDA, x: str = "x", y: str = "y") -> LinearRegressionModel | None:
-    """Solve (X'X + lam I) b = X'y without intercept or scaling; None without rows.
+#: Up to here one pass collects X'X (a few MB per task); beyond it the fit is iterative.
+DENSE_FEATURES = 2048
 
-    Spark scales the penalty by the label's standard deviation and n, so ``lam`` is
-    converted. One all-zero row with y = 0 leaves the solution unchanged and keeps a
-    feature that is present in every row from being treated as an intercept.
+
+def ridge(vectors: DataFrame, lam: float = RIDGE_LAMBDA, x: str = "x", y: str = "y",
+          dense_limit: int = DENSE_FEATURES) -> LinearRegressionModel | None:
+    """Solve (X'X + lam I) b = X'y without intercept or scaling; None without rows or variation.
+
+    Spark scales the penalty by n and the label's standard deviation (population form
+    in the one-pass solver, sample form in the iterative one), so ``lam`` is converted.
+    One all-zero row with y = 0 leaves the solution unchanged and keeps a feature that
+    is present in every row from being treated as an intercept.
     """
-    size = vectors.select(x).first()
-    if size is None:
+    head = vectors.select(x).first()
+    if head is None:
         return None
+    size = head[0].size
     zero = vectors.sparkSession.createDataFrame(
-        [(SparseVector(size[0].size, {}), 0.0)],
+        [(SparseVector(size, {}), 0.0)],
         T.StructType([T.StructField(x, VectorUDT()), T.StructField(y, T.DoubleType())]))
     data = vectors.select(x, F.col(y).cast("double").alias(y)).unionByName(zero)
-    stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(y).alias("s")).first()
-    if not stats["s"]:
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(y).alias("samp"), F.stddev_pop(y).alias("pop")).first()
+    if not stats["samp"]:
         return None
+    dense = size <= dense_limit
     fit = LinearRegression(featuresCol=x, labelCol=y, predictionCol="predicted", fitIntercept=False,
-                           standardization=False, elasticNetParam=0.0, solver="l-bfgs",
-                           regParam=lam * stats["s"] / stats["n"], maxIter=1000, tol=1e-12)
+                           standardization=False, elasticNetParam=0.0, solver="normal" if dense else "l-bfgs",
+                           regParam=lam * stats["pop" if dense else "samp"] / stats["n"], maxIter=500, tol=1e-10)
     return fit.fit(data)
 
 

@@ -1 +1,380 @@
-"""stub"""
+"""Order lines as drafts: rankings, features, models and scores.
+
+Binding 1 (rankings): an order is a game, its customer the team, a line one observed
+delta. Binding 2 (two sides per game): the line status is the team, brands are
+champions, kinds are bans, the order's year is the patch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..constants import MAP_WINNER_SERIES, TICKER_PLATFORM, TOKEN_PLATFORM
+from ..functions.numbers import sql_round
+from ..functions.times import micros
+from ..operators.deltas import build_deltas
+from ..operators.features import (explode_features, feature_support, is_interaction, model_champions, model_patches,
+                                  newest_split, own_enemy_sets, side_sets, training_means, training_rows)
+from ..operators.rankings import champion_ranking, pair_ranking, per_game, team_ranking, top_bottom_k, top_by
+from ..operators.ridge import fit_ridge, gram_matrix, gram_target
+from ..operators.scoring import score_draft_steps, score_states
+from .registry import query, rounded
+
+
+def _champion():
+    return F.regexp_replace("p_brand", "#", "")
+
+
+def _lines(t):
+    return (t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(t("part"), F.col("l_partkey") == F.col("p_partkey")))
+
+
+# ---------------------------------------------------------------- binding 1
+
+def line_deltas(t):
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("l_orderkey").alias("oe_game_id"), F.col("o_custkey").alias("team"),
+                    F.col("l_linestatus").alias("platform"), F.col("o_orderpriority").alias("league"),
+                    (F.col("l_discount") - 0.05).alias("delta"), (F.col("l_discount") * 10).alias("pre_p"),
+                    (F.col("l_tax") * 10).alias("post_p"),
+                    F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("won"))
+
+
+def brand_picks(t):
+    return _lines(t).select(F.col("l_orderkey").alias("game_id"), F.col("o_custkey").alias("team"),
+                            _champion().alias("champion")).distinct()
+
+
+_GAMES_SQL = """
+WITH d AS (SELECT l_orderkey AS oe_game_id, o_custkey AS team, l_linestatus AS platform, o_orderpriority AS league,
+                  l_discount - 0.05 AS delta, l_discount * 10 AS pre_p, l_tax * 10 AS post_p,
+                  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS won
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT oe_game_id, team, min(league) AS league, avg(delta) AS delta, avg(pre_p) AS pre_p, avg(post_p) AS post_p,
+             max(won) AS won FROM d WHERE {where} GROUP BY oe_game_id, team),
+k AS (SELECT DISTINCT l_orderkey AS oe_game_id, replace(p_brand, '#', '') AS champion
+      FROM lineitem JOIN part ON l_partkey = p_partkey)
+"""
+_ALL = _GAMES_SQL.format(where="league IS NOT NULL")
+_EFFECT = (f"count(*) AS n, {rounded('avg(delta)', 4)} AS avg_delta, "
+           f"{rounded('avg(CAST(won AS DOUBLE))', 3)} AS win_rate")
+
+
+@query("per_game", _GAMES_SQL.format(where="platform = 'O' AND (league ILIKE '%urgent%' OR league ILIKE '%low%')") + f"""
+SELECT oe_game_id, team, league, {rounded('delta', 6)} AS delta, {rounded('pre_p', 6)} AS pre_p,
+       {rounded('post_p', 6)} AS post_p, won FROM g""")
+def per_game_query(t):
+    """Open lines of urgent or low priority orders, averaged per game and team."""
+    g = per_game(line_deltas(t), "O", "urgent, low")
+    for c in ("delta", "pre_p", "post_p"):
+        g = g.withColumn(c, sql_round(F.col(c), 6))
+    return g
+
+
+@query("team_rank", _ALL + f"""
+SELECT team, {_EFFECT}, {rounded('avg(pre_p)', 3)} AS avg_pre, {rounded('avg(post_p)', 3)} AS avg_post,
+       {rounded('avg(won - post_p)', 4)} AS post_edge FROM g GROUP BY team HAVING count(*) >= 8""")
+def team_rank(t):
+    return team_ranking(per_game(line_deltas(t)))
+
+
+_CHAMPION_RANK = f"SELECT champion, {_EFFECT} FROM g JOIN k USING (oe_game_id) GROUP BY champion HAVING count(*) >= 10"
+
+
+@query("champion_rank", _ALL + _CHAMPION_RANK)
+def champion_rank(t):
+    return champion_ranking(per_game(line_deltas(t)), brand_picks(t))
+
+
+@query("pair_rank", _ALL + f"""
+SELECT a.champion AS c1, b.champion AS c2, {_EFFECT} FROM g JOIN k a USING (oe_game_id) JOIN k b USING (oe_game_id)
+WHERE a.champion < b.champion GROUP BY ALL HAVING count(*) >= 6""")
+def pair_rank(t):
+    return pair_ranking(per_game(line_deltas(t)), brand_picks(t))
+
+
+@query("top_bottom_k", _ALL + f""", r AS ({_CHAMPION_RANK}),
+x AS (SELECT *, row_number() OVER (ORDER BY avg_delta DESC, champion) AS i,
+             row_number() OVER (ORDER BY avg_delta, champion DESC) AS j FROM r)
+SELECT champion, n, avg_delta, win_rate, CASE WHEN i <= 12 THEN 'top' ELSE 'bottom' END AS part FROM x WHERE i <= 12 OR j <= 12""")
+def top_bottom(t):
+    """The twelve best and worst champions."""
+    return top_bottom_k(champion_rank(t), "avg_delta", ["champion"], 12)
+
+
+@query("top_by", _ALL + f""",
+r AS (SELECT team, {_EFFECT} FROM g GROUP BY team HAVING count(*) >= 8)
+SELECT team, n, avg_delta, win_rate FROM r ORDER BY win_rate DESC, team LIMIT 40""")
+def top_by_query(t):
+    """The forty teams that win most."""
+    return top_by(team_rank(t), "win_rate", ["team"]).select("team", "n", "avg_delta", "win_rate")
+
+
+# ---------------------------------------------------------------- binding 2
+
+def side_picks(t):
+    return (_lines(t).groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linestatus").alias("team"),
+                              _champion().alias("champion"))
+            .agg(F.min("l_returnflag").alias("position")))
+
+
+def side_bans(t):
+    return _lines(t).select(F.col("l_orderkey").alias("game_id"), F.col("l_linestatus").alias("team"),
+                            F.col("p_type").alias("champion")).distinct()
+
+
+def side_deltas(t):
+    return t("lineitem").select(
+        F.col("l_orderkey").alias("oe_game_id"), F.col("l_linestatus").alias("team"),
+        F.when(F.col("l_linestatus") == "F", "O").otherwise("F").alias("opponent"),
+        (F.col("l_discount") * 10).alias("pre_p"), (F.col("l_tax") * 10).alias("post_p"))
+
+
+def side_games(t):
+    return t("orders").select(F.col("o_orderkey").alias("game_id"),
+                              F.date_format("o_orderdate", "yyyy").alias("patch"))
+
+
+def draft_rows(t):
+    return training_rows(side_deltas(t), side_games(t), side_picks(t), side_bans(t))
+
+
+_SIDES_SQL = """
+WITH l AS (SELECT l_orderkey AS g, l_linestatus AS team, replace(p_brand, '#', '') AS c, l_returnflag AS f, p_type, l_discount, l_tax,
+                  strftime(o_orderdate, '%Y') AS patch
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+p AS (SELECT g, team, c, min(f) AS role FROM l GROUP BY ALL),
+b AS (SELECT DISTINCT g, team, p_type AS c FROM l),
+s AS (SELECT g, team, CASE team WHEN 'F' THEN 'O' ELSE 'F' END AS opp, min(patch) AS patch, avg(l_discount * 10) AS pre_p,
+             avg(l_tax * 10) AS post_p FROM l GROUP BY g, team),
+r AS (SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM s o WHERE o.g = s.g AND o.team = s.opp))
+"""
+_FEATURES_SQL = _SIDES_SQL + """,
+base AS (
+  SELECT r.g, r.team, r.patch, 'own_pick:' || c AS f, role FROM r JOIN p ON p.g = r.g AND p.team = r.team
+  UNION ALL SELECT r.g, r.team, r.patch, 'enemy_pick:' || c, role FROM r JOIN p ON p.g = r.g AND p.team = r.opp
+  UNION ALL SELECT r.g, r.team, r.patch, 'own_ban:' || c, NULL FROM r JOIN b ON b.g = r.g AND b.team = r.team
+  UNION ALL SELECT r.g, r.team, r.patch, 'enemy_ban:' || c, NULL FROM r JOIN b ON b.g = r.g AND b.team = r.opp),
+features AS (
+  SELECT g, team, f AS feature FROM base UNION ALL
+  SELECT g, team, f || '@' || role FROM base WHERE role IS NOT NULL UNION ALL
+  SELECT g, team, f || '#' || patch FROM base UNION ALL
+  SELECT r.g, r.team, 'syn:' || x.c || '|' || y.c FROM r JOIN p x ON x.g = r.g AND x.team = r.team
+    JOIN p y ON y.g = r.g AND y.team = r.team WHERE x.c < y.c UNION ALL
+  SELECT r.g, r.team, 'vs:' || x.c || '|' || y.c FROM r JOIN p x ON x.g = r.g AND x.team = r.team
+    JOIN p y ON y.g = r.g AND y.team = r.opp),
+support AS (SELECT feature, count(*) AS n FROM features GROUP BY feature
+            HAVING count(*) >= 25 OR NOT (feature LIKE 'syn:%' OR feature LIKE 'vs:%' OR feature LIKE '%@%' OR feature LIKE '%#%')),
+model AS (SELECT feature, (n * 7919 % 201 - 100) / 1000 AS coef, n FROM support)
+"""
+
+
+@query("training_means", """
+SELECT l_orderkey AS oe_game_id, l_linestatus AS team, CASE l_linestatus WHEN 'F' THEN 'O' ELSE 'F' END AS opponent,
+       CAST(round(CAST(avg(l_discount * 10) AS DECIMAL(30, 12)), 6) AS DOUBLE) AS pre_p, CAST(round(CAST(avg(l_tax * 10) AS DECIMAL(30, 12)), 6) AS DOUBLE) AS post_p
+FROM lineitem GROUP BY ALL""")
+def training_means_query(t):
+    m = training_means(side_deltas(t))
+    return m.withColumn("pre_p", sql_round(F.col("pre_p"), 6)).withColumn("post_p", sql_round(F.col("post_p"), 6))
+
+
+@query("own_enemy_sets", _SIDES_SQL + """,
+pl AS (SELECT g, team, string_agg(c || '@' || role, ',' ORDER BY c) AS picks FROM p GROUP BY ALL),
+bl AS (SELECT g, team, string_agg(c, ',' ORDER BY c) AS bans FROM b GROUP BY ALL)
+SELECT r.g AS oe_game_id, r.team, a.picks AS own_picks, e.picks AS enemy_picks, x.bans AS own_bans, y.bans AS enemy_bans
+FROM r JOIN pl a ON a.g = r.g AND a.team = r.team JOIN pl e ON e.g = r.g AND e.team = r.opp
+LEFT JOIN bl x ON x.g = r.g AND x.team = r.team LEFT JOIN bl y ON y.g = r.g AND y.team = r.opp""")
+def own_enemy_sets_query(t):
+    """Both sides' picks with roles and bans, for games where both sides picked."""
+    games = training_means(side_deltas(t)).select("oe_game_id", "team", "opponent")
+    rows = own_enemy_sets(games, side_sets(side_picks(t), side_bans(t)))
+
+    def picks(side):
+        return F.array_join(F.transform(f"{side}_picks", lambda c: F.concat(
+            c, F.lit("@"), F.try_element_at(F.col(f"{side}_roles"), c))), ",").alias(f"{side}_picks")
+
+    return (rows.filter((F.size("own_picks") > 0) & (F.size("enemy_picks") > 0))
+            .select("oe_game_id", "team", picks("own"), picks("enemy"),
+                    F.array_join("own_bans", ",").alias("own_bans"), F.array_join("enemy_bans", ",").alias("enemy_bans")))
+
+
+@query("training_rows", _SIDES_SQL + f""",
+q AS (SELECT *, least(0.98, greatest(0.02, pre_p)) AS a, least(0.98, greatest(0.02, post_p)) AS z FROM r)
+SELECT g AS oe_game_id, team, patch, {rounded('ln(z / (1 - z)) - ln(a / (1 - a))', 6)} AS y FROM q""")
+def training_rows_query(t):
+    """The log-odds move of every draft."""
+    return draft_rows(t).select("oe_game_id", "team", "patch", sql_round(F.col("y"), 6).alias("y"))
+
+
+@query("feature_support", _FEATURES_SQL + "SELECT feature, n FROM support")
+def feature_support_query(t):
+    return feature_support(explode_features(draft_rows(t), ["oe_game_id", "team"]))
+
+
+def _base_features(t, *more):
+    return (explode_features(draft_rows(t), ["oe_game_id", "team", *more])
+            .filter(~is_interaction(F.col("feature"))))
+
+
+@query("gram_matrix", _FEATURES_SQL + """,
+u AS (SELECT * FROM features WHERE NOT (feature LIKE 'syn:%' OR feature LIKE 'vs:%' OR feature LIKE '%@%' OR feature LIKE '%#%'))
+SELECT x.feature AS f1, y.feature AS f2, count(*) AS n FROM u x JOIN u y ON x.g = y.g AND x.team = y.team
+WHERE x.feature <= y.feature GROUP BY ALL""")
+def gram_matrix_query(t):
+    """X'X of the base features."""
+    return gram_matrix(_base_features(t), ["oe_game_id", "team"])
+
+
+@query("gram_target", _FEATURES_SQL + """,
+q AS (SELECT g, team, least(0.98, greatest(0.02, pre_p)) AS a, least(0.98, greatest(0.02, post_p)) AS z FROM r)
+SELECT feature, round(sum(ln(z / (1 - z)) - ln(a / (1 - a))), 4) AS xty FROM features JOIN q USING (g, team)
+WHERE NOT (feature LIKE 'syn:%' OR feature LIKE 'vs:%' OR feature LIKE '%@%' OR feature LIKE '%#%') GROUP BY feature""")
+def gram_target_query(t):
+    """X'y of the base features."""
+    return gram_target(_base_features(t, "y")).withColumn("xty", F.round("xty", 4))
+
+
+@query("newest_split", _SIDES_SQL + """
+SELECT g AS oe_game_id, team, patch, patch IN (SELECT DISTINCT patch FROM r ORDER BY patch DESC LIMIT 2) AS is_test FROM r""")
+def newest_split_query(t):
+    """Drafts of the newest two years are the test part."""
+    return newest_split(draft_rows(t)).select("oe_game_id", "team", "patch", "is_test")
+
+
+def pseudo_model(t):
+    """A model whose coefficients follow from the support, so that scores can be checked."""
+    support = feature_support_query(t)
+    return support.select("feature", ((F.col("n") * 7919 % 201 - 100) / F.lit(1000.0)).alias("coef"), "n")
+
+
+@query("model_lists", _FEATURES_SQL + """
+SELECT DISTINCT 'patch' AS kind, regexp_extract(feature, '#(.*)$', 1) AS name FROM model WHERE feature LIKE '%#%'
+UNION ALL SELECT DISTINCT 'champion', regexp_extract(feature, '^own_(?:pick|ban):([^@#]*)', 1) FROM model
+WHERE feature LIKE 'own_pick:%' OR feature LIKE 'own_ban:%'""")
+def model_lists(t):
+    """Patches and champions a model knows."""
+    model = pseudo_model(t)
+    return (model_patches(model).select(F.lit("patch").alias("kind"), F.col("patch").alias("name"))
+            .unionByName(model_champions(model).select(F.lit("champion").alias("kind"), F.col("champion").alias("name"))))
+
+
+@query("score_states", _FEATURES_SQL + f""",
+e AS (SELECT g, team, sum(coef) AS effect, count(*) AS n_terms FROM features JOIN model USING (feature) GROUP BY g, team),
+q AS (SELECT r.*, least(0.98, greatest(0.02, pre_p)) AS a, coalesce(effect, 0) AS eff, coalesce(n_terms, 0) AS n_terms
+      FROM r LEFT JOIN e USING (g, team))
+SELECT g AS oe_game_id, team, n_terms, {rounded('eff', 6)} AS effect,
+       {rounded('1 / (1 + exp(-(ln(a / (1 - a)) + eff)))', 6)} AS p FROM q""")
+def score_states_query(t):
+    """Every draft scored whole with the pseudo model."""
+    means = training_means(side_deltas(t)).select("oe_game_id", "team", "pre_p")
+    states = draft_rows(t).join(means, ["oe_game_id", "team"])
+    return (score_states(states, pseudo_model(t), ["oe_game_id", "team"])
+            .select("oe_game_id", "team", "n_terms", sql_round(F.col("effect"), 6).alias("effect"),
+                    sql_round(F.col("p"), 6).alias("p")))
+
+
+def order_drafts(t):
+    """Each order's brands in name order as alternating steps; every third is a ban."""
+    sets = (_lines(t).groupBy(F.col("l_orderkey").alias("draft_id"))
+            .agg(F.array_sort(F.collect_set(_champion())).alias("brands"),
+                 F.min(F.date_format("o_orderdate", "yyyy")).alias("patch"),
+                 F.min("o_totalprice").alias("price")))
+    steps = sets.select("draft_id", "patch", "price", F.posexplode("brands").alias("i", "champion"))
+    return steps.select(
+        "draft_id", (F.col("i") + 1).alias("step"), F.when(F.col("i") % 2 == 0, "blue").otherwise("red").alias("side"),
+        F.when(F.col("i") % 3 == 2, "ban").otherwise("pick").alias("action"), "champion",
+        F.when(F.col("i") % 4 < 2, "A").otherwise("").alias("role"),
+        (F.col("price") % 1000 / 1000).alias("pre_blue"), "patch")
+
+
+@query("score_steps", _FEATURES_SQL + f""",
+a AS (SELECT DISTINCT g, c, patch FROM l),
+d0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c) - 1 AS i FROM a),
+d AS (SELECT d0.g, i + 1 AS step, CASE WHEN i % 2 = 0 THEN 'B' ELSE 'R' END AS side, patch,
+             CASE WHEN i % 3 = 2 THEN 'ban' ELSE 'pick' END AS action, c, CASE WHEN i % 4 < 2 THEN 'A' ELSE '' END AS role,
+             greatest(0.01, least(0.99, o_totalprice % 1000 / 1000)) AS pre
+      FROM d0 JOIN orders ON o_orderkey = g),
+n AS (SELECT *, CASE side WHEN 'B' THEN 'own_' ELSE 'enemy_' END || action || ':' || c AS f FROM d),
+x AS (SELECT g, step, f AS feature FROM n UNION ALL
+      SELECT g, step, f || '@' || role FROM n WHERE action = 'pick' AND role <> '' UNION ALL
+      SELECT g, step, f || '#' || patch FROM n UNION ALL
+      SELECT u.g, greatest(u.step, v.step), 'syn:' || u.c || '|' || v.c FROM d u JOIN d v ON u.g = v.g AND u.c < v.c
+        WHERE u.side = 'B' AND v.side = 'B' AND u.action = 'pick' AND v.action = 'pick' UNION ALL
+      SELECT u.g, greatest(u.step, v.step), 'vs:' || u.c || '|' || v.c FROM d u JOIN d v ON u.g = v.g
+        WHERE u.side = 'B' AND v.side = 'R' AND u.action = 'pick' AND v.action = 'pick'),
+y AS (SELECT x.g, x.step, x.feature, coef, row_number() OVER (PARTITION BY x.g, x.step ORDER BY -abs(CAST(round(CAST(coef AS DECIMAL(30, 12)), 4) AS DOUBLE)), x.feature) AS k
+      FROM x JOIN model USING (feature)),
+z AS (SELECT g, step, sum(coef) AS change, string_agg(feature, ';' ORDER BY k) FILTER (WHERE k <= 6) AS terms FROM y GROUP BY g, step),
+w AS (SELECT d.*, z.terms, sum(coalesce(z.change, 0)) OVER (PARTITION BY d.g ORDER BY d.step) AS total,
+             least(0.98, greatest(0.02, pre)) AS q FROM d LEFT JOIN z ON z.g = d.g AND z.step = d.step),
+u AS (SELECT *, 1 / (1 + exp(-(ln(q / (1 - q)) + total))) AS p FROM w),
+v AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY g ORDER BY step), pre) AS was FROM u)
+SELECT g AS draft_id, CAST(step AS INTEGER) AS step, side, action, c AS champion, role, terms IS NOT NULL AS known,
+       {rounded('p', 4)} AS p_blue, {rounded('p - was', 4)} AS dp_blue,
+       coalesce(terms, '') AS terms FROM v""")
+def score_steps(t):
+    """Blue's chance after every step of every order's draft, with the strongest terms."""
+    steps = score_draft_steps(order_drafts(t), pseudo_model(t))
+    return steps.withColumn("terms", F.coalesce(
+        F.array_join(F.transform("terms", lambda x: x["feature"]), ";"), F.lit("")))
+
+
+@query("ridge_fit")
+def ridge_fit(t):
+    """The ridge model of the log-odds moves with both held-out scores."""
+    return fit_ridge(draft_rows(t))
+
+
+# ---------------------------------------------------------------- deltas from raw tables
+
+@query("draft_deltas", f"""
+WITH o AS (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS d, 1 + o_custkey % 2 AS num FROM orders),
+games AS (SELECT CAST(o_orderkey AS VARCHAR) AS game_id, o_orderpriority AS league, d, num, 'Team C' || o_custkey AS blue,
+                 'C' || (o_custkey + 2) || ' Gaming' AS red, o_orderstatus = 'F' AS blue_won, 'c' || o_custkey AS kb,
+                 'c' || (o_custkey + 2) AS kr FROM o),
+sides AS (SELECT *, kb AS k, blue AS team, red AS opp FROM games UNION ALL SELECT *, kr, red, blue FROM games),
+cand AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS market_id, 'c' || o_custkey AS k, num, d + (o_orderkey % 5 - 2) * 3600 AS expected,
+                CASE WHEN o_orderkey % 2 = 0 THEN '{TOKEN_PLATFORM}' ELSE '{TICKER_PLATFORM}' END AS platform FROM o),
+m AS (SELECT c.*, s.game_id, s.team, s.opp, s.league, s.d, s.blue_won = (s.team = s.blue) AS won,
+             row_number() OVER (PARTITION BY c.market_id ORDER BY abs(s.d - c.expected), s.game_id) AS rn
+      FROM cand c JOIN sides s ON c.k = s.k AND c.num = s.num AND abs(s.d - c.expected) <= 43200),
+ticks AS (SELECT l_orderkey, d + (l_linenumber * 7 % 11 - 6) * 300 + CAST(l_quantity AS BIGINT) AS t, l_linenumber AS res,
+                 0.2 + l_quantity / 100 AS p FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+x AS (SELECT m.*, t.t, t.p, t.res FROM m JOIN ticks t ON t.l_orderkey = m.o_orderkey WHERE m.rn = 1),
+a AS (SELECT market_id, arg_max(p, t * 100 - res) AS pre_p FROM x WHERE t <= d - 960 GROUP BY market_id),
+b AS (SELECT market_id, arg_max(p, t * 100 - res) AS post_p FROM x WHERE t <= d + 120 GROUP BY market_id HAVING max(t) >= min(d) - 960)
+SELECT m.platform, m.market_id, m.game_id AS oe_game_id, m.team, m.opp AS opponent, m.league, m.d AS game_start,
+       CAST(m.num AS INTEGER) AS game_num, round(a.pre_p, 6) AS pre_p, round(b.post_p, 6) AS post_p,
+       {rounded('b.post_p - a.pre_p', 4)} AS delta, CAST(m.won AS INTEGER) AS won
+FROM m JOIN a USING (market_id) JOIN b USING (market_id) WHERE m.rn = 1""")
+def draft_deltas(t):
+    """Orders as games and as map markets, their lines as prices: candidates, matching and odds in one."""
+    o = (t("orders").withColumn("d", F.floor(micros(F.col("o_orderdate")) / 1_000_000).cast("bigint"))
+         .withColumn("num", (1 + F.col("o_custkey") % 2).cast("int")))
+    blue, red = F.concat(F.lit("Team C"), "o_custkey"), F.concat(F.lit("C"), F.col("o_custkey") + 2, F.lit(" Gaming"))
+    games = o.select(F.col("o_orderkey").cast("string").alias("game_id"), F.col("o_orderpriority").alias("league"),
+                     F.col("d").alias("date_utc"), F.col("num").alias("game_num"), blue.alias("blue_team"),
+                     red.alias("red_team"), F.when(F.col("o_orderstatus") == "F", blue).otherwise(red).alias("winner"))
+    even = F.col("o_orderkey") % 2 == 0
+    market = F.col("o_orderkey").cast("string").alias("market_id")
+    markets = o.select(
+        F.when(even, TOKEN_PLATFORM).otherwise(TICKER_PLATFORM).alias("platform"), market,
+        F.lit(MAP_WINNER_SERIES).alias("series"), F.when(even, "closed").otherwise("finalized").alias("status"),
+        F.lit("yes").alias("result"), F.concat(F.lit("c"), "o_custkey", F.lit(" Esports")).alias("outcome"),
+        F.concat(F.when(even, F.lit("LoL: Game ")).otherwise(F.lit("LoL: Map ")), F.col("num"),
+                 F.when(even, F.lit(" Winner")).otherwise(F.lit(""))).alias("title"),
+        (F.col("d") + (F.col("o_orderkey") % 5 - 2) * 3600 - (F.col("num") - 1) * 4200).alias("game_start_ts"))
+    ticks = (t("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+             .select(even.alias("even"), market, F.col("l_linenumber").alias("res"),
+                     F.timestamp_seconds(F.col("d") + (F.col("l_linenumber") * 7 % 11 - 6) * 300
+                                         + F.col("l_quantity").cast("bigint")).alias("ts"),
+                     (0.2 + F.col("l_quantity") / 100).alias("p")))
+    points = ticks.filter("even").select(F.lit(TOKEN_PLATFORM).alias("platform"), "market_id", F.col("res").alias("fidelity"),
+                                         "ts", F.col("p").alias("price"))
+    quote = F.to_json(F.struct(F.struct((F.col("p") - 0.01).cast("string").alias("close_dollars")).alias("yes_bid"),
+                               F.struct((F.col("p") + 0.01).cast("string").alias("close_dollars")).alias("yes_ask")))
+    candles = ticks.filter("NOT even").select(F.lit(TICKER_PLATFORM).alias("platform"), "market_id",
+                                              F.col("res").alias("period_min"), "ts", F.lit(0.5).alias("close"), quote.alias("raw"))
+    deltas = build_deltas(markets, games, points, candles)
+    return (deltas.withColumn("pre_p", F.round("pre_p", 6)).withColumn("post_p", F.round("post_p", 6)))

@@ -26,15 +26,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def rounded(expr: str, digits: int) -> str:
+    """SQL text of ``functions.numbers.sql_round``."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(30, 12)), {digits}) AS DOUBLE)"
+
+
 class Tables:
     """The given Parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; its footer is read once per query."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     def events(self, *kinds: str) -> DataFrame:
         """Events (of the named kinds) with the time as microseconds ``t`` and seconds ``s``."""

@@ -1 +1,81 @@
-"""stub"""
+"""The streaming operators over the event files, each checked against its batch twin's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.times import micros
+from ..session import scratch_path
+from ..streaming.keyed import halt_table, stream_change_only, stream_halts
+from ..streaming.native import (current_catalog, start_catalog_log, start_trade_sink, stream_bucket_last,
+                                stream_flag_halted, stream_trade_dedupe)
+from ..streaming.run import drain
+from .registry import SQL, query
+
+
+def _events(t):
+    return (t.stream("events").withColumn("ts", F.col("ts").cast("timestamp"))
+            .withColumn("t", micros(F.col("ts"))).withColumn("s", F.floor(F.col("t") / 1_000_000).cast("bigint")))
+
+
+@query("change_stream", SQL["change_only"])
+def change_stream(t):
+    """Change-only snapshots with the last hash of every user as state."""
+    books = _events(t).select("event_id", "user_id", "t", F.sha1("event_type").alias("hash"))
+    kept = drain(stream_change_only(books, ["user_id"], ["t", "event_id"], "hash"), "change")
+    return kept.filter(~F.col("late")).select("event_id", "user_id", "hash")
+
+
+@query("halts_stream", SQL["halts"])
+def halts_stream(t):
+    """Halts with the open start of every user as state."""
+    polls = _events(t).select("user_id", "t", (F.col("event_type") != "error").alias("active"))
+    events = drain(stream_halts(polls, ["user_id"], "t", "active"), "halts")
+    return (halt_table(events, ["user_id"])
+            .select("user_id", F.col("start_ts").alias("start_us"), F.col("end_ts").alias("end_us")))
+
+
+@query("trade_stream", "SELECT event_id, user_id, epoch_us(ts) AS t, value FROM events")
+def trade_stream(t):
+    """Every event read twice, as overlapping polls do; the copies are dropped."""
+    one = _events(t).select("event_id", "user_id", "ts", "t", "value")
+    twice = one.unionByName(_events(t).select("event_id", "user_id", "ts", "t", "value"))
+    path = scratch_path(t.spark, "trades")
+    start_trade_sink(stream_trade_dedupe(twice, ["event_id"]), f"{path}/out", f"{path}/checkpoint", ["event_id"],
+                     available_now=True).awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select("event_id", "user_id", "t", "value")
+
+
+@query("catalog_stream", SQL["catalog_merge"])
+def catalog_stream(t):
+    """Sightings appended batch by batch, then the current catalog."""
+    log = _events(t).select(
+        "user_id", "t", "event_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+        F.when(F.col("event_type") == "signup", F.col("props")).alias("props"))
+    path = scratch_path(t.spark, "catalog")
+    start_catalog_log(log, f"{path}/log", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return current_catalog(t.spark.read.parquet(f"{path}/log"), ["user_id"], ["value", "event_type", "props"], "t",
+                           raw="props", order=["t", "event_id"])
+
+
+@query("bucket_stream", """
+SELECT user_id, bucket_ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, bucket_ts ORDER BY ts DESC) AS rn FROM (
+    SELECT *, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS bucket_ts FROM events))
+WHERE rn = 1 AND bucket_ts + 3600 <= (SELECT floor(epoch_ms(max(ts)) / 1e3) - 600 FROM events)""")
+def bucket_stream(t):
+    """Hourly last values; hours the watermark has not passed are still open."""
+    rows = _events(t).select("user_id", "ts", "value")
+    return drain(stream_bucket_last(rows, ["user_id"], ["value"], width="1 hour"), "buckets")
+
+
+@query("flag_stream", """
+SELECT DISTINCT p.event_id, p.user_id FROM events p JOIN events e ON p.user_id = e.user_id
+WHERE p.event_type = 'purchase' AND e.event_type = 'error'
+  AND floor(epoch_us(e.ts) / 1e6) BETWEEN floor(epoch_us(p.ts) / 1e6) - 2700 AND floor(epoch_us(p.ts) / 1e6) + 28800""")
+def flag_stream(t):
+    """Purchases near which a halted poll was seen."""
+    polls = _events(t).select("user_id", F.col("s").alias("ts"), (F.col("event_type") != "error").alias("active"))
+    games = t.events("purchase").select("event_id", "user_id", F.col("s").alias("game_start_ts"))
+    hits = drain(stream_flag_halted(polls, games, ["user_id"], ["event_id"]), "flags")
+    return hits.select("event_id", "user_id").distinct()

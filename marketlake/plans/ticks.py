@@ -56,14 +56,14 @@ stats AS (
   FROM pairs WHERE p BETWEEN 0 AND 1 GROUP BY ALL)
 SELECT CAST(f.platform AS BIGINT) AS platform, CAST(f.bin AS INTEGER) AS bin,
        round(CAST(f.bin AS DOUBLE) / 100, 4) AS lo, round(CAST(f.bin + 1 AS DOUBLE) / 100, 4) AS hi,
-       coalesce(s.n, 0) AS n, round(round(s.mp, 12), 4) AS mean_pred, round(round(s.ay, 12), 4) AS obs_freq
+       coalesce(s.n, 0) AS n, CAST(round(CAST(s.mp AS DECIMAL(30, 12)), 4) AS DOUBLE) AS mean_pred, CAST(round(CAST(s.ay AS DECIMAL(30, 12)), 4) AS DOUBLE) AS obs_freq
 FROM frame f LEFT JOIN stats s ON f.platform = s.platform AND f.bin = s.bin""")
 def calibration_bins(t):
     return reliability_bins(calibration_sample(t), [0, 1])
 
 
 @query("brier_by_group", _PAIRS_SQL + """
-SELECT CAST(platform AS BIGINT) AS platform, count(*) AS n, round(round(avg((p - y) * (p - y)), 12), 5) AS brier
+SELECT CAST(platform AS BIGINT) AS platform, count(*) AS n, CAST(round(CAST(avg((p - y) * (p - y)) AS DECIMAL(30, 12)), 5) AS DOUBLE) AS brier
 FROM pairs WHERE p BETWEEN 0 AND 1 GROUP BY platform""")
 def brier_by_group(t):
     return brier(calibration_sample(t), [0, 1])

@@ -303,7 +303,7 @@ def finest_series_query(t):
 
 @query("mid_series", """
 SELECT l_partkey, epoch_us(l_shipdate) AS ship_us,
-       round(round((l_extendedprice / 200000 * (1 - l_discount) + l_extendedprice / 200000 * (1 + l_tax)) / 2, 12), 4) AS price
+       CAST(round(CAST((l_extendedprice / 200000 * (1 - l_discount) + l_extendedprice / 200000 * (1 + l_tax)) / 2 AS DECIMAL(30, 12)), 4) AS DOUBLE) AS price
 FROM lineitem WHERE l_tax > 0""")
 def mid_series_query(t):
     """Each line as a one-level book around its price; untaxed lines have no ask."""
@@ -333,12 +333,12 @@ pairs AS (SELECT * FROM ticker UNION ALL SELECT * FROM token),
 ok AS (SELECT * FROM pairs WHERE p BETWEEN 0 AND 1),
 bins AS (SELECT platform, least(CAST(floor(p * 10) AS BIGINT), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS ay
          FROM ok GROUP BY ALL),
-score AS (SELECT platform, count(*) AS total_n, round(round(avg((p - y) * (p - y)), 12), 5) AS brier FROM ok GROUP BY platform),
+score AS (SELECT platform, count(*) AS total_n, CAST(round(CAST(avg((p - y) * (p - y)) AS DECIMAL(30, 12)), 5) AS DOUBLE) AS brier FROM ok GROUP BY platform),
 frame AS (SELECT g.platform, b.bin FROM (SELECT unnest(['kalshi', 'polymarket']) AS platform) g,
                  (SELECT unnest(range(10)) AS bin) b)
 SELECT f.platform, CAST(f.bin AS INTEGER) AS bin, round(CAST(f.bin AS DOUBLE) / 10, 4) AS lo,
        round(CAST(f.bin + 1 AS DOUBLE) / 10, 4) AS hi, coalesce(b.n, 0) AS n,
-       round(round(b.mp, 12), 4) AS mean_pred, round(round(b.ay, 12), 4) AS obs_freq,
+       CAST(round(CAST(b.mp AS DECIMAL(30, 12)), 4) AS DOUBLE) AS mean_pred, CAST(round(CAST(b.ay AS DECIMAL(30, 12)), 4) AS DOUBLE) AS obs_freq,
        coalesce(s.total_n, 0) AS total_n, s.brier
 FROM frame f LEFT JOIN bins b ON b.platform = f.platform AND b.bin = f.bin LEFT JOIN score s ON s.platform = f.platform""")
 def calibration_query(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import WATCH_AFTER, WATCH_BEFORE
@@ -27,7 +28,7 @@ def start_trade_sink(trades: DataFrame, path: str, checkpoint: str, keys: list[s
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            stored = spark.read.schema(batch.schema.add("batch", "bigint")).parquet(path)
+            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
             fresh = new_rows(batch, stored.filter(F.col("batch") != batch_id), keys)
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
