@@ -15,20 +15,25 @@ def to_double(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
-def json_kind(doc: Column, path: str) -> Column:
-    """Type of a VARIANT member: ``VOID`` for a JSON null, NULL when absent."""
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+def json_member(doc: Column, path: str) -> Column:
+    """A member of a VARIANT document: NULL when absent, a variant null when JSON null."""
+    return F.try_variant_get(doc, path, "variant")
 
 
-def json_plain(doc: Column, path: str) -> Column:
-    """A count or volume in a VARIANT document, quoted or bare, never scaled."""
-    return to_double(F.try_variant_get(doc, path, "string"))
+def json_plain(member: Column) -> Column:
+    """A count or volume, quoted or bare, never scaled."""
+    return to_double(F.try_variant_get(member, "$", "string"))
 
 
-def json_price(doc: Column, path: str) -> Column:
-    """A price in a VARIANT document: text is dollars, an integer cents, a decimal dollars."""
-    value = json_plain(doc, path)
-    return F.when(json_kind(doc, path) == "BIGINT", value / 100).otherwise(value)
+def json_price(member: Column) -> Column:
+    """A price: text is dollars, an integer cents, a decimal dollars."""
+    value = json_plain(member)
+    return F.when(F.schema_of_variant(member) == "BIGINT", value / 100).otherwise(value)
+
+
+def json_given(member: Column) -> Column:
+    """Neither absent nor null."""
+    return member.isNotNull() & ~F.is_variant_null(member)
 
 
 def sql_round(col: Column, digits: int) -> Column:

@@ -10,10 +10,9 @@ from ..constants import TEAM_SUFFIXES
 
 def norm_team(name: Column) -> Column:
     """Comparable team name: lower case, punctuation to blanks, common suffixes dropped."""
-    clean = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9 ]", " ")
-    words = F.filter(F.split(clean, " +"), lambda w: w != "")
-    core = F.filter(words, lambda w: ~w.isin(*TEAM_SUFFIXES))
-    return F.array_join(F.when(F.size(core) > 0, core).otherwise(words), " ")
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    core = F.trim(F.regexp_replace(words, " +(?:" + "|".join(TEAM_SUFFIXES) + ")(?= )", ""))
+    return F.regexp_replace(F.when(core != "", core).otherwise(F.trim(words)), " +", " ")
 
 
 def patch_key(patch: Column) -> Column:

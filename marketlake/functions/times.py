@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import MONTH_CODES, TICKER_ZONE
 
-_ISO = (r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.\d+)?"
-        r"(?:(Z)|([+-])(\d{2})(?::?(\d{2}))?)?")
+# Date, T or blank, time, optional fraction, optional zone; text after that is ignored.
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(Z|[+-]\d{2}(?::?\d{2})?)?"
 _TICKER = r"-(\d{2})(" + "|".join(MONTH_CODES) + r")(\d{2})(\d{2})(\d{2})"
 
 
@@ -42,18 +42,18 @@ def parse_ts(col: Column) -> Column:
     time outside the calendar gives NULL.
     """
     text = F.trim(col.cast("string"))
-    number = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
+    number = text.cast("double")
     epoch = F.when(number > 1e12, number / 1000).otherwise(number).cast("bigint")
-
-    def part(i):
-        return F.regexp_extract(text, _ISO, i)
-
-    stamp = F.try_to_timestamp(F.concat_ws(" ", part(1), part(2)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    offset = (F.coalesce(part(5).try_cast("int"), F.lit(0)) * 3600
-              + F.coalesce(part(6).try_cast("int"), F.lit(0)) * 60)
-    sign = F.when(part(4) == "-", -1).otherwise(1)
-    iso = F.when(text.rlike(_ISO), F.unix_seconds(stamp) - sign * offset)
-    return F.coalesce(epoch, iso)
+    stamp = F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8)),
+                               F.lit("yyyy-MM-dd HH:mm:ss"))
+    zone = F.regexp_extract(text, _ISO, 1)
+    hours = F.substring(zone, 2, 2).cast("int")
+    minutes = F.when(F.length(zone) > 3, F.right(zone, F.lit(2)).cast("int")).otherwise(0)
+    offset = hours * 3600 + minutes * 60
+    shift = (F.when(zone.startswith("+"), -offset).when(zone.startswith("-"), offset).otherwise(0))
+    # Casts run only on text that was matched; failing ones are costly.
+    return (F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), epoch)
+            .when(text.rlike(_ISO), F.unix_seconds(stamp) + shift))
 
 
 def ticker_start(ticker: Column) -> Column:
@@ -63,9 +63,8 @@ def ticker_start(ticker: Column) -> Column:
 
     months = F.array(*[F.lit(m) for m in MONTH_CODES])
     local = F.try_make_timestamp(
-        part(1).try_cast("int") + 2000, F.array_position(months, part(2)).cast("int"),
-        part(3).try_cast("int"), part(4).try_cast("int"),
-        part(5).try_cast("int"), F.lit(0).cast("decimal(8,6)"))
+        part(1).cast("int") + 2000, F.array_position(months, part(2)).cast("int"),
+        part(3).cast("int"), part(4).cast("int"), part(5).cast("int"), F.lit(0).cast("decimal(8,6)"))
     return F.when(ticker.rlike(_TICKER),
                   F.unix_seconds(F.to_utc_timestamp(local, TICKER_ZONE)))
 

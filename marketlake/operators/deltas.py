@@ -39,12 +39,14 @@ def map_winner_candidates(markets: DataFrame) -> DataFrame:
 
 def game_sides(games: DataFrame) -> DataFrame:
     """Finished, dated games once per team, with the team's comparable name."""
-    done = games.filter(F.col("winner").isNotNull() & F.col("date_utc").isNotNull())
-    name = F.explode(F.array(norm_team(F.col("blue_team")), norm_team(F.col("red_team"))))
-    sides = done.withColumn("team_key", name)
-    team = F.when(norm_team(F.col("blue_team")) == F.col("team_key"),
-                  F.col("blue_team")).otherwise(F.col("red_team"))
-    opponent = F.when(team == F.col("blue_team"), F.col("red_team")).otherwise(F.col("blue_team"))
+    done = (games.filter(F.col("winner").isNotNull() & F.col("date_utc").isNotNull())
+            .withColumn("blue_key", norm_team(F.col("blue_team")))
+            .withColumn("red_key", norm_team(F.col("red_team"))))
+    sides = done.withColumn("team_key", F.explode(F.array("blue_key", "red_key")))
+    is_blue = F.col("blue_key") == F.col("team_key")
+    team = F.when(is_blue, F.col("blue_team")).otherwise(F.col("red_team"))
+    opponent = (F.when(is_blue | F.col("blue_team").eqNullSafe(F.col("red_team")), F.col("red_team"))
+                .otherwise(F.col("blue_team")))
     return sides.select("team_key", F.col("game_num").alias("map_n"), "date_utc", "game_id",
                         team.alias("oe_team"), opponent.alias("opponent"), "league", "winner")
 

@@ -71,13 +71,17 @@ def find_cuts(df: DataFrame, keys: list[str], order: str,
     if rows_per_segment is None:
         return None
     limit = rows_per_segment
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > limit).limit(MAX_HOT_KEYS + 1).collect()
-    while len(hot) > MAX_HOT_KEYS:
-        limit *= 4
-        hot = counts.filter(F.col("__n") > limit).limit(MAX_HOT_KEYS + 1).collect()
+    # One job: the largest keys, sorted per task and merged (TakeOrdered).
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+           .orderBy(F.col("__n").desc()).limit(MAX_HOT_KEYS + 1).collect())
     if not hot:
         return None
+    if len(hot) > MAX_HOT_KEYS:
+        # Too many to broadcast: the smaller ones stay whole, at most this limit each.
+        limit = hot[-1]["__n"]
+        hot = [r for r in hot if r["__n"] > limit]
+        if not hot:
+            return None
     spark = df.sparkSession
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("__n", T.LongType())])
     hot_df = spark.createDataFrame([tuple(r) for r in hot], schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TICKER_PLATFORM
-from ..functions.numbers import json_kind, json_plain, json_price, to_double
+from ..functions.numbers import json_given, json_member, json_plain, json_price, to_double
 from ..functions.times import from_seconds, parse_ts, ticker_start
 from .token_exchange import with_sides
 
@@ -90,8 +90,8 @@ def normalize_ticker_trades(trades: DataFrame, value: str = "value", market: str
     return parsed.select(
         F.lit(TICKER_PLATFORM).alias("platform"), _text(v, "trade_id").alias("trade_id"), "market_id",
         from_seconds(ts).alias("ts"),
-        F.coalesce(json_price(v, "$.yes_price_dollars"), json_price(v, "$.yes_price")).alias("price"),
-        F.coalesce(json_plain(v, "$.count_fp"), json_plain(v, "$.count"), F.lit(0.0)).alias("size"),
+        F.coalesce(json_price(json_member(v, "$.yes_price_dollars")), json_price(json_member(v, "$.yes_price"))).alias("price"),
+        F.coalesce(json_plain(json_member(v, "$.count_fp")), json_plain(json_member(v, "$.count")), F.lit(0.0)).alias("size"),
         F.coalesce(_text(v, "taker_side"), F.lit("")).alias("side"), "raw")
 
 
@@ -101,14 +101,11 @@ def _ohlc(v: Column, name: str) -> Column:
     A dollar key holding null passes on to the next source, not to the plain key beside it.
     """
     def of(source):
-        dollars, plain = f"$.{source}.{name}_dollars", f"$.{source}.{name}"
-        has = json_kind(v, dollars)
-        kind = F.when(has.isNotNull(), has).otherwise(json_kind(v, plain))
-        value = F.when(has.isNotNull(), json_price(v, dollars)).otherwise(json_price(v, plain))
-        return kind.isNotNull() & (kind != "VOID"), value
+        # coalesce skips an absent key only: a variant null is a value.
+        return F.coalesce(json_member(v, f"$.{source}.{name}_dollars"), json_member(v, f"$.{source}.{name}"))
 
-    (traded, price), (_, bid) = of("price"), of("yes_bid")
-    return F.when(traded, price).otherwise(bid)
+    traded, bid = of("price"), of("yes_bid")
+    return F.when(json_given(traded), json_price(traded)).otherwise(json_price(bid))
 
 
 def normalize_candles(candles: DataFrame, value: str = "value", market: str = "market_id",
@@ -119,9 +116,8 @@ def normalize_candles(candles: DataFrame, value: str = "value", market: str = "m
                             F.col(value).alias("raw"), F.try_parse_json(value).alias("v"))
 
     def amount(name):
-        fp = json_kind(v, f"$.{name}_fp")
-        plain = F.coalesce(json_plain(v, f"$.{name}"), F.lit(0.0))
-        return F.when(fp.isNotNull() & (fp != "VOID"), json_plain(v, f"$.{name}_fp")).otherwise(plain)
+        fp, plain = json_member(v, f"$.{name}_fp"), json_member(v, f"$.{name}")
+        return F.when(json_given(fp), json_plain(fp)).otherwise(F.coalesce(json_plain(plain), F.lit(0.0)))
 
     end = F.coalesce(_text(v, "end_period_ts").try_cast("bigint"), F.lit(0).cast("bigint"))
     return parsed.select(

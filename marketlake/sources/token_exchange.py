@@ -67,11 +67,9 @@ def normalize_token_markets(events: DataFrame, value: str = "value") -> DataFram
 
 def sorted_levels(levels: Column, best_first_high: bool) -> Column:
     """Levels by price, best first; equal prices keep their order."""
-    def by_price(a, b):
-        up = F.when(a["price"] < b["price"], -1).when(a["price"] > b["price"], 1).otherwise(0)
-        return -up if best_first_high else up
-
-    return F.array_sort(levels, by_price)
+    keyed = F.transform(levels, lambda x, i: F.struct(
+        (-x["price"] if best_first_high else x["price"]).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda r: r["x"])
 
 
 def with_sides(rows: DataFrame, bids: Column, asks: Column) -> DataFrame:
