@@ -19,6 +19,9 @@ from .ordered import ROWS_PER_SEGMENT, SEGMENT, Cuts, find_cuts
 
 _T, _TICK, _TIE, _PROBE, _SALT = "__t", "__tick", "__tie", "__probe", "__salt"
 
+#: Most probed keys sent to every task in order to drop the ticks of all others.
+MAX_BROADCAST_KEYS = 1_000_000
+
 
 @dataclass(frozen=True)
 class _Side:
@@ -90,9 +93,21 @@ def _scan_cut(u: DataFrame, cuts: Cuts, found: str, direction: str) -> DataFrame
             .withColumn(found, F.coalesce(found, "__carry")).drop("__carry"))
 
 
+def _asked(side: _Side) -> DataFrame:
+    """Ticks of the probed keys only, when those keys are few enough to broadcast.
+
+    The count is checked first; beyond it all ticks are sorted, as every key may be asked.
+    """
+    names = side.probes.filter(_not_null(side.keys)).select(*side.keys).distinct()
+    if names.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
+        return side.ticks
+    return side.ticks.join(F.broadcast(names), side.keys, "left_semi")
+
+
 def _lookup(side: _Side, directions: dict[str, str], rows_per_segment: int | None) -> DataFrame:
     """Probe rows (``__probe``) with one tick struct per requested direction."""
     keys = side.keys
+    side = _Side(keys, _asked(side), side.probes)
     every = (side.ticks.select(*keys, _T)
              .unionByName(side.probes.filter(_not_null(keys)).select(*keys, _T)))
     cuts = find_cuts(every, keys, _T, rows_per_segment)

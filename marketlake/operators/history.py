@@ -25,33 +25,37 @@ def pending(markets: DataFrame) -> DataFrame:
     return markets.filter((F.col("backfilled") == 0) & terminal)
 
 
-def backfill_worklist(markets: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pending markets, latest close first (unknown closes lead), with their task.
-
-    Tokens of one condition share a task; a ticker is its own. ``task_volume`` is
-    NULL when any member's volume is unknown, and a task of volume 0 needs no history.
-    """
-    todo = (pending(markets)
-            .select("platform", "market_id", "event_id", "series", "condition_id", "game_start_ts",
-                    "open_ts", "close_ts", market_volume(F.col("raw")).alias("volume"))
-            .orderBy(F.col("close_ts").desc_nulls_first(), "platform", "market_id"))
-    if limit:
-        todo = todo.limit(limit)
+def with_task(markets: DataFrame) -> DataFrame:
+    """Pending markets with their volume and task: tokens of one condition share a task,
+    a ticker is its own."""
     task = F.when(F.col("platform") == TOKEN_PLATFORM,
                   F.coalesce(F.when(F.col("condition_id") != "", F.col("condition_id")),
                              F.col("market_id"))).otherwise(F.col("market_id"))
-    return todo.withColumn("task", task)
+    return (pending(markets)
+            .select("platform", "market_id", "event_id", "series", "condition_id", "game_start_ts",
+                    "open_ts", "close_ts", market_volume(F.col("raw")).alias("volume"))
+            .withColumn("task", task))
+
+
+def backfill_worklist(markets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pending markets, latest close first (unknown closes lead)."""
+    todo = with_task(markets).orderBy(F.col("close_ts").desc_nulls_first(), "platform", "market_id")
+    return todo.limit(limit) if limit else todo
+
+
+def _task_volume() -> list[Column]:
+    return [F.sum("volume").alias("known_volume"),
+            F.sum(F.when(F.col("volume").isNull(), 1).otherwise(0)).alias("n_unknown")]
 
 
 def worklist_tasks(worklist: DataFrame) -> DataFrame:
     """One row per task: members, known volume, and whether history can be skipped.
 
+    A task needs no history when the volumes of all its members are known to be 0.
     Counts and sums only, so a task with many members is combined map-side.
     """
-    unknown = F.sum(F.when(F.col("volume").isNull(), 1).otherwise(0))
     return (worklist.groupBy("platform", "task")
-            .agg(F.count(F.lit(1)).alias("n_markets"), F.sum("volume").alias("known_volume"),
-                 unknown.alias("n_unknown"), F.max("close_ts").alias("close_ts"))
+            .agg(F.count(F.lit(1)).alias("n_markets"), *_task_volume(), F.max("close_ts").alias("close_ts"))
             .withColumn("skip", (F.col("n_unknown") == 0) & (F.col("known_volume") == 0)))
 
 
@@ -107,15 +111,12 @@ def history_chunks(markets: DataFrame, trades: DataFrame, now: int) -> DataFrame
     A token's window ends a day after its own last trade, else after the last trade
     of its condition; a task's volume counts for all its members.
     """
-    todo = backfill_worklist(markets)
-    tasks = worklist_tasks(todo).select(
-        "platform", "task", F.when(F.col("n_unknown") == 0, F.col("known_volume")).alias("task_volume"))
     marks = (trades.groupBy("platform", "market_id")
              .agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("own_last")))
-    known = todo.join(marks, ["platform", "market_id"], "left")
-    task_last = known.groupBy("platform", "task").agg(F.max("own_last").alias("task_last"))
-    ready = (known.join(tasks, ["platform", "task"]).join(task_last, ["platform", "task"])
-             .withColumn("volume", F.col("task_volume"))
+    known = with_task(markets).join(marks, ["platform", "market_id"], "left")
+    tasks = known.groupBy("platform", "task").agg(*_task_volume(), F.max("own_last").alias("task_last"))
+    ready = (known.drop("volume").join(tasks, ["platform", "task"])
+             .withColumn("volume", F.when(F.col("n_unknown") == 0, F.col("known_volume")))
              .withColumn("last_trade_ts", F.coalesce("own_last", "task_last")))
     return (chunk_expand(window_tiers(history_window(ready, now)))
             .select("platform", "market_id", "task", "resolution", "chunk_start", "chunk_end"))

@@ -57,14 +57,14 @@ def _bucketed(outages: DataFrame, now: Column | int, before: int, after: int,
 
     An anchor g has an overlapping outage exactly when g lies in
     [start - after, end + before], so games are looked up by their own bucket and
-    are never exploded. The lowest and highest anchor (scalar subqueries) clip
+    are never exploded. The lowest and highest anchor (one scalar subquery) clip
     the expansion of long or open outages.
     """
     now = now if isinstance(now, Column) else F.lit(now)
     wide = (outages.withColumn("__lo", F.col(start) - after)
             .withColumn("__hi", F.coalesce(F.col(end), now) + before))
-    lo = F.greatest(F.col("__lo"), games.agg(F.min(anchor)).scalar())
-    hi = F.least(F.col("__hi"), games.agg(F.max(anchor)).scalar())
+    span = games.agg(F.struct(F.min(anchor).alias("lo"), F.max(anchor).alias("hi"))).scalar()
+    lo, hi = F.greatest(F.col("__lo"), span["lo"]), F.least(F.col("__hi"), span["hi"])
     return (wide.withColumn("__first", F.floor(lo / BUCKET))
             .withColumn("__last", F.floor(hi / BUCKET))
             .filter("__first <= __last")

@@ -31,7 +31,10 @@ def score_states(states: DataFrame, model: DataFrame, keys: list[str], pre: str
 
 
 def clean_actions(actions: DataFrame) -> DataFrame:
-    """Normalised actions; blank champions are skipped but the others keep their step."""
+    """Normalised actions; blank champions are skipped but the others keep their step.
+
+    Copies of an action are combined map-side, which leaves one row per (draft, step).
+    """
     champion = F.trim(F.coalesce("champion", F.lit("")))
     return (actions.select("draft_id", F.col("step").cast("int").alias("step"),
                            F.upper(F.substring("side", 1, 1)).alias("side"),
@@ -40,7 +43,7 @@ def clean_actions(actions: DataFrame) -> DataFrame:
                            F.greatest(F.lit(PRE_CLAMP), F.least(F.lit(1 - PRE_CLAMP), F.col("pre_blue")))
                            .alias("pre_blue"),
                            F.trim(F.coalesce("patch", F.lit(""))).alias("patch"))
-            .filter(F.col("champion") != ""))
+            .filter(F.col("champion") != "").distinct())
 
 
 def _feature(name: Column, since: Column, until: Column | None, *parts: Column) -> Column:

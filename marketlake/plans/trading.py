@@ -10,7 +10,7 @@ from ..functions.times import micros, parse_ts, ticker_start
 from ..operators.calibration import calibration
 from ..operators.catalog import (coverage, event_markets, event_members, ilike_any, inner_catalog, platform_status,
                                  search_games, search_with_coverage, watch_tiers)
-from ..operators.history import backfill_worklist, history_chunks, month_windows, worklist_tasks
+from ..operators.history import backfill_worklist, history_chunks, month_windows, with_task, worklist_tasks
 from ..operators.merge import partial_upsert, set_fields
 from ..operators.series import finest_series, mid_series
 from ..sinks.append import append_series
@@ -203,7 +203,7 @@ SELECT platform, task, count(*) AS n_markets, round(sum(volume), 2) AS known_vol
        count(*) FILTER (WHERE volume IS NULL) = 0 AND sum(volume) = 0 AS skip
 FROM todo GROUP BY platform, task""")
 def worklist_tasks_query(t):
-    tasks = worklist_tasks(backfill_worklist(order_markets(t)))
+    tasks = worklist_tasks(with_task(order_markets(t)))
     return tasks.withColumn("known_volume", F.round("known_volume", 2))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,28 +20,42 @@ def stream_trade_dedupe(trades: DataFrame, keys: list[str], time: str = "ts") ->
     return trades.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(keys)
 
 
-def start_trade_sink(trades: DataFrame, path: str, checkpoint: str, keys: list[str], *,
+def start_trade_sink(trades: DataFrame, path: str, checkpoint: str, keys: list[str], *, time: str = "ts",
                      available_now: bool = False) -> StreamingQuery:
     """Append new trades; repeats older than the watermark are held off by the stored keys.
 
-    A batch is written to its own directory, so a repeated batch replaces itself.
+    A repeated trade has the same time, so only stored rows inside the batch's time span
+    are compared (the bounds reach the scan). A batch is written to its own directory,
+    so a repeated batch replaces itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        batch.persist()
         try:
-            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-            fresh = new_rows(batch, stored.filter(F.col("batch") != batch_id), keys)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = batch
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            span = batch.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+            if span["lo"] is not None:
+                stored = _stored(batch, path)
+                fresh = batch if stored is None else new_rows(
+                    batch, stored.filter((F.col("batch") != batch_id) & F.col(time).between(span["lo"], span["hi"])), keys)
+                fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = trades.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now
             else writer.trigger(processingTime="60 seconds")).start()
 
 
+def _stored(batch: DataFrame, path: str) -> DataFrame | None:
+    """The table written so far, None before the first batch."""
+    schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        return batch.sparkSession.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def start_catalog_log(sightings: DataFrame, path: str, checkpoint: str, *,
                       available_now: bool = False) -> StreamingQuery:
     """Append every micro-batch of sightings to ``path/batch=<id>`` with its sequence.

@@ -91,3 +91,13 @@ def test_nearest_hot_equals_plain(spark):
     plain = nearest(p, g, ["k"], "at", "d", ["g"], tie="g", tolerance=50, rows_per_segment=None)
     hot = nearest(p, g, ["k"], "at", "d", ["g"], tie="g", tolerance=50, rows_per_segment=25)
     assert plain.count() > 100 and same(plain, hot)
+
+
+def test_many_probed_keys_keep_all_ticks(spark, ticks, monkeypatch):
+    """Above the broadcast limit nothing is pruned and the result is the same."""
+    from marketlake.operators import asof
+
+    p = probes(spark, ("a", 250), ("b", 600), ("z", 1))
+    few = rows(asof_backward(p, ticks, ["k"], "at", "t", ["p"], tie="res"))
+    monkeypatch.setattr(asof, "MAX_BROADCAST_KEYS", 2)
+    assert rows(asof_backward(p, ticks, ["k"], "at", "t", ["p"], tie="res")) == few
