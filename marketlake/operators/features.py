@@ -23,12 +23,16 @@ def side_sets(picks: DataFrame, bans: DataFrame) -> DataFrame:
 
     Sets are combined map-side and bounded by the champion list.
     """
-    p = picks.groupBy("game_id", "team").agg(
-        F.array_sort(F.collect_set("champion")).alias("picks"),
-        F.map_from_entries(F.collect_set(F.struct(
-            "champion", F.coalesce("position", F.lit("")).alias("role")))).alias("roles"))
-    b = bans.groupBy("game_id", "team").agg(F.array_sort(F.collect_set("champion")).alias("bans"))
-    return p.join(b, ["game_id", "team"], "full_outer")
+    none = F.lit(None).cast("string")
+    rows = (picks.select("game_id", "team", F.col("champion").alias("pick"),
+                         F.coalesce("position", F.lit("")).alias("role"), none.alias("ban"))
+            .unionByName(bans.select("game_id", "team", none.alias("pick"), none.alias("role"),
+                                     F.col("champion").alias("ban"))))
+    played = F.when(F.col("pick").isNotNull(), F.struct("pick", "role"))
+    return rows.groupBy("game_id", "team").agg(
+        F.array_sort(F.collect_set("pick")).alias("picks"),
+        F.map_from_entries(F.collect_set(played)).alias("roles"),
+        F.array_sort(F.collect_set("ban")).alias("bans"))
 
 
 def own_enemy_sets(games: DataFrame, sides: DataFrame) -> DataFrame:

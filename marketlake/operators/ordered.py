@@ -26,8 +26,9 @@ ROWS_PER_SEGMENT = 4_000_000
 #: Most hot keys taken to the driver; beyond it the row limit is raised instead.
 MAX_HOT_KEYS = 50_000
 
-#: Most cuts per key.
+#: Most cuts per key, and about the most in all (they are broadcast).
 MAX_CUTS = 4096
+MAX_ALL_CUTS = 1_000_000
 
 SEGMENT = "__segment"
 
@@ -82,6 +83,7 @@ def find_cuts(df: DataFrame, keys: list[str], order: str,
         hot = [r for r in hot if r["__n"] > limit]
         if not hot:
             return None
+    limit = max(limit, sum(r["__n"] for r in hot) // MAX_ALL_CUTS)
     spark = df.sparkSession
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("__n", T.LongType())])
     hot_df = spark.createDataFrame([tuple(r) for r in hot], schema)

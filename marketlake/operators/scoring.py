@@ -113,25 +113,26 @@ def score_draft_steps(actions: DataFrame, model: DataFrame, top: int = 6) -> Dat
     steps = clean_actions(actions)
     active = draft_features(steps).join(coefficients(model), "feature")
 
+    term = F.struct((-F.abs(sql_round(F.col("coef"), 4))).alias("rank"), "feature",
+                    sql_round(F.col("coef"), 4).alias("coef"), "n")
     changes = (active.select("draft_id", F.explode(F.array(
                    F.struct(F.col("since").alias("step"), F.col("coef").alias("change")),
                    F.struct(F.col("until").alias("step"), (-F.col("coef")).alias("change")))).alias("e"))
-               .select("draft_id", "e.*").filter(F.col("step").isNotNull())
-               .groupBy("draft_id", "step").agg(F.sum("change").alias("change")))
-
-    term = F.struct((-F.abs(sql_round(F.col("coef"), 4))).alias("rank"), "feature",
-                    sql_round(F.col("coef"), 4).alias("coef"), "n")
+               .select("draft_id", "e.step", "e.change").filter(F.col("step").isNotNull()))
     named = (active.select("draft_id", "feature", "coef", "n", "since", "until",
                            F.explode(F.array_distinct("parts")).alias("champion"))
              .join(steps.select("draft_id", "step", "champion"), ["draft_id", "champion"])
              .filter((F.col("since") <= F.col("step"))
                      & (F.col("until").isNull() | (F.col("step") < F.col("until"))))
-             .groupBy("draft_id", "step").agg(F.collect_list(term).alias("terms")))
+             .select("draft_id", "step", term.alias("term")))
+    # Changes and terms of a step meet in one aggregation.
+    per_step = (changes.unionByName(named, allowMissingColumns=True).groupBy("draft_id", "step")
+                .agg(F.sum("change").alias("change"), F.collect_list("term").alias("terms")))
 
     w = Window.partitionBy("draft_id").orderBy("step")
     total = F.sum(F.coalesce("change", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     p = sigmoid(logit(F.col("pre_blue")) + total)
-    return (steps.join(changes, ["draft_id", "step"], "left").join(named, ["draft_id", "step"], "left")
+    return (steps.join(per_step, ["draft_id", "step"], "left")
             .withColumn("p", p)
             .withColumn("dp", F.col("p") - F.coalesce(F.lag("p").over(w), F.col("pre_blue")))
             .select("draft_id", "step", "side", "action", "champion", "role",
