@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,8 +36,7 @@ class Tables:
     """The given Parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = configure(spark), sf_dir
         self._read: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile larger methods; such stages then run as smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 STREAM_CONF = {
