@@ -6,9 +6,11 @@ is one small value per key; a micro-batch is bounded by the source's file limit.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .run import WATERMARK_SECONDS, use_rocksdb
 
 
+# The state classes travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
