@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontam, quality
+from marketlake.llm import decontam, language, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_decontamination"] = decontam.SQL
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~language.held_out(docs["doc_id"])))
+    out = language.predict(docs, model)
+    return out.withColumn("held_out", language.held_out(out["doc_id"]))
