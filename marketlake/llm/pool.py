@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words kept by one worker; beyond it the pool starts anew.
-POOL_WORDS = 300_000
+POOL_WORDS = 400_000
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
