@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, pieces, quality, tokens
+from marketlake.llm import decontam, language, pieces, pii, quality, tokens
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     manifest = tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return tokens.read(manifest, path, with_ids=False)
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+SQL["op3_personal_data"] = pii.SQL
