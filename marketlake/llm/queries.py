@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, pieces, pii, quality, tokens
+from marketlake.llm import decontam, language, pieces, pii, quality, tokens, toxicity
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_personal_data"] = pii.SQL
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", language.held_out(out["doc_id"]).alias("held_out"), "score", "predicted")
