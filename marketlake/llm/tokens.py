@@ -58,13 +58,14 @@ def pack(ids: np.ndarray, block: int = 256, percentile: int = 90) -> list[bytes]
         over = delta >= (np.int64(1) << width)[:, None]
         made: list[bytes] = [b""] * len(rows)
         for w in np.unique(width).tolist():
-            which = np.flatnonzero(width == w)
-            bits = ((delta[which][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(which), -1)
-            packed = np.packbits(bits, axis=1, bitorder="little")
-            for i, r in enumerate(which.tolist()):
-                at = np.flatnonzero(over[r])
-                made[r] = b"".join([_BLOCK.pack(int(least[r]), w, len(at)), packed[i].tobytes(), at.astype("<u4").tobytes(),
-                                    delta[r, at].astype("<u4").tobytes()])
+            of_width = np.flatnonzero(width == w)
+            for which in np.array_split(of_width, -(-len(of_width) // 512)):
+                bits = ((delta[which].astype(np.uint32)[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+                packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+                for i, r in enumerate(which.tolist()):
+                    at = np.flatnonzero(over[r])
+                    made[r] = b"".join([_BLOCK.pack(int(least[r]), w, len(at)), packed[i].tobytes(), at.astype("<u4").tobytes(),
+                                        delta[r, at].astype("<u4").tobytes()])
         out += made
     return out
 
@@ -143,6 +144,12 @@ class Encoder:
         return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """One encoder and its pool of words for all tasks of a worker."""
+    return Encoder(path, end_id)
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text",
           file_ids: int = 4_000_000, block: int = 256, percentile: int = 90) -> DataFrame:
     """Encode all documents in ascending order of id into files below ``path``; returns the manifest.
@@ -162,7 +169,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
 
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        encoder, part = Encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         sequence = before = 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
@@ -180,7 +187,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
 
         for batch in batches:
             for piece in flat.slices(batch):
-                ids, sizes = encoder.texts(piece.column("text").to_pylist())
+                ids, sizes = coder.texts(piece.column("text").to_pylist())
                 held.append((piece.column("doc_id").to_pylist(), sizes, ids))
                 if sum(len(x[2]) for x in held) >= file_ids:
                     yield flush()
