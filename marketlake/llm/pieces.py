@@ -206,6 +206,12 @@ def _cut_run(word: str) -> Iterator[str]:
     yield SPACE * n
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder and its pool of words for all tasks of a worker."""
+    return Encoder(load(path))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of every whole text, as the library encodes it without begin or end ids.
 
@@ -218,10 +224,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     at_text = names[keep.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path))
+        coder = encoder(path)
         for batch in batches:
             for part in flat.slices(batch, at_text):
-                ids, size = encoder.texts(part.column(at_text).to_pylist())
+                ids, size = coder.texts(part.column(at_text).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names], lists], [*names, "ids"])
 
