@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, pieces, pii, quality, tokens, toxicity
+from marketlake.llm import decontam, language, neardup, pieces, pii, quality, tokens, toxicity
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", language.held_out(out["doc_id"]).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar 4-word shingle sets."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_near_duplicates"] = neardup.SQL
