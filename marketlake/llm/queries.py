@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, neardup, pieces, pii, quality, tokens, toxicity
+from marketlake.llm import decontam, language, neardup, pieces, pii, quality, tokens, toxicity, wrappers
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_near_duplicates"] = neardup.SQL
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page through the wrapper of its host."""
+    return wrappers.extract(table(spark, sf_dir, "pages"))
