@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
 #: Words kept by one worker; beyond it the pool starts anew.
-POOL_WORDS = 400_000
+POOL_WORDS = 1_000_000
 
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -33,7 +34,9 @@ class WordPool:
         """The code of each word; words not seen before are encoded together."""
         if len(self.code) > POOL_WORDS:
             self.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in self.code]
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        missing = list(dict.fromkeys([words[i] for i in unknown]))
         if missing:
             ids, size = self.encode(missing)
             n = len(self.code)
@@ -44,7 +47,8 @@ class WordPool:
             self.size[n: n + len(missing)] = size
             self.used += len(ids)
             self.code.update(zip(missing, range(n, n + len(missing))))
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+            codes[unknown] = [self.code[words[i]] for i in unknown]
+        return codes
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the coded words in order, and how many each has."""

@@ -28,12 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm import flat
-from marketlake.llm.pool import WordPool
+from marketlake.llm.pool import WordPool, spread
 from marketlake.session import materialize
 
 _HEAD = struct.Struct("<4sIIIQQQQ32s")
 _BLOCK = struct.Struct("<IBI")
 _SPLIT = re.compile(r"[ \n\t]+")
+#: Words of ASCII and Latin-1 letters, whose parts in the vocabulary's own splitting are known: contractions,
+#: runs of letters, single digits, runs of other signs. Each part ends with an id of a word end.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+", re.I)
+_END = "</w>"
 
 
 def bit_width(values: np.ndarray) -> np.ndarray:
@@ -59,7 +64,7 @@ def pack(ids: np.ndarray, block: int = 256, percentile: int = 90) -> list[bytes]
         made: list[bytes] = [b""] * len(rows)
         for w in np.unique(width).tolist():
             of_width = np.flatnonzero(width == w)
-            for which in np.array_split(of_width, -(-len(of_width) // 512)):
+            for which in np.array_split(of_width, -(-len(of_width) // 128)):
                 bits = ((delta[which].astype(np.uint32)[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
                 packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
                 for i, r in enumerate(which.tolist()):
@@ -125,11 +130,29 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int | None):
         self.tokenizer, self.end_id = _tokenizer(path), end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
         self.pool = WordPool(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+        """Plain words are encoded as one text and cut at word ends, others one by one."""
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w) and "<|" not in w]
+        rest = sorted(set(range(len(words))) - set(plain))
+        parts = np.array([len(_PARTS.findall(words[i])) for i in plain], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i] for i in plain)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.is_end[ids])
+        if len(ends) != parts.sum():
+            raise ValueError("the vocabulary splits words in another way")
+        size = np.zeros(len(words), np.int64)
+        size[plain] = np.diff(np.concatenate([[0], ends[np.cumsum(parts) - 1] + 1])) if len(plain) else 0
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        size[rest] = [len(x) for x in lists]
+        out = np.empty(size.sum(), np.int32)
+        start = np.cumsum(size) - size
+        out[spread(start[plain], size[plain])] = ids
+        out[spread(start[rest], size[rest])] = [i for x in lists for i in x]
+        return out, size
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words, n_words = [], []
@@ -151,7 +174,7 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text",
-          file_ids: int = 4_000_000, block: int = 256, percentile: int = 90) -> DataFrame:
+          file_ids: int = 4_000_000, block: int = 1_024, percentile: int = 90) -> DataFrame:
     """Encode all documents in ascending order of id into files below ``path``; returns the manifest.
 
     The texts are dealt by ranges of (id, hash of the text), so repeated ids may spread, and
