@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, neardup, pieces, pii, quality, tokens, toxicity, wrappers
+from marketlake.llm import decontam, language, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ SQL["op2_near_duplicates"] = neardup.SQL
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page through the wrapper of its host."""
     return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that occur in another document too."""
+    return passages.passages(table(spark, sf_dir, "documents"))
