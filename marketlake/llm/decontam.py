@@ -137,7 +137,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_patt
     total = found.count()
     n_blocks = max(1, -(-total // block_patterns))
     names = [f"k{i}" for i in range(len(keep))]
-    out = docs.select(*[docs[c].alias(k) for k, c in zip(names, keep)], docs[doc_text].alias("dtext"),
+    at_text = names[keep.index(doc_text)] if doc_text in keep else "dtext"
+    carried = names if doc_text in keep else [*names, "dtext"]
+    out = docs.select(*[docs[c].alias(k) for k, c in zip(names, keep)], *([] if doc_text in keep else [docs[doc_text].alias("dtext")]),
                       F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("cover"),
                       F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
@@ -150,8 +152,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_patt
         def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             searcher = tables.value
             for batch in batches:
-                for piece in flat.slices(batch, "dtext"):
-                    yield _scan(piece, searcher, names)
+                for piece in flat.slices(batch, at_text):
+                    yield _scan(piece, searcher, carried, at_text)
 
         out = out.mapInArrow(scan, schema)
     ranges = F.expr("transform(filter(sequence(0, size(cover)), i -> i % 2 = 0 and i + 1 < size(cover)), "
@@ -159,8 +161,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_patt
     return out.select(*[out[k].alias(c) for k, c in zip(names, keep)], "n_words", ranges.alias("hits"), "items")
 
 
-def _scan(piece: pa.RecordBatch, searcher: Searcher | None, names: list[str]) -> pa.RecordBatch:
-    data, at = flat.texts(piece.column("dtext"))
+def _scan(piece: pa.RecordBatch, searcher: Searcher | None, carried: list[str], at_text: str) -> pa.RecordBatch:
+    data, at = flat.texts(piece.column(at_text))
     data = flat.LOWER[data]
     seg = flat.words(data, at, flat.ALNUM)
     covers, items = piece.column("cover").to_pylist(), [set(x) for x in piece.column("items").to_pylist()]
@@ -181,9 +183,9 @@ def _scan(piece: pa.RecordBatch, searcher: Searcher | None, names: list[str]) ->
                 merged += [a, b]
         covers[doc] = merged
     return pa.RecordBatch.from_arrays(
-        [piece.column(k) for k in names] + [piece.column("dtext"), pa.array(seg.counts(), pa.int64()), pa.array(covers, pa.list_(pa.int64())),
-                                            pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-        [*names, "dtext", "n_words", "cover", "items"])
+        [piece.column(k) for k in carried] + [pa.array(seg.counts(), pa.int64()), pa.array(covers, pa.list_(pa.int64())),
+                                              pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+        [*carried, "n_words", "cover", "items"])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -100,13 +100,14 @@ def quality(docs: DataFrame, bands: Bands = Bands(), text: str = "text", keep: l
     """
     keep = ["doc_id"] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
-    inner = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("qtext"))
+    inner = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [docs[text].alias("qtext")]))
+    at_text = f"k{keep.index(text)}" if text in keep else "qtext"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            for part in flat.slices(batch, "qtext"):
-                data, at = flat.texts(part.column("qtext"))
+            for part in flat.slices(batch, at_text):
+                data, at = flat.texts(part.column(at_text))
                 out = counts(data, at)
                 view = memoryview(np.ascontiguousarray(data))
                 pairs = [ratios(view[a:b], bands, packer) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
