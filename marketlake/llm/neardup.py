@@ -4,8 +4,9 @@ Each document is its set of word shingles. Equal sets form one class at once. Cl
 branch down independent trees: at every node a class goes to the branches named by selected
 minwise tokens of its set, so similar sets keep meeting while others part. Nodes that become
 small are compared in all pairs; nodes that stay large after the last level hold sets that
-are alike, and are resolved by pivots first and then, for what pivots leave apart, in all
-pairs across components. Links are confirmed on the full sets.
+are alike: in bounded blocks every member finds its most similar one first, and whatever then
+lies outside a node's largest component is compared with all members, block by block. Links
+are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -34,18 +35,21 @@ class Join:
     """Parameters. ``percent``: links have 100 * intersection >= percent * union.
 
     A pair of similarity s meets in a tree with probability s at the root and
-    1 - (1 - s) ** branches at each further level: 8 trees miss a pair at 0.8 about 4 times in
-    a million. ``loose`` is the estimate (share of equal minwise tokens) below which a
-    candidate is not looked at: more than five standard deviations below 0.8.
+    1 - (1 - s ** chosen) ** branches at each further level: 8 trees miss a pair at 0.8 about 4
+    times in a million. A pair at 0.4 meets again in 0.4 branches on average, so frequent
+    passages part. ``loose`` is the estimate (share of equal minwise tokens) below which a
+    candidate is not looked at: more than four standard deviations below 0.8.
     """
 
     words: int = 4
     percent: int = 80
     trees: int = 8
-    branches: int = 3
+    chosen: int = 3
+    branches: int = 6
     levels: int = 4
     small: int = 16
-    loose: float = 0.5
+    block: int = 128
+    loose: float = 0.55
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +147,69 @@ def grow(classes: DataFrame, join: Join) -> tuple[list[DataFrame], DataFrame]:
         if level == join.levels - 1 or not sizes.where(f"members > {join.small}").limit(1).count():
             return small, materialize(large.select("node", "id"), "large-nodes")
         branch = F.explode(F.sequence(F.lit(0), F.lit(join.branches - 1))).alias("branch")
-        spot = f"cast({join.trees} + pmod(xxhash64(tree, {level}, branch), {TOKENS - join.trees}) as int)"
+        spots = ", ".join(f"tokens[cast({join.trees} + pmod(xxhash64(tree, {level}, branch, {i}), {TOKENS - join.trees}) as int)]"
+                          for i in range(join.chosen))
         rows = large.select("node", "id", "tree", branch).join(classes.select("id", "tokens"), "id").select(
-            "id", F.expr(f"xxhash64(node, branch, tokens[{spot}])").alias("node"), "tree")
+            "id", F.expr(f"xxhash64(node, branch, {spots})").alias("node"), "tree")
     raise AssertionError("levels is at least 1")
 
 
+def partners(blocks: DataFrame, join: Join) -> DataFrame:
+    """The most similar member (by minwise tokens) of each member of a block (ids, n, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, n, tokens in zip(*[batch.column(c) for c in ("ids", "n", "tokens")]):
+                ids, n = np.asarray(ids.values), np.asarray(n.values)
+                grid = np.asarray(tokens.values).reshape(len(ids), TOKENS)
+                equal = np.zeros((len(ids), len(ids)), np.int16)
+                for k in range(TOKENS):
+                    equal += grid[:, k, None] == grid[None, :, k]
+                equal[100 * np.minimum(n[:, None], n) < join.percent * np.maximum(n[:, None], n)] = 0
+                np.fill_diagonal(equal, 0)
+                best = equal.argmax(1)
+                good = equal[np.arange(len(ids)), best] >= join.loose * TOKENS
+                yield pa.RecordBatch.from_arrays([pa.array(ids[good]), pa.array(ids[best[good]])], ["a", "b"])
+
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def across(met: DataFrame, join: Join) -> DataFrame:
+    """Similar pairs of different components between two blocks (out, all) of (id, c, f, text), on full sets."""
+
+    def load(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        part = pa.RecordBatch.from_struct_array(column)
+        data, at = flat.texts(part.column("text"))
+        sets, first = shingles(data, at, join.words)
+        size = np.diff(first)
+        prints = np.zeros(len(size), np.uint64)
+        full = np.flatnonzero(size > 0)
+        prints[full] = np.add.reduceat(sets, first[full]) if len(full) else 0
+        size = np.where(prints.view(np.int64) == np.asarray(part.column("f")), size, 0)
+        return np.asarray(part.column("id")), np.asarray(part.column("c")), np.repeat(np.arange(len(size)), np.diff(first)), sets, size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for out, every in zip(batch.column("out"), batch.column("all")):
+                (ia, ca, ra, xa, na), (ib, cb, rb, xb, nb) = load(out.values), load(every.values)
+                values, spot = np.unique(np.concatenate([xa, xb]), return_inverse=True)
+                common = np.zeros((len(ia), len(ib)), np.float32)
+                for low in range(0, len(values), 1 << 15):
+                    left, right = (np.zeros((len(i), 1 << 15), np.float32) for i in (ia, ib))
+                    for grid, rows, spots in ((left, ra, spot[: len(xa)]), (right, rb, spot[len(xa):])):
+                        use = (spots >= low) & (spots < low + (1 << 15))
+                        grid[rows[use], spots[use] - low] = 1
+                    common += left @ right.T
+                total = na[:, None] + nb[None, :] - common
+                good = (100 * common >= join.percent * total) & (common > 0) & (ca[:, None] != cb[None, :]) & (na[:, None] > 0) & (nb[None, :] > 0)
+                i, j = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j]))], ["a", "b"])
+
+    kind = met.schema["out"].dataType.elementType["id"].dataType.simpleString()
+    return met.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document.
 
@@ -180,30 +241,37 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id"
             "flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
         within = made if within is None else within.union(made)
     candidates = checked(within, "candidates")
-    # First the most similar partner of each class, and pivots of large nodes: a forest that connects most.
+    # First the most similar partner of each class, in small nodes and in blocks of large ones: a forest that connects most.
     best = candidates.select("a", "b", "equal").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
     best = best.groupBy("a").agg(F.max(F.struct("equal", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
-    pivots = materialize(large.groupBy("node").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(r)), "id")).alias(f"p{r}") for r in range(3)]).select(
-        "node", F.explode(F.array_distinct(F.array(*[F.col(f"p{r}.id") for r in range(3)]))).alias("pivot")), "pivots")
+    sizes = materialize(large.groupBy("node").agg(F.count("*").alias("members")), "large-sizes")
+    dealt = large.join(sizes, "node").withColumn("block", F.expr(f"pmod(xxhash64(id, node), cast(ceil(members / {join.block}) as int))"))
+    blocks = dealt.join(classes.select("id", "n", "tokens"), "id").groupBy("node", "block").agg(
+        F.collect_list("id").alias("ids"), F.collect_list("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    starred = large.join(pivots, "node").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    forest = best.select(*ordered).union(checked(starred.select(*ordered), "starred").select("a", "b")).distinct()
+    forest = best.union(partners(blocks.select("ids", "n", "tokens"), join)).select(*ordered).distinct()
     forest = forest.join(sides[0].select("a", "fa"), "a").join(sides[1].select("b", "fb"), "b")
     links = confirmed(forest, "forest-links")
     named = components(links)
     # Then every candidate that still lies across components.
-    known = classes.select("id").join(named.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"))
+    known = classes.select("id", "f").join(named.withColumnRenamed("node", "id"), "id", "left").select("id", "f", F.coalesce("component", "id").alias("c"))
     known = materialize(known, "known")
     ca, cb = known.select(F.col("id").alias("a"), F.col("c").alias("ca")), known.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-    apart = candidates.select("a", "b", "fa", "fb").join(ca, "a").join(cb, "b").where("ca <> cb")
-    placed = materialize(large.join(known, "id"), "placed")
+    apart = candidates.select("a", "b", "fa", "fb").join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b", "fa", "fb")
+    more = confirmed(apart, "more-links")
+    placed = materialize(large.join(known, "id").select("node", "id", "f", "c"), "placed")
     parts = materialize(placed.groupBy("node", "c").agg(F.count("*").alias("n")), "node-parts")
-    main = materialize(parts.groupBy("node").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("node", F.col("m.c").alias("main")), "main-parts")
-    others = materialize(placed.join(main, "node").where("c <> main").select("node", F.col("id").alias("o"), F.col("c").alias("co")), "outsiders")
-    if others.limit(1).count():
-        across = placed.join(others, "node").where("c <> co").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-        apart = apart.unionByName(checked(across, "across").select("a", "b", "fa", "fb").withColumns({"ca": F.lit(None).cast("long"), "cb": F.lit(None).cast("long")}))
-    more = confirmed(apart.select("a", "b", "fa", "fb").distinct(), "more-links")
+    main = parts.groupBy("node").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("members")).where("k > 1")
+    main = materialize(main.select("node", "members", F.col("m.c").alias("main")), "main-parts")
+    if main.limit(1).count():
+        rep = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text")
+        open_nodes = placed.join(main, "node").join(rep, "id").withColumn(
+            "block", F.expr(f"pmod(xxhash64(id, node), cast(ceil(members / {join.block}) as int))"))
+        member = F.collect_list(F.struct("id", "c", "f", "text"))
+        everyone = materialize(open_nodes.groupBy("node", "block").agg(member.alias("all")), "node-blocks")
+        outside = materialize(open_nodes.where("c <> main").groupBy("node", "block").agg(member.alias("out")), "outside-blocks")
+        met = outside.join(everyone.select("node", "all"), "node").select("out", "all")
+        more = more.union(materialize(across(met, join), "across-links"))
     named = components(links.union(more))
     final = materialize(classes.select("id", "f", "g", "n").join(named.withColumnRenamed("node", "id"), "id", "left").select(
         "f", "g", "n", F.coalesce("component", "id").alias("component")), "class-components")

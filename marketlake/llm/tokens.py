@@ -8,8 +8,8 @@ each block starts and how many ids each document has.
 File layout, little-endian: magic ``PFOR``, u32 block size, u32 partition, u32 sequence,
 u64 ids before this file in its partition, u64 ids, u64 documents, u64 blocks, 32 bytes file
 name; then u64 block starts, i64 document ids, u8 whether the id is present, u64 ids of each
-document; then blocks: u32 minimum, u8 width, u32 exceptions, packed bits, u32 positions,
-u32 differences.
+document; then blocks: u32 minimum, u8 width, u8 bytes of an exception, u32 exceptions, packed
+bits, u16 positions, differences of 2 or 4 bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from marketlake.llm.pool import WordPool, spread
 from marketlake.session import materialize
 
 _HEAD = struct.Struct("<4sIIIQQQQ32s")
-_BLOCK = struct.Struct("<IBI")
+_BLOCK = struct.Struct("<IBBI")
 _SPLIT = re.compile(r"[ \n\t]+")
 #: Words of ASCII and Latin-1 letters, whose parts in the vocabulary's own splitting are known: contractions,
 #: runs of letters, single digits, runs of other signs. Each part ends with an id of a word end.
@@ -48,6 +48,8 @@ def bit_width(values: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, block: int = 256, percentile: int = 90) -> list[bytes]:
     """The blocks of an id array; full blocks of one width are packed together."""
+    if not 0 < block <= 1 << 16:
+        raise ValueError("a block has 1 to 65,536 ids")
     if not len(ids):
         return []
     ids = ids.astype(np.int64)
@@ -69,22 +71,23 @@ def pack(ids: np.ndarray, block: int = 256, percentile: int = 90) -> list[bytes]
                 packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
                 for i, r in enumerate(which.tolist()):
                     at = np.flatnonzero(over[r])
-                    made[r] = b"".join([_BLOCK.pack(int(least[r]), w, len(at)), packed[i].tobytes(), at.astype("<u4").tobytes(),
-                                        delta[r, at].astype("<u4").tobytes()])
+                    wide = 4 if len(at) and delta[r, at].max() > 0xFFFF else 2
+                    made[r] = b"".join([_BLOCK.pack(int(least[r]), w, wide, len(at)), packed[i].tobytes(), at.astype("<u2").tobytes(),
+                                        delta[r, at].astype(f"<u{wide}").tobytes()])
         out += made
     return out
 
 
 def unpack(data: bytes, start: int, n: int) -> np.ndarray:
     """The n ids of the block at a byte position."""
-    least, w, n_over = _BLOCK.unpack_from(data, start)
+    least, w, wide, n_over = _BLOCK.unpack_from(data, start)
     start += _BLOCK.size
     size = -(-n * w // 8)
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, start), bitorder="little", count=n * w).reshape(n, w)
     ids = bits.astype(np.int64) @ (np.int64(1) << np.arange(w, dtype=np.int64)) if w else np.zeros(n, np.int64)
     start += size
-    at = np.frombuffer(data, "<u4", n_over, start)
-    ids[at] = np.frombuffer(data, "<u4", n_over, start + 4 * n_over)
+    at = np.frombuffer(data, "<u2", n_over, start)
+    ids[at] = np.frombuffer(data, f"<u{wide}", n_over, start + 2 * n_over)
     return ids + least
 
 
@@ -174,7 +177,7 @@ def encoder(path: str, end_id: int | None) -> Encoder:
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text",
-          file_ids: int = 4_000_000, block: int = 1_024, percentile: int = 90) -> DataFrame:
+          file_ids: int = 4_000_000, block: int = 1_024, percentile: int = 95) -> DataFrame:
     """Encode all documents in ascending order of id into files below ``path``; returns the manifest.
 
     The texts are dealt by ranges of (id, hash of the text), so repeated ids may spread, and

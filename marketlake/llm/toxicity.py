@@ -21,7 +21,7 @@ from marketlake.llm import flat
 from marketlake.llm.language import held_out
 
 #: Labelled rows of each class that a fit reads at most (chosen by a hash of the id).
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8_000
 #: Sketches of the shared continuation counts: a fixed number of 64-bit sets of contexts.
 WORD_SLOTS, PREFIX_SLOTS = 1 << 18, 1 << 16
 PREFIX_BYTES = 5
@@ -64,17 +64,18 @@ def class_counts(labelled: DataFrame) -> DataFrame:
                     use = np.flatnonzero(keys != 0)
                     use = use[np.unique(flat.fold(seg.doc[use], keys[use]), return_index=True)[1]]
                     found, head, inverse = np.unique(keys[use], return_index=True, return_inverse=True)
-                    counts = np.bincount(inverse * 4 + cell[use], minlength=4 * len(found)).reshape(-1, 4).astype(np.int32)
+                    counts = np.bincount(inverse * 4 + cell[use], minlength=4 * len(found)).reshape(-1, 4)
                     prev = before[use][head] if kind == _PAIR else np.zeros(len(found), np.uint64)
+                    # Four counts in one number: each stays below 2 ** 15, as the sample does.
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found), kind, np.int32)), pa.array(found.view(np.int64)), pa.array(prev.view(np.int64)),
-                         *[pa.array(np.ascontiguousarray(counts[:, i])) for i in range(4)]],
-                        ["kind", "key", "before", "toxic_fit", "plain_fit", "toxic_cal", "plain_cal"])
+                        [pa.array(np.full(len(found), kind, np.int8)), pa.array(found.view(np.int64)), pa.array(prev.view(np.int64)),
+                         pa.array(counts @ (np.int64(1) << np.array([0, 15, 30, 45])))], ["kind", "key", "before", "packed"])
 
     cells = ["toxic_fit", "plain_fit", "toxic_cal", "plain_cal"]
-    rows = labelled.select("text", "toxic", "calibrate").mapInArrow(
-        count, "kind int, key long, before long, toxic_fit int, plain_fit int, toxic_cal int, plain_cal int")
-    added = rows.groupBy("kind", "key", "before").agg(*[F.sum(c).cast("int").alias(c) for c in cells])
+    rows = labelled.select("text", "toxic", "calibrate").mapInArrow(count, "kind byte, key long, before long, packed long")
+    added = rows.groupBy("kind", "key", "before").agg(F.sum("packed").alias("packed"))
+    added = added.select("kind", "key", "before", *[
+        F.expr(f"cast(shiftright(packed, {15 * i}) & 32767 as int)").alias(c) for i, c in enumerate(cells)])
     return added.where(" + ".join(cells) + f" >= {LEAST_COUNT}")
 
 
@@ -217,7 +218,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled documents that are not held out; the shared counts cover all documents.
 
-    At most ``sample_rows`` labelled rows of each class are read (documented bound). A quarter
+    At most ``sample_rows`` (below 16,000) labelled rows of each class are read, a documented bound. A quarter
     of the ids (crc32 modulo 4 is 3) is kept for the logistic fit on counts of the others.
     Without labels of both classes every score is the share of toxic labels (0 without any).
     """
