@@ -37,7 +37,8 @@ class Join:
     A pair of similarity s meets in a tree with probability s at the root and
     1 - (1 - s ** chosen) ** branches at each further level: 8 trees miss a pair at 0.8 about 4
     times in a million. A pair at 0.4 meets again in 0.4 branches on average, so frequent
-    passages part. ``loose`` is the estimate (share of equal minwise tokens) below which a
+    passages part. A large node whose members agree in a share ``dense`` of their tokens would not
+    part and stays as it is. ``loose`` is the estimate (share of equal minwise tokens) below which a
     candidate is not looked at: more than four standard deviations below 0.8.
     """
 
@@ -48,6 +49,7 @@ class Join:
     branches: int = 6
     levels: int = 4
     small: int = 16
+    dense: float = 0.35
     block: int = 128
     loose: float = 0.55
 
@@ -137,21 +139,34 @@ def grow(classes: DataFrame, join: Join) -> tuple[list[DataFrame], DataFrame]:
     rows = classes.select("id", "tokens", F.explode(F.sequence(F.lit(0), F.lit(join.trees - 1))).alias("tree"))
     rows = rows.select("id", F.xxhash64("tree", F.expr("tokens[tree]"), none).alias("node"), "tree")
     small: list[DataFrame] = []
+    whole: list[DataFrame] = []
     for level in range(join.levels):
         rows = materialize(rows, "nodes")
         sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), "node-sizes")
-        # Lone members meet nobody; small nodes are done; the others branch again.
+        # Lone members meet nobody; small nodes are done; the others branch again unless they are dense.
         met = rows.join(sizes, "node")
         small.append(met.where(f"members <= {join.small}").select("node", "id"))
-        large = met.where(f"members > {join.small}").select("node", "id", "tree")
-        if level == join.levels - 1 or not sizes.where(f"members > {join.small}").limit(1).count():
-            return small, materialize(large.select("node", "id"), "large-nodes")
+        if not sizes.where(f"members > {join.small}").limit(1).count():
+            break
+        large = materialize(met.where(f"members > {join.small}").select("node", "id", "tree", "members"), "large-nodes")
+        if level == join.levels - 1:
+            whole.append(large.select("node", "id"))
+            break
+        spots = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"tokens[{k}]").alias("v")) for k in range(TOKENS - 6, TOKENS)])
+        votes = large.join(classes.select("id", "tokens"), "id").select("node", "members", F.explode(spots).alias("s"))
+        votes = votes.groupBy("node", "members", "s").agg(F.count("*").alias("n")).groupBy("node", "members").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+        dense = materialize(votes.where(f"q >= {join.dense} * 6 * members * members").select("node"), "dense-nodes")
+        whole.append(large.join(dense, "node", "left_semi").select("node", "id"))
+        large = large.join(dense, "node", "left_anti")
         branch = F.explode(F.sequence(F.lit(0), F.lit(join.branches - 1))).alias("branch")
         spots = ", ".join(f"tokens[cast({join.trees} + pmod(xxhash64(tree, {level}, branch, {i}), {TOKENS - join.trees}) as int)]"
                           for i in range(join.chosen))
         rows = large.select("node", "id", "tree", branch).join(classes.select("id", "tokens"), "id").select(
             "id", F.expr(f"xxhash64(node, branch, {spots})").alias("node"), "tree")
-    raise AssertionError("levels is at least 1")
+    dense_rows = classes.select(none.alias("node"), "id").limit(0)
+    for part in whole:
+        dense_rows = dense_rows.union(part)
+    return small, materialize(dense_rows, "dense-members")
 
 
 def partners(blocks: DataFrame, join: Join) -> DataFrame:
