@@ -52,9 +52,3 @@ class Tables:
             e = e.filter(F.col("event_type").isin(*kinds))
         return (e.withColumn("t", micros(F.col("ts")))
                 .withColumn("s", F.floor(F.col("t") / 1_000_000).cast("bigint")))
-
-    def stream(self, name: str) -> DataFrame:
-        """A table as a stream of its files."""
-        schema = self(name).schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
-                .option("maxFilesPerTrigger", 1000).parquet(self.sf_dir))

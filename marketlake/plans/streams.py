@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..session import scratch_path
 from ..streaming.keyed import halt_table, stream_change_only, stream_halts
-from ..streaming.native import (current_catalog, start_catalog_log, start_trade_sink, stream_bucket_last,
-                                stream_flag_halted, stream_trade_dedupe)
+from ..streaming.native import (current_buckets, current_catalog, start_bucket_log, start_catalog_log, start_trade_sink,
+                                stream_flag_halted)
 from ..streaming.run import drain
 from .registry import SQL, query
 
 
-def _events(t):
-    return (t.stream("events").withColumn("ts", F.col("ts").cast("timestamp"))
-            .withColumn("t", micros(F.col("ts"))).withColumn("s", F.floor(F.col("t") / 1_000_000).cast("bigint")))
+def _events(t, order=(0, 1, 2, 3, 4)):
+    """The events as a stream of five micro-batches: quarters of their time in the given order.
+
+    Every fiftieth user reports late: its events come with the quarter after.
+    """
+    e = t("events")
+    path = scratch_path(t.spark, "landing")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("t", micros(F.col("ts")))
+    edges = e.approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
+    quarter = sum((F.col("t") > x).cast("int") for x in edges) + (F.col("user_id") % 50 == 7).cast("int")
+    files = max(1, len(e.inputFiles()))
+    for piece in order:
+        e.filter(quarter == piece).repartition(files).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.withColumn("s", F.floor(F.col("t") / 1_000_000).cast("bigint"))
+
+
+#: Where the order of arrival must not matter.
+SHUFFLED = (2, 4, 0, 3, 1)
 
 
 @query("change_stream", SQL["change_only"])
@@ -29,27 +45,26 @@ def change_stream(t):
 @query("halts_stream", SQL["halts"])
 def halts_stream(t):
     """Halts with the open start of every user as state."""
-    polls = _events(t).select("user_id", "t", (F.col("event_type") != "error").alias("active"))
-    events = drain(stream_halts(polls, ["user_id"], "t", "active"), "halts")
+    polls = _events(t).select("user_id", "t", "event_id", (F.col("event_type") != "error").alias("active"))
+    events = drain(stream_halts(polls, ["user_id"], "t", "active", "event_id"), "halts")
     return (halt_table(events, ["user_id"])
             .select("user_id", F.col("start_ts").alias("start_us"), F.col("end_ts").alias("end_us")))
 
 
 @query("trade_stream", "SELECT event_id, user_id, epoch_us(ts) AS t, value FROM events")
 def trade_stream(t):
-    """Every event read twice, as overlapping polls do; the copies are dropped."""
-    one = _events(t).select("event_id", "user_id", "ts", "t", "value")
-    twice = one.unionByName(_events(t).select("event_id", "user_id", "ts", "t", "value"))
+    """Every event read twice, as overlapping polls do, in two jobs with checkpoints of their own."""
     path = scratch_path(t.spark, "trades")
-    start_trade_sink(stream_trade_dedupe(twice, ["event_id"]), f"{path}/out", f"{path}/checkpoint", ["event_id"],
-                     available_now=True).awaitTermination()
+    for job, order in enumerate((SHUFFLED, (0, 1, 2, 3, 4))):
+        trades = _events(t, order).select("event_id", "user_id", "ts", "t", "value")
+        start_trade_sink(trades, f"{path}/out", f"{path}/checkpoint{job}", ["event_id"], available_now=True).awaitTermination()
     return t.spark.read.parquet(f"{path}/out").select("event_id", "user_id", "t", "value")
 
 
 @query("catalog_stream", SQL["catalog_merge"])
 def catalog_stream(t):
     """Sightings appended batch by batch, then the current catalog."""
-    log = _events(t).select(
+    log = _events(t, SHUFFLED).select(
         "user_id", "t", "event_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
         F.when(F.col("event_type") == "signup", F.col("props")).alias("props"))
     path = scratch_path(t.spark, "catalog")
@@ -58,15 +73,14 @@ def catalog_stream(t):
                            raw="props", order=["t", "event_id"])
 
 
-@query("bucket_stream", """
-SELECT user_id, bucket_ts, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, bucket_ts ORDER BY ts DESC) AS rn FROM (
-    SELECT *, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS bucket_ts FROM events))
-WHERE rn = 1 AND bucket_ts + 3600 <= (SELECT floor(epoch_ms(max(ts)) / 1e3) - 600 FROM events)""")
+@query("bucket_stream", SQL["bucket_last"])
 def bucket_stream(t):
-    """Hourly last values; hours the watermark has not passed are still open."""
-    rows = _events(t).select("user_id", "ts", "value")
-    return drain(stream_bucket_last(rows, ["user_id"], ["value"], width="1 hour"), "buckets")
+    """Hourly last values and kinds of all events, late ones included."""
+    rows = _events(t, SHUFFLED).withColumn("hour", F.col("s"))
+    path = scratch_path(t.spark, "buckets")
+    start_bucket_log(rows, f"{path}/log", f"{path}/checkpoint", ["user_id"], ["value", "event_type"], width=3600, time="hour",
+                     order=["t", "event_id"], available_now=True).awaitTermination()
+    return current_buckets(t.spark.read.parquet(f"{path}/log"), ["user_id"], ["value", "event_type"])
 
 
 @query("flag_stream", """

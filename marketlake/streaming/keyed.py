@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -84,50 +85,62 @@ def stream_change_only(books: DataFrame, keys: list[str], order: list[str], valu
 
 
 class _Halts(StatefulProcessor):
-    def __init__(self, keys: list[str], time: str, active: str) -> None:
-        self.keys, self.time, self.active = keys, time, active
+    def __init__(self, keys: list[str], time: str, active: str, seq: str | None) -> None:
+        self.keys, self.time, self.active, self.seq = keys, time, active, seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "start bigint")
+        self.last = handle.getValueState("last", "start bigint, newest bigint, seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start = self.open.get()[0] if self.open.exists() else None
-        events = []
-        batch = _sorted(rows, [self.time])
-        for t, active in zip(batch[self.time], batch[self.active]):
-            if not active and start is None:
-                start = int(t)
-                events.append((start, None))
-            elif active and start is not None:
-                events.append((start, int(t)))
-                start = None
-        if start is None:
-            self.open.clear()
-        else:
-            self.open.update((start,))
-        out = pd.DataFrame(events, columns=["start_ts", "end_ts"]).astype("Int64")
+        start, newest, seq = self.last.get() if self.last.exists() else (None, None, None)
+        batch = _sorted(rows, [self.time, *([self.seq] if self.seq else [])])
+        time = batch[self.time].to_numpy("int64")
+        late = np.zeros(len(batch), bool)
+        if newest is not None:
+            late = time < newest
+            if self.seq:
+                late |= (time == newest) & (batch[self.seq].to_numpy("int64") <= seq)
+        on_time = batch[~late]
+        parts = [pd.DataFrame({"start_ts": time[late], "end_ts": pd.NA, "late": True})]
+        if len(on_time):
+            active, when = on_time[self.active].to_numpy(bool), on_time[self.time].to_numpy("int64")
+            # Before its first poll a key counts as active.
+            turned = active != np.concatenate([[start is None], active[:-1]])
+            turn, to = when[turned], active[turned]
+            # Turns alternate, so each opening is closed by the turn after it.
+            closed = pd.Series(turn, dtype="Int64").shift(-1)
+            parts.append(pd.DataFrame({"start_ts": turn[~to], "end_ts": closed[~to].to_numpy(), "late": False}))
+            if len(turn) and to[0]:
+                parts.append(pd.DataFrame({"start_ts": [start], "end_ts": [turn[0]], "late": False}))
+            if len(turn):
+                start = None if to[-1] else int(turn[-1])
+            last_seq = int(on_time[self.seq].iloc[-1]) if self.seq else None
+            self.last.update((start, int(when[-1]), last_seq))
+        out = pd.concat([p.astype({"start_ts": "Int64", "end_ts": "Int64", "late": bool}) for p in parts], ignore_index=True)
         for name, part in zip(self.keys, key):
             out[name] = part
-        yield out[[*self.keys, "start_ts", "end_ts"]]
+        yield out[[*self.keys, "start_ts", "end_ts", "late"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_halts(polls: DataFrame, keys: list[str], time: str, active: str) -> DataFrame:
-    """Stream of halt events: (start, NULL) when one opens, (start, end) when it closes.
+def stream_halts(polls: DataFrame, keys: list[str], time: str, active: str, seq: str | None = None) -> DataFrame:
+    """Stream of halt events: (start, NULL) for one still open, (start, end) once it closes.
 
-    Failed (NULL) polls are dropped first. :func:`halt_table` folds the events.
+    Failed (NULL) polls are dropped first. ``seq`` orders polls of one time. A poll that is not
+    newer than the last one seen of its key changes nothing; it comes out as (time, NULL) with
+    ``late = true``. :func:`halt_table` folds the events.
     """
     use_rocksdb(polls.sparkSession)
-    known = polls.filter(F.col(active).isNotNull()).select(*keys, time, active)
+    known = polls.filter(F.col(active).isNotNull()).select(*keys, time, active, *([seq] if seq else []))
     out = T.StructType([*[polls.schema[k] for k in keys], T.StructField("start_ts", T.LongType()),
-                        T.StructField("end_ts", T.LongType())])
+                        T.StructField("end_ts", T.LongType()), T.StructField("late", T.BooleanType())])
     return known.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Halts(keys, time, active), outputStructType=out, outputMode="Append",
+        statefulProcessor=_Halts(keys, time, active, seq), outputStructType=out, outputMode="Append",
         timeMode="None")
 
 
 def halt_table(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Halts from their events: the end where it is known, else NULL."""
-    return events.groupBy(*keys, "start_ts").agg(F.max("end_ts").alias("end_ts"))
+    """Halts from their events: the end where it is known, else NULL; late polls are no halts."""
+    return events.filter(~F.col("late")).groupBy(*keys, "start_ts").agg(F.max("end_ts").alias("end_ts"))

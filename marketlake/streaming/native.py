@@ -2,79 +2,108 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import WATCH_AFTER, WATCH_BEFORE
 from ..operators.intervals import BUCKET
 from ..operators.merge import coalesce_merge, new_rows
-from .run import WATERMARK, use_rocksdb
-
-
-def stream_trade_dedupe(trades: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
-    """Trades without the repeats of overlapping re-reads (``time`` is a TIMESTAMP)."""
-    use_rocksdb(trades.sparkSession)
-    return trades.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(keys)
+from ..sinks.append import with_week
 
 
 def start_trade_sink(trades: DataFrame, path: str, checkpoint: str, keys: list[str], *, time: str = "ts",
                      available_now: bool = False) -> StreamingQuery:
-    """Append new trades; repeats older than the watermark are held off by the stored keys.
+    """Append every trade that is not stored yet, however late it comes.
 
-    A repeated trade has the same time, so only stored rows inside the batch's time span
-    are compared (the bounds reach the scan). A batch is written to its own directory,
-    so a repeated batch replaces itself.
+    No watermark: repeats are dropped inside a micro-batch, then against the stored rows.
+    A repeated trade has the same time, so only the weeks of the batch are read (the folders
+    are ``week=``). Nothing is overwritten: a repeated batch, or a new checkpoint on the same
+    path, finds its rows stored and appends what is missing. One writer for each path.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = with_week(batch.dropDuplicates(keys), time)
         batch.persist()
         try:
-            span = batch.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-            if span["lo"] is not None:
+            span = batch.agg(F.count(F.lit(1)).alias("n"), F.min("week").alias("lo"), F.max("week").alias("hi")).first()
+            if span["n"]:
                 stored = _stored(batch, path)
-                fresh = batch if stored is None else new_rows(
-                    batch, stored.filter((F.col("batch") != batch_id) & F.col(time).between(span["lo"], span["hi"])), keys)
-                fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+                if stored is not None:
+                    near = F.col("week").between(span["lo"], span["hi"]) | F.col("week").isNull()
+                    batch = new_rows(batch, stored.filter(near), keys)
+                batch.write.mode("append").partitionBy("week").parquet(path)
         finally:
             batch.unpersist()
 
-    writer = trades.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return _start(trades, write, checkpoint, available_now)
+
+
+def _start(df: DataFrame, write, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now
             else writer.trigger(processingTime="60 seconds")).start()
 
 
 def _stored(batch: DataFrame, path: str) -> DataFrame | None:
     """The table written so far, None before the first batch."""
-    schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
     try:
-        return batch.sparkSession.read.schema(schema).parquet(path)
+        return batch.sparkSession.read.schema(batch.schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
+def _batch_path(spark: SparkSession, path: str, checkpoint: str, batch_id: int) -> str:
+    """The folder of one micro-batch of one checkpoint.
+
+    The run is the query's id, which lives in the checkpoint: a restart repeats its own
+    folders, a new checkpoint on the same path never meets them.
+    """
+    run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    return f"{path}/run={run}/batch={batch_id}"
+
+
 def start_catalog_log(sightings: DataFrame, path: str, checkpoint: str, *,
                       available_now: bool = False) -> StreamingQuery:
-    """Append every micro-batch of sightings to ``path/batch=<id>`` with its sequence.
+    """Append every micro-batch of sightings to ``path/run=/batch=``.
 
-    A repeated batch replaces its own directory, so the log is exactly-once.
+    The rows carry the source's own ingest sequence, so a repeated batch is the same batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("seq", F.monotonically_increasing_id())
-         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+        batch.write.mode("overwrite").parquet(_batch_path(batch.sparkSession, path, checkpoint, batch_id))
 
-    writer = sightings.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
-    return (writer.trigger(availableNow=True) if available_now
-            else writer.trigger(processingTime="60 seconds")).start()
+    return _start(sightings, write, checkpoint, available_now)
 
 
-def current_catalog(log: DataFrame, keys: list[str], columns: list[str], seen: str,
-                    raw: str | None = None, order: list[str] | None = None) -> DataFrame:
+def current_catalog(log: DataFrame, keys: list[str], columns: list[str], seen: str, order: list[str],
+                    raw: str | None = None) -> DataFrame:
     """The catalog as of the whole log: newest non-NULL values, first and last sighting."""
-    return coalesce_merge(log, keys, order or ["batch", "seq"], columns, seen=seen, raw=raw)
+    return coalesce_merge(log, keys, order, columns, seen=seen, raw=raw)
+
+
+def start_bucket_log(rows: DataFrame, path: str, checkpoint: str, keys: list[str], values: list[str], *, width: int,
+                     order: list[str], time: str = "ts", available_now: bool = False) -> StreamingQuery:
+    """Last values per key and time bucket of every micro-batch (``width`` in the unit of ``time``).
+
+    Each batch adds one row for each bucket it touches, late rows included;
+    :func:`current_buckets` merges them. ``order`` is unique within a key.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("bucket_ts", F.floor(F.col(time) / width) * width).groupBy(*keys, "bucket_ts")
+         .agg(F.max(F.struct(*order)).alias("at"), F.max_by(F.struct(*values), F.struct(*order)).alias("last"))
+         .write.mode("overwrite").parquet(_batch_path(batch.sparkSession, path, checkpoint, batch_id)))
+
+    return _start(rows, write, checkpoint, available_now)
+
+
+def current_buckets(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Every bucket with its last values, as of the whole log."""
+    return (log.groupBy(*keys, "bucket_ts").agg(F.max_by("last", "at").alias("last"))
+            .select(*keys, F.col("bucket_ts").cast("bigint").alias("bucket_ts"), *[F.col(f"last.{v}").alias(v) for v in values]))
 
 
 def stream_flag_halted(polls: DataFrame, markets: DataFrame, keys: list[str], market: list[str], *,
@@ -93,15 +122,3 @@ def stream_flag_halted(polls: DataFrame, markets: DataFrame, keys: list[str], ma
               .withColumn("__bucket", F.floor(F.col("__t") / BUCKET)))
     near = F.col("__t").between(g - WATCH_BEFORE, g + WATCH_AFTER)
     return halted.join(spread, [*keys, "__bucket"]).filter(near).select(*dict.fromkeys([*keys, *market]), "__t")
-
-
-def stream_bucket_last(rows: DataFrame, keys: list[str], values: list[str], *, time: str = "ts",
-                       width: str = "1 minute") -> DataFrame:
-    """Last values per key and time bucket, each bucket once when the watermark passes its end.
-
-    Rows later than ten minutes are dropped.
-    """
-    use_rocksdb(rows.sparkSession)
-    return (rows.withWatermark(time, WATERMARK).groupBy(*keys, F.window(time, width).alias("w"))
-            .agg(*[F.max_by(v, time).alias(v) for v in values])
-            .select(*keys, F.unix_seconds("w.start").alias("bucket_ts"), *values))

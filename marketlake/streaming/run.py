@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..session import STREAM_CONF, scratch_path
 
-WATERMARK = "10 minutes"
 WATERMARK_SECONDS = 600
 
 

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from marketlake.session import local_session  # noqa: E402
+from marketlake.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("8", 4, "marketlake-tests")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

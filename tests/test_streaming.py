@@ -59,36 +59,61 @@ def test_late_rows_are_reported(spark, tmp_path):
 
 
 def test_halts(spark, landed):
-    polls = stream(spark, landed).select("user_id", "t", (F.col("event_type") != "error").alias("active"))
-    got = halt_table(drain(stream_halts(polls, ["user_id"], "t", "active"), "t4"), ["user_id"])
+    polls = stream(spark, landed).select("user_id", "t", "event_id", (F.col("event_type") != "error").alias("active"))
+    got = halt_table(drain(stream_halts(polls, ["user_id"], "t", "active", "event_id"), "t4"), ["user_id"])
     want = halts_from_status(landed[1].withColumn("active", F.col("event_type") != "error"), ["user_id"], ["t", "event_id"], "active")
     assert want.count() > 50 and same(got, want)
 
 
+def land(spark, path, schema, *files):
+    for data in files:
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_late_poll_does_not_end_a_halt_before_its_start(spark, tmp_path):
+    src = land(spark, f"{tmp_path}/in", "k string, t long, q long, active boolean",
+               [("a", 100, 1, False)], [("a", 50, 2, True)], [("a", 100, 1, True), ("a", 100, 3, True), ("a", 120, 4, False)],
+               [("a", 110, 5, True), ("b", 7, 6, True), ("a", 130, 7, None), ("a", 140, 8, True)])
+    got = drain(stream_halts(src, ["k"], "t", "active", "q"), "t7")
+    assert rows(halt_table(got, ["k"]), "k", "start_ts", "end_ts") == [("a", 100, 100), ("a", 120, 140)]
+    assert sorted(r["start_ts"] for r in got.filter("late").collect()) == [50, 100, 110]
+
+
 def test_trade_sink_across_restarts(spark, landed, tmp_path):
-    for _ in range(2):  # the second run has nothing new
+    for run in ("c", "c", "other"):  # the same checkpoint again, then a new one on the same path
         s = stream(spark, landed).select("event_id", "ts", "value")
-        q = native.start_trade_sink(native.stream_trade_dedupe(s, ["event_id"]), f"{tmp_path}/o", f"{tmp_path}/c", ["event_id"], available_now=True)
-        q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/o").count() == landed[1].count()
-    # a new reader without the old state re-reads everything: stored keys hold it off
-    s = stream(spark, landed).select("event_id", "ts", "value")
-    native.start_trade_sink(s.withColumn("event_id", F.col("event_id")), f"{tmp_path}/o2", f"{tmp_path}/c2", ["event_id"], available_now=True).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/o2").count() == landed[1].count()
+        native.start_trade_sink(s, f"{tmp_path}/o", f"{tmp_path}/{run}", ["event_id"], available_now=True).awaitTermination()
+    stored = spark.read.parquet(f"{tmp_path}/o")
+    assert stored.count() == landed[1].count() == stored.select("event_id").distinct().count()
+
+
+def test_trade_sink_keeps_stored_and_late_trades(spark, tmp_path):
+    schema = "id string, market string, ts timestamp"
+    first = land(spark, f"{tmp_path}/a", schema, [("x1", "m", ts(100_000))], [("x2", "m", ts(110_000)), ("x3", "n", None)],
+                 [("x4", "n", ts(99_000)), ("x1", "m", ts(100_000)), ("x3", "n", None)])
+    native.start_trade_sink(first, f"{tmp_path}/o", f"{tmp_path}/c1", ["id"], available_now=True).awaitTermination()
+    second = land(spark, f"{tmp_path}/b", schema, [("y1", "m", ts(5_000_000)), ("x2", "m", ts(110_000))])
+    native.start_trade_sink(second, f"{tmp_path}/o", f"{tmp_path}/c2", ["id"], available_now=True).awaitTermination()
+    assert [r[0] for r in rows(spark.read.parquet(f"{tmp_path}/o"), "id")] == ["x1", "x2", "x3", "x4", "y1"]
 
 
-def test_buckets(spark, landed):
-    got = drain(native.stream_bucket_last(stream(spark, landed), ["user_id"], ["value"], width="1 hour"), "t5")
-    want = bucket_last(landed[1], ["user_id"], "t", 3600, ["value"])
-    closed = want.filter(F.col("bucket_ts") + 3600 <= landed[1].agg(F.max("t")).first()[0] / 1e6 - 600)
-    assert same(got, closed)
+def test_buckets_keep_late_rows(spark, landed, tmp_path):
+    s = stream(spark, landed).withColumn("s", F.floor(F.col("t") / 1_000_000))
+    native.start_bucket_log(s, f"{tmp_path}/l", f"{tmp_path}/c", ["user_id"], ["value"], width=3600, time="s",
+                            order=["t", "event_id"], available_now=True).awaitTermination()
+    got = native.current_buckets(spark.read.parquet(f"{tmp_path}/l"), ["user_id"], ["value"])
+    assert same(got, bucket_last(landed[1], ["user_id"], "t", 3600, ["value"], seq="event_id"))
 
 
 def test_catalog_log(spark, landed, tmp_path):
     log = stream(spark, landed).select("user_id", "t", "event_id", "event_type")
     native.start_catalog_log(log, f"{tmp_path}/l", f"{tmp_path}/c", available_now=True).awaitTermination()
     stored = spark.read.parquet(f"{tmp_path}/l")
-    assert stored.select("batch").distinct().count() == 4
+    assert stored.select("batch").distinct().count() == 4 and stored.select("run").distinct().count() == 1
+    native.start_catalog_log(stream(spark, landed).select("user_id", "t", "event_id", "event_type"), f"{tmp_path}/l",
+                             f"{tmp_path}/c2", available_now=True).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/l").count() == 2 * landed[1].count()
     got = native.current_catalog(stored, ["user_id"], ["event_type"], "t", order=["t", "event_id"])
     assert same(got.select("user_id", "event_type"), latest_per_key(landed[1], ["user_id"], ["t", "event_id"], ["event_type"]))
 
