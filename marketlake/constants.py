@@ -66,13 +66,3 @@ TEAM_SUFFIXES = ("esports", "esport", "e-sports", "gaming", "team", "club", "gg"
 MONTH_CODES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN",
                "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 TICKER_ZONE = "America/New_York"
-
-# The twenty steps of a competitive draft: (step, side, action).
-DRAFT_ORDER = (
-    (1, "B", "ban"), (2, "R", "ban"), (3, "B", "ban"), (4, "R", "ban"),
-    (5, "B", "ban"), (6, "R", "ban"),
-    (7, "B", "pick"), (8, "R", "pick"), (9, "R", "pick"), (10, "B", "pick"),
-    (11, "B", "pick"), (12, "R", "pick"),
-    (13, "R", "ban"), (14, "B", "ban"), (15, "R", "ban"), (16, "B", "ban"),
-    (17, "R", "pick"), (18, "B", "pick"), (19, "B", "pick"), (20, "R", "pick"),
-)

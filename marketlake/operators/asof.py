@@ -19,10 +19,6 @@ from .ordered import ROWS_PER_SEGMENT, SEGMENT, Cuts, find_cuts
 
 _T, _TICK, _TIE, _PROBE, _SALT = "__t", "__tick", "__tie", "__probe", "__salt"
 
-#: Most probed keys sent to every task in order to drop the ticks of all others.
-MAX_BROADCAST_KEYS = 1_000_000
-
-
 @dataclass(frozen=True)
 class _Side:
     """Both inputs reduced to key, time and payload."""
@@ -94,14 +90,9 @@ def _scan_cut(u: DataFrame, cuts: Cuts, found: str, direction: str) -> DataFrame
 
 
 def _asked(side: _Side) -> DataFrame:
-    """Ticks of the probed keys only, when those keys are few enough to broadcast.
-
-    The count is checked first; beyond it all ticks are sorted, as every key may be asked.
-    """
+    """Ticks of the probed keys only; the planner picks the join by the real size of the keys."""
     names = side.probes.filter(_not_null(side.keys)).select(*side.keys).distinct()
-    if names.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
-        return side.ticks
-    return side.ticks.join(F.broadcast(names), side.keys, "left_semi")
+    return side.ticks.join(names, side.keys, "left_semi")
 
 
 def _lookup(side: _Side, directions: dict[str, str], rows_per_segment: int | None) -> DataFrame:

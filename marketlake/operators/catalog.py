@@ -64,7 +64,8 @@ def search_with_coverage(markets: DataFrame, series: dict[str, DataFrame], terms
     """Search results with their coverage; series are reduced to the found events' markets."""
     found = search_games(markets, terms, limit=limit, literal=literal)
     members = markets.join(found.select("platform", "event_id"), ["platform", "event_id"], "left_semi")
-    cov = coverage(members, series)
+    keys = members.select("platform", "market_id").distinct()
+    cov = coverage(members, {name: table.join(keys, ["platform", "market_id"], "left_semi") for name, table in series.items()})
     return found.join(cov, ["platform", "event_id"], "left")
 
 

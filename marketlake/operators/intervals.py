@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import WATCH_AFTER, WATCH_BEFORE
-from .ordered import ROWS_PER_SEGMENT, find_cuts, neighbour
+from .ordered import ROWS_PER_SEGMENT, Cuts, find_cuts, neighbour
 
 #: Width of the time buckets that turn an overlap test into an equi join, seconds.
 BUCKET = 8 * 3600
 
 
 def transitions(polls: DataFrame, keys: list[str], order: list[str], active: str,
-                rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
+                cuts: Cuts | None = None) -> DataFrame:
     """Polls at which the state changes; failed (NULL) polls change nothing.
 
-    Before its first poll a key counts as active.
+    Before its first poll a key counts as active. ``cuts`` split the keys with many polls.
     """
     known = polls.filter(F.col(active).isNotNull()).select(*keys, *order, active)
-    cuts = find_cuts(known, keys, order[0], rows_per_segment)
     seen = neighbour(known, keys, order, active, "__was", cuts=cuts)
     return (seen.filter(F.col(active) != F.coalesce(F.col("__was"), F.lit(True)))
             .drop("__was"))
@@ -33,8 +32,9 @@ def halts_from_status(polls: DataFrame, keys: list[str], order: list[str], activ
     A halt without a closing poll keeps a NULL end. ``order`` is an integer time and,
     where times repeat within a key, a sequence.
     """
-    changes = transitions(polls, keys, order, active, rows_per_segment)
-    cuts = find_cuts(changes, keys, order[0], rows_per_segment)
+    # Changes are some of the polls, so the cuts of the polls bound their segments too.
+    cuts = find_cuts(polls.filter(F.col(active).isNotNull()).select(*keys, order[0]), keys, order[0], rows_per_segment)
+    changes = transitions(polls, keys, order, active, cuts)
     paired = neighbour(changes, keys, order, order[0], end, "next", cuts)
     return paired.filter(~F.col(active)).select(*keys, F.col(order[0]).alias(start), end)
 

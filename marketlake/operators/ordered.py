@@ -6,6 +6,8 @@ columns only), their time axis is cut at approximate quantiles, and the window
 runs per ``(key, segment)``. What a segment needs from its neighbours is a
 one-row summary per segment, so the values carried across cuts come from a table
 with a few rows per hot key. Keys below the limit use segment 0 and need no carry.
+Any number of keys may be hot, NULL keys too: cuts are a table, and the planner
+picks the join.
 
 The order columns must not repeat within a key, which the table keys guarantee;
 times are compared as BIGINT microseconds or seconds.
@@ -18,44 +20,49 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import materialize
 
 #: Rows one task sorts comfortably.
 ROWS_PER_SEGMENT = 4_000_000
 
-#: Most hot keys taken to the driver; beyond it the row limit is raised instead.
-MAX_HOT_KEYS = 50_000
+SEGMENT = "__segment"
 
-#: Most cuts per key, and about the most in all (they are broadcast).
-MAX_CUTS = 4096
-MAX_ALL_CUTS = 1_000_000
 
-SEGMENT = "__segment"
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi join on keys of which NULL equals NULL; the keys come from the left."""
+    names = {k: f"__right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    cond = F.lit(True)
+    for k, name in names.items():
+        cond = cond & left[k].eqNullSafe(right[name])
+    return left.join(right, cond, how).drop(*names.values())
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Hot keys and the sorted times at which each is cut (a small local table)."""
+    """Hot keys and the sorted times at which each is cut, at most ``most`` of a key."""
 
     keys: list[str]
     table: DataFrame
+    most: int
 
     def hot(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.table.select(*self.keys)), self.keys, "left_semi")
+        return null_safe_join(df, self.table.select(*self.keys), self.keys, "left_semi")
 
     def cold(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.table.select(*self.keys)), self.keys, "left_anti")
+        return null_safe_join(df, self.table.select(*self.keys), self.keys, "left_anti")
 
     def assign(self, df: DataFrame, order: str) -> DataFrame:
         """Add the segment number: how many cuts are at or below the row's time."""
-        return (df.join(F.broadcast(self.table), self.keys, "left")
-                .withColumn(SEGMENT, cut_index(F.col("__cuts"), F.col(order)))
+        return (null_safe_join(df, self.table, self.keys, "left")
+                .withColumn(SEGMENT, cut_index(F.col("__cuts"), F.col(order), self.most))
                 .drop("__cuts"))
 
 
-def cut_index(cuts: Column, x: Column) -> Column:
-    """Number of sorted ``cuts`` not above ``x``, by halving steps."""
-    steps = F.array(*[F.lit(1 << i) for i in range(MAX_CUTS.bit_length(), -1, -1)])
+def cut_index(cuts: Column, x: Column, most: int = 4096) -> Column:
+    """Number of sorted ``cuts`` (at most ``most``) not above ``x``, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in range(most.bit_length(), -1, -1)])
     found = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(F.get(cuts, at + step - 1) <= x, at + step).otherwise(at))
@@ -66,47 +73,25 @@ def find_cuts(df: DataFrame, keys: list[str], order: str,
               rows_per_segment: int | None = ROWS_PER_SEGMENT) -> Cuts | None:
     """Cut points of the keys holding more than ``rows_per_segment`` rows, or None.
 
-    Reads only the key (and for hot keys the order) column. The driver receives
-    at most ``MAX_HOT_KEYS`` keys and about ``rows / rows_per_segment`` cuts.
+    Reads only the key (and for hot keys the order) column. Hot keys and cuts are written to
+    the shared folder; the driver learns the largest count alone.
     """
     if rows_per_segment is None:
         return None
-    limit = rows_per_segment
-    # One job: the largest keys, sorted per task and merged (TakeOrdered).
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-           .orderBy(F.col("__n").desc()).limit(MAX_HOT_KEYS + 1).collect())
-    if not hot:
+    hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows_per_segment), "hot-keys")
+    largest = hot.agg(F.max("__n")).first()[0]
+    if largest is None:
         return None
-    if len(hot) > MAX_HOT_KEYS:
-        # Too many to broadcast: the smaller ones stay whole, at most this limit each.
-        limit = hot[-1]["__n"]
-        hot = [r for r in hot if r["__n"] > limit]
-        if not hot:
-            return None
-    limit = max(limit, sum(r["__n"] for r in hot) // MAX_ALL_CUTS)
-    spark = df.sparkSession
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("__n", T.LongType())])
-    hot_df = spark.createDataFrame([tuple(r) for r in hot], schema)
-    pieces = min(MAX_CUTS, max(2, 1 << math.ceil(math.log2(max(r["__n"] for r in hot) / limit))))
+    pieces = max(2, 1 << math.ceil(math.log2(largest / rows_per_segment)))
     grid = [i / pieces for i in range(1, pieces)]
     # A key needs about n / limit pieces, so it keeps every stride-th point of the grid.
-    stride = F.greatest(F.lit(1), F.floor(F.lit(pieces) * limit / F.col("__n"))).cast("int")
-    cuts = (df.join(F.broadcast(hot_df), keys)
+    stride = F.greatest(F.lit(1), F.floor(F.lit(pieces) * rows_per_segment / F.col("__n"))).cast("int")
+    cuts = (null_safe_join(df.select(*dict.fromkeys([*keys, order])), hot, keys, "inner")
             .groupBy(*keys, "__n")
             .agg(F.percentile_approx(order, grid, max(10_000, 10 * pieces)).alias("__q"))
             .select(*keys, F.array_sort(F.array_distinct(F.filter(
                 F.col("__q"), lambda x, i: (i + 1) % stride == 0))).alias("__cuts")))
-    rows = [tuple(r) for r in cuts.collect()]
-    out = T.StructType([df.schema[k] for k in keys]
-                       + [T.StructField("__cuts", T.ArrayType(df.schema[order].dataType))])
-    return Cuts(keys, spark.createDataFrame(rows, out))
-
-
-def _present(df: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+    return Cuts(keys, materialize(cuts, "cuts"), pieces)
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
@@ -131,8 +116,7 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out:
                    .agg(edge(boxed, F.struct(*order)).alias("__edge")))
         across = Window.partitionBy(*keys).orderBy(SEGMENT)
         carry = summary.select(*keys, SEGMENT, step("__edge").over(across).alias("__carry"))
-        res = (seg.withColumn("__box", step(boxed).over(w))
-               .join(carry, [*keys, SEGMENT], "left")
+        res = (null_safe_join(seg.withColumn("__box", step(boxed).over(w)), carry, [*keys, SEGMENT], "left")
                .withColumn("__box", F.coalesce("__box", "__carry"))
                .drop("__carry", SEGMENT))
     res = res.withColumn(out, F.col("__box.v"))
@@ -160,8 +144,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], out: str, fold, me
     before = (Window.partitionBy(*keys).orderBy(SEGMENT)
               .rowsBetween(Window.unboundedPreceding, -1))
     carry = summary.select(*keys, SEGMENT, merge.over(F.col("__part"), before).alias("__carry"))
-    return (seg.withColumn(out, fold().over(w))
-            .join(carry, [*keys, SEGMENT], "left")
+    return (null_safe_join(seg.withColumn(out, fold().over(w)), carry, [*keys, SEGMENT], "left")
             .withColumn(out, merge.join(F.col("__carry"), F.col(out)))
             .drop("__carry", SEGMENT))
 

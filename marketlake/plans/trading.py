@@ -369,7 +369,7 @@ def calibration_query(t):
 # ---------------------------------------------------------------- export and append
 
 @query("export_rows", """
-SELECT regexp_replace('x_c ' || o_custkey, '[^A-Za-z0-9_.-]', '_', 'g') AS dir, CAST(l_orderkey AS VARCHAR) AS market_id,
+SELECT regexp_replace('x_c ' || o_custkey, '[^A-Za-z0-9_.-]', '_', 'g') || '-' || md5('x' || chr(10) || 'c ' || o_custkey)[1:8] AS dir, CAST(l_orderkey AS VARCHAR) AS market_id,
        CAST(epoch(l_shipdate) AS BIGINT) AS ts, l_extendedprice AS price, l_quantity AS size, l_returnflag AS side
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0""")
 def export_rows_query(t):

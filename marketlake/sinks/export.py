@@ -37,17 +37,24 @@ def export_views(tables: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, lis
     }
 
 
+def event_folder(platform: Column, event_id: Column) -> Column:
+    """Directory of an event: its safe name and a short hash, so that no two events share one."""
+    return F.concat(safe_name(F.concat_ws("_", platform, event_id)), F.lit("-"),
+                    F.substring(F.md5(F.concat_ws("\n", platform, event_id)), 1, 8))
+
+
 def export_rows(tables: dict[str, DataFrame], events: DataFrame, now: int) -> dict[str, tuple[DataFrame, list[str]]]:
     """Rows to export per table with their event (``dir`` names the directory) and order."""
     members = (tables["markets"].join(events.select("platform", "event_id").distinct(),
                                       ["platform", "event_id"], "left_semi"))
-    folder = safe_name(F.concat_ws("_", "platform", "event_id")).alias("dir")
+    folder = event_folder(F.col("platform"), F.col("event_id")).alias("dir")
     link = members.select("platform", "market_id", folder)
     out = {}
     for name, (view, order) in export_views(tables).items():
         out[name] = (view.join(link, ["platform", "market_id"]), order)
-    starts = (members.groupBy("platform", "event_id").agg(F.min("game_start_ts").alias("game_start_ts"))
-              .filter(F.col("game_start_ts") != 0).withColumn("dir", folder))
+    # A start of 0 is unknown: it does not hide the event's known starts.
+    starts = (members.filter(F.col("game_start_ts") != 0).groupBy("platform", "event_id")
+              .agg(F.min("game_start_ts").alias("game_start_ts")).withColumn("dir", folder))
     outages = interval_overlap(starts, tables["outages"], ["platform"], "game_start_ts", now,
                                before=WATCH_BEFORE, after=WATCH_AFTER)
     out["outages"] = (outages.select("platform", "kind", "start_ts", "end_ts", "note", "dir"), ["start_ts"])

@@ -93,11 +93,13 @@ def test_nearest_hot_equals_plain(spark):
     assert plain.count() > 100 and same(plain, hot)
 
 
-def test_many_probed_keys_keep_all_ticks(spark, ticks, monkeypatch):
-    """Above the broadcast limit nothing is pruned and the result is the same."""
-    from marketlake.operators import asof
-
+def test_ticks_of_keys_nobody_asks_for_are_dropped_by_any_join(spark, ticks):
+    """With and without a broadcast of the probed keys the result is the same."""
     p = probes(spark, ("a", 250), ("b", 600), ("z", 1))
     few = rows(asof_backward(p, ticks, ["k"], "at", "t", ["p"], tie="res"))
-    monkeypatch.setattr(asof, "MAX_BROADCAST_KEYS", 2)
-    assert rows(asof_backward(p, ticks, ["k"], "at", "t", ["p"], tie="res")) == few
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(asof_backward(p, ticks, ["k"], "at", "t", ["p"], tie="res")) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

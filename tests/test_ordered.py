@@ -31,6 +31,18 @@ def test_cuts_only_for_hot_keys_and_balanced(spark, skewed):
     assert len(sizes) >= 4 and max(sizes) <= 300
 
 
+def test_many_equal_hot_keys_and_a_null_key_are_cut(spark):
+    data = [(None if k == 0 else f"k{k}", t, t, "AB"[t % 2]) for k in range(60) for t in range(100)]
+    df = spark.createDataFrame(data, "k string, t bigint, seq int, v string").repartition(5)
+    cuts = find_cuts(df, ["k"], "t", 25)
+    assert cuts.table.count() == 60
+    sizes = cuts.assign(df, "t").groupBy("k", "__segment").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 50 and sizes[1] >= 120
+    assert same(neighbour(df, ["k"], ["t", "seq"], "v", "n"), neighbour(df, ["k"], ["t", "seq"], "v", "n", cuts=cuts))
+    fold = lambda: F.sum("seq")
+    assert same(running(df, ["k"], ["t", "seq"], "s", fold, Sum), running(df, ["k"], ["t", "seq"], "s", fold, Sum, cuts))
+
+
 @pytest.mark.parametrize("direction", ["previous", "next"])
 def test_neighbour(spark, skewed, direction):
     plain = neighbour(skewed, ["k"], ["t", "seq"], "v", "n", direction, found="f")
