@@ -112,7 +112,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find(docs, text, [c for c in docs.columns if c != text])
+    columns = docs.columns
+    names = {c: f"c{i}" for i, c in enumerate(columns) if c != text}
+    inner = docs.select(*[docs[c].alias(n) for c, n in names.items()], docs[text].alias("text"))
+    found = find(inner, "text", list(names.values()))
+    text, original = "text", text
     cleaned = F.expr(f"""
         IF(size(spans) = 0, `{text}`, aggregate(
           array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.`end`, 'kind', s.kind))),
@@ -122,7 +126,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                                                                   concat('[', upper(s.kind), ']')))),
              named_struct('at', greatest(a.at, s.`end`), 'out', a.out)),
           a -> concat(array_join(a.out, ''), substring(`{text}`, cast(a.at + 1 as int)))))""")
-    return found.withColumn(text, cleaned).select(*docs.columns)
+    found = found.withColumn(text, cleaned)
+    return found.select(*[found[names[c]].alias(c) if c in names else found["text"].alias(original) for c in columns])
 
 
 def _duck(kind: str, plain: str) -> str:
