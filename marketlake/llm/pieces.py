@@ -154,7 +154,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.pool = WordPool(self._encode)
+        self.pool = WordPool(self._encode, 150_000)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Long runs of spaces are cut: their ids repeat with the longest run in the vocabulary."""

@@ -7,10 +7,6 @@ from itertools import repeat
 
 import numpy as np
 
-#: Words kept by one worker; beyond it the pool starts anew.
-POOL_WORDS = 1_000_000
-
-
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions of consecutive runs: start[0].. , start[1].., laid end to end."""
     total = int(size.sum())
@@ -18,10 +14,13 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class WordPool:
-    """Ids of words. ``encode`` turns a list of words into (all ids, ids of each word)."""
+    """Ids of words. ``encode`` turns a list of words into (all ids, ids of each word).
+
+    Beyond ``most`` words the pool starts anew.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -32,7 +31,7 @@ class WordPool:
 
     def codes(self, words: list[str]) -> np.ndarray:
         """The code of each word; words not seen before are encoded together."""
-        if len(self.code) > POOL_WORDS:
+        if len(self.code) > self.most:
             self.clear()
         codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(codes < 0).tolist()

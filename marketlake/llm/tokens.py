@@ -136,7 +136,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
-        self.pool = WordPool(self._encode)
+        self.pool = WordPool(self._encode, 600_000)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words are encoded as one text and cut at word ends, others one by one."""
