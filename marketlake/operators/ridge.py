@@ -115,13 +115,13 @@ def fit_ridge(rows: DataFrame, lam: float = RIDGE_LAMBDA, *, min_n: int = MIN_IN
 def gram_matrix(exploded: DataFrame, row: list[str]) -> DataFrame:
     """X'X of the indicator matrix as (f1, f2, n), upper triangle.
 
-    Features of one row are distinct and bounded by the vocabulary; rows are joined
-    to themselves on the row key only.
+    Features of one row are distinct and bounded by a draft's size; each row's pairs
+    are made inside the row, and only counts are shuffled.
     """
-    left = exploded.select(*row, F.col("feature").alias("f1"))
-    right = exploded.select(*row, F.col("feature").alias("f2"))
-    return (left.join(right, row).filter(F.col("f1") <= F.col("f2"))
-            .groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")))
+    rows = exploded.groupBy(*row).agg(F.sort_array(F.collect_set("feature")).alias("f"))
+    pairs = F.flatten(F.transform("f", lambda a, i: F.transform(
+        F.slice("f", i + 1, F.size("f")), lambda b: F.struct(a.alias("f1"), b.alias("f2")))))
+    return rows.select(F.inline(pairs)).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gram_target(exploded: DataFrame, y: str = "y") -> DataFrame:

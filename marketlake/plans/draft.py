@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import MAP_WINNER_SERIES, TICKER_PLATFORM, TOKEN_PLATFORM
+from ..constants import MAP_WINNER_SERIES, RIDGE_LAMBDA, TICKER_PLATFORM, TOKEN_PLATFORM
 from ..functions.numbers import sql_round
 from ..functions.times import micros
 from ..operators.deltas import build_deltas
@@ -18,6 +18,7 @@ from ..operators.features import (explode_features, feature_support, is_interact
 from ..operators.rankings import champion_ranking, pair_ranking, per_game, team_ranking, top_bottom_k, top_by
 from ..operators.ridge import fit_ridge, gram_matrix, gram_target
 from ..operators.scoring import score_draft_steps, score_states
+from ..session import materialize
 from .registry import query, rounded
 
 
@@ -320,6 +321,17 @@ def score_steps(t):
         F.array_join(F.transform("terms", lambda x: x["feature"]), ";"), F.lit("")))
 
 
+@query("ridge_residual", _FEATURES_SQL + "SELECT feature, CAST(0 AS DOUBLE) AS residual, n FROM support")
+def ridge_residual(t):
+    """What the fit leaves of the normal equations: X'Xb + lam b - X'y of every kept feature is 0."""
+    rows = materialize(draft_rows(t), "training-rows")
+    model = fit_ridge(rows, evaluate=False).select("feature", "coef", "n")
+    active = explode_features(rows, ["oe_game_id", "team", "y"]).filter(F.col("y").isNotNull()).join(model, "feature")
+    fitted = active.groupBy("oe_game_id", "team").agg(F.sum("coef").alias("fitted"))
+    return (active.join(fitted, ["oe_game_id", "team"]).groupBy("feature", "coef", "n").agg(F.sum(F.col("fitted") - F.col("y")).alias("s"))
+            .select("feature", (F.round(F.col("s") + RIDGE_LAMBDA * F.col("coef"), 4) + 0.0).alias("residual"), "n"))
+
+
 @query("ridge_fit")
 def ridge_fit(t):
     """The ridge model of the log-odds moves with both held-out scores."""
