@@ -9,6 +9,7 @@ telling words and over its most telling run of words, becomes a probability by a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -124,7 +125,7 @@ class Counts:
 
 
 class Model:
-    """Smoothed ratios from counts; ``weights`` is the logistic fit, set later."""
+    """Smoothed ratios from counts."""
 
     def __init__(self, table: dict[str, np.ndarray], sketches: np.ndarray, columns: tuple[str, ...], rare: int):
         kinds = {}
@@ -132,7 +133,7 @@ class Model:
             rows = np.flatnonzero(table["kind"] == kind)
             keys = table["key"][rows].view(np.uint64)
             order = np.argsort(keys)
-            counts = np.stack([sum(table[f"{name}_{c}"][rows] for c in columns) for name in ("toxic", "plain")], 1)[order].astype(np.float64)
+            counts = np.stack([sum(table[f"{name}_{c}"][rows].astype(np.int64) for c in columns) for name in ("toxic", "plain")], 1)[order].astype(np.float64)
             kinds[kind] = (keys[order], counts, table["before"][rows].view(np.uint64)[order])
         self.prefix, self.word, self.pair = (Counts(kinds[k][0], kinds[k][1]) for k in (_PREFIX, _WORD, _PAIR))
         self.total = np.maximum(self.word.count.sum(0), 1.0)
@@ -153,7 +154,6 @@ class Model:
         own = (self.pair.count + PAIR_PRIOR * common[:, None]) / (np.where(known[:, None], self.word.count[before], 0.0) + PAIR_PRIOR)
         self.pair_share = taken[:, None] * own / common[:, None]
         self.pair_free = np.maximum(1 - np.bincount(before[known], weights=taken[known], minlength=len(self.word.keys)), 1e-3)[:, None]
-        self.weights = np.zeros(4)
 
     def ratios(self, seg: flat.Segments, word: np.ndarray, prefix: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log P(word | toxic) / P(word | ordinary) of every word."""
@@ -189,6 +189,27 @@ class Model:
         return out
 
 
+@dataclass
+class Fitted:
+    """What travels to the tasks: counts, sketches and the fit. Models are built from it once in each worker."""
+
+    table: dict[str, np.ndarray]
+    sketches: np.ndarray
+    columns: tuple[str, ...]
+    rare: tuple[int, ...]
+    weights: np.ndarray
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def models(self) -> list[Model]:
+        if self.token not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.token] = [Model(self.table, self.sketches, self.columns, r) for r in self.rare]
+        return _BUILT[self.token]
+
+
+_BUILT: dict[str, list[Model]] = {}
+
+
 def discounted(count: np.ndarray, rare: int) -> np.ndarray:
     """What is left of counts after the discount; up to ``rare`` nothing, so such units are left to the backoff."""
     return np.where(count > rare, count - DISCOUNT, 0.0)
@@ -215,7 +236,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Fitted:
     """Fit on labelled documents that are not held out; the shared counts cover all documents.
 
     At most ``sample_rows`` (below 16,000) labelled rows of each class are read, a documented bound. A quarter
@@ -236,13 +257,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sketches[np.asarray(got["slot"])] = np.asarray(got["bits"]).view(np.uint64)
     counted = class_counts(labelled).toArrow()
     table = {c: np.asarray(counted[c]) for c in counted.column_names}
-    trials = [Model(table, sketches, ("fit",), rare) for rare in RARE]
-    shared = spark.sparkContext.broadcast(trials)
+    table |= {c: table[c].astype(np.int16) for c in table if c not in ("kind", "key", "before")}
+    shared = spark.sparkContext.broadcast(Fitted(table, sketches, ("fit",), RARE, np.zeros(4)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in flat.slices(batch):
-                x = np.hstack([m.features(part.column("text")) for m in shared.value])
+                x = np.hstack([m.features(part.column("text")) for m in shared.value.models()])
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(x))], ["toxic", "x"])
 
     rows = labelled.where("calibrate = 1").select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").toArrow()
@@ -251,22 +272,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     x = np.array(rows["x"].to_pylist()).reshape(len(y), len(RARE), 4)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if not 0 < y.sum() < len(y):
-        model = Model(table, sketches, ("fit", "cal"), RARE[0])
-        model.weights = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0, 0])
-        return model
+        flat_fit = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0, 0])
+        return Fitted(table, sketches, ("fit", "cal"), RARE[:1], flat_fit)
     weight = np.where(y > 0, sizes.get(1, 0) / y.sum(), sizes.get(0, 0) / (len(y) - y.sum()))
     weight /= weight.mean()
     fits = [logistic(x[:, i], y, weight) for i in range(len(RARE))]
     losses = [float((weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (x[:, i] @ b))).sum()) for i, b in enumerate(fits)]
     chosen = int(np.argmin(losses))
     # All labelled counts are larger by this factor than those the limit was chosen on.
-    grown = (table["toxic_fit"].sum() + table["toxic_cal"].sum()) / max(1, table["toxic_fit"].sum())
-    model = Model(table, sketches, ("fit", "cal"), round(RARE[chosen] * grown))
-    model.weights = fits[chosen]
-    return model
+    fit_sum, cal_sum = (table[f"toxic_{c}"].sum(dtype=np.int64) for c in ("fit", "cal"))
+    rare = round(RARE[chosen] * (fit_sum + cal_sum) / max(1, fit_sum))
+    return Fitted(table, sketches, ("fit", "cal"), (rare,), fits[chosen])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Fitted, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """``score`` (0 to 1) and ``predicted`` of every whole text; no shuffle.
 
     NULL, empty and wordless texts get the score of a text without evidence. Repeated rows are
@@ -278,10 +297,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        (m,), weights = shared.value.models(), shared.value.weights
         for batch in batches:
             for part in flat.slices(batch, "xtext"):
-                p = 1 / (1 + np.exp(-np.clip(m.features(part.column("xtext")) @ m.weights, -30, 30)))
+                p = 1 / (1 + np.exp(-np.clip(m.features(part.column("xtext")) @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(k) for k in names], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
