@@ -300,3 +300,17 @@ def test_slices_keep_every_row():
 
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "", "b" * 50, "c"], pa.string())})
     assert sum(s.num_rows for s in flat.slices(batch, most=12)) == 5
+
+
+def passage_pairs(spark, rows):
+    return by_id(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "partner_id", "start_word", "end_word")
+
+
+def test_one_changed_word_loses_no_passage(spark):
+    rng, rows = random.Random(9), []
+    for k in range(120):
+        one = prose(8000 + k, 50 + 10 * (k % 3)).split()
+        other = list(one)
+        other[len(one) // 2 - rng.randint(0, 1)] = "changed"
+        rows += [(2 * k, prose(9000 + k, 40) + " " + " ".join(one)), (2 * k + 1, " ".join(other) + " " + prose(9500 + k, 30))]
+    assert {g[:2] for g in passage_pairs(spark, rows)} == {(a, a ^ 1) for a in range(240)}
