@@ -306,6 +306,18 @@ def passage_pairs(spark, rows):
     return by_id(passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "partner_id", "start_word", "end_word")
 
 
+def test_a_text_with_part_of_a_passage_hides_no_others(spark):
+    rows, want = [], set()
+    for k in range(40):
+        shared, held = prose(7000 + k, 51).split(), 44 if k % 2 else 47
+        low = (51 - held) // 2
+        part = " ".join(shared[low:low + held])
+        rows += [(10 * k, f"{prose(12000 + k, 60)} {part} {prose(12100 + k, 60)}" if k % 2 else part),
+                 (10 * k + 2, prose(12200 + k, 60) + " " + " ".join(shared) + " " + prose(12300 + k, 20)), (10 * k + 3, " ".join(shared))]
+        want |= {10 * k + 2, 10 * k + 3}
+    assert {g[0] for g in passage_pairs(spark, rows)} == want
+
+
 def test_one_changed_word_loses_no_passage(spark):
     rng, rows = random.Random(9), []
     for k in range(120):
