@@ -318,6 +318,15 @@ def test_a_text_with_part_of_a_passage_hides_no_others(spark):
     assert {g[0] for g in passage_pairs(spark, rows)} == want
 
 
+def test_every_place_of_a_passage_has_a_row(spark):
+    shared = prose(7500, 55)
+    twice = " ".join([prose(7501, 40), shared, prose(7502, 70), shared, prose(7503, 30)])
+    for ids in ((1, 2), (2, 1)):
+        got = passage_pairs(spark, [(ids[0], twice), (ids[1], shared + " " + prose(7504, 60))])
+        assert sorted(g[2:] for g in got if g[0] == ids[0]) == [(40, 95), (165, 220)]
+        assert [g[2:] for g in got if g[0] == ids[1]] == [(0, 55)]
+
+
 def test_one_changed_word_loses_no_passage(spark):
     rng, rows = random.Random(9), []
     for k in range(120):
