@@ -21,18 +21,19 @@ class Bands:
     """Compression limits. A ratio is text bytes over zstandard bytes.
 
     ``whole`` lists (bytes from which it holds, lowest, highest ratio) ascending: longer
-    texts compress better, so the band moves up with the length. ``chunk`` is the band of
-    every full chunk of ``chunk_bytes``; a text fails when more than ``bad_chunks`` of its
-    chunks (as a share) lie outside.
+    texts compress better, so the band moves up with the length. The lowest ratios lie between
+    random characters and prose of that length. ``chunk`` is the band of every full chunk of
+    ``chunk_bytes`` and of as many last bytes; a text fails when more than ``bad_chunks`` of
+    its chunks (as a share) lie outside.
     """
 
     min_words: int = 50
     repeat_percent: int = 50
     level: int = 3
     whole: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 3.0), (256, 1.05, 3.0), (1_024, 1.2, 3.5), (4_096, 1.3, 4.0), (16_384, 1.4, 5.0), (65_536, 1.4, 6.0))
+        (0, 0.0, 3.0), (256, 1.14, 3.0), (384, 1.2, 3.0), (512, 1.27, 3.0), (1_024, 1.35, 3.5), (2_048, 1.4, 3.5), (4_096, 1.4, 4.0), (16_384, 1.4, 5.0), (65_536, 1.4, 6.0))
     chunk_bytes: int = 2_048
-    chunk: tuple[float, float] = (1.2, 4.0)
+    chunk: tuple[float, float] = (1.4, 4.0)
     bad_chunks: float = 0.5
 
 
@@ -78,14 +79,17 @@ def in_band(size: int, ratio: float, bands: Bands) -> bool:
 
 
 def ratios(data: memoryview, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text and the share of full chunks outside the chunk band."""
+    """Ratio of the whole text and the share of chunks outside the chunk band."""
     if not len(data):
         return 0.0, 0.0
     whole = len(data) / len(packer.compress(data))
-    step, n_full = bands.chunk_bytes, len(data) // bands.chunk_bytes
+    step = bands.chunk_bytes
+    begins = list(range(0, len(data) - step + 1, step))
+    if begins and len(data) % step:
+        begins.append(len(data) - step)
     low, high = bands.chunk
-    bad = sum(not low <= step / len(packer.compress(data[i * step:(i + 1) * step])) <= high for i in range(n_full))
-    return whole, bad / n_full if n_full else 0.0
+    bad = sum(not low <= step / len(packer.compress(data[i:i + step])) <= high for i in begins)
+    return whole, bad / len(begins) if begins else 0.0
 
 
 def quality(docs: DataFrame, bands: Bands = Bands(), text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -335,3 +335,27 @@ def test_one_changed_word_loses_no_passage(spark):
         other[len(one) // 2 - rng.randint(0, 1)] = "changed"
         rows += [(2 * k, prose(9000 + k, 40) + " " + " ".join(one)), (2 * k + 1, " ".join(other) + " " + prose(9500 + k, 30))]
     assert {g[:2] for g in passage_pairs(spark, rows)} == {(a, a ^ 1) for a in range(240)}
+
+
+def test_default_bands_reject_noise_and_keep_prose(spark):
+    rng, rows = random.Random(5), []
+    kinds = ["0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/ ", "".join(map(chr, range(32, 127)))]
+    for n in (1_000, 3_500, 4_000, 6_000, 12_000, 15_000):
+        for kind in kinds:
+            # A space at least every 18 characters, so that the base rule has its 50 words.
+            noise = [rng.choice(kind) for _ in range(n)]
+            noise[::18] = " " * len(noise[::18])
+            rows.append((len(rows), "".join(noise)))
+    bad = len(rows)
+    rows += [(bad + k, prose(600 + k, n)) for k, n in enumerate((160, 600, 2_000))]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(not r["base_failed"] and r["kept"] == (r["doc_id"] >= bad) for r in got)
+
+
+def test_last_part_of_a_text_is_a_chunk():
+    import zstandard
+
+    rng, bands = random.Random(6), quality.Bands()
+    tail = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/ ") for _ in range(2_000))
+    _, bad = quality.ratios(memoryview((prose(700, 1_000)[:2_048] + tail).encode()), bands, zstandard.ZstdCompressor(level=3))
+    assert bad == 0.5
