@@ -3,6 +3,8 @@
 Each class has discounted counts (of documents) of word pairs, words and word beginnings. What
 the discount frees goes to the next shorter unit and in the end to continuation counts shared
 by both classes, which are gathered from the whole corpus: in how many contexts a word stands.
+They are exact, and needed for the words of the class counts only, as a word without such counts
+has them in both classes alike.
 The log-likelihood ratio, divided by the number of words, over the whole text, over its most
 telling words and over its most telling run of words, becomes a probability by a logistic fit.
 """
@@ -23,8 +25,10 @@ from marketlake.llm.language import held_out
 
 #: Labelled rows of each class that a fit reads at most (chosen by a hash of the id).
 SAMPLE_ROWS = 8_000
-#: Sketches of the shared continuation counts: a fixed number of 64-bit sets of contexts.
-WORD_SLOTS, PREFIX_SLOTS = 1 << 18, 1 << 16
+#: Contexts that a task holds before it passes them on.
+HELD_CONTEXTS = 2_000_000
+#: Contexts and words set aside for words and beginnings that the corpus does not hold.
+UNSEEN = {1: 1 << 17, 0: 1 << 15}
 PREFIX_BYTES = 5
 DISCOUNT = 0.75
 LEAST_COUNT = 2
@@ -80,21 +84,41 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     return added.where(" + ".join(cells) + f" >= {LEAST_COUNT}")
 
 
-def shared_counts(texts: DataFrame) -> DataFrame:
-    """(slot, bits): the contexts of each word and the words of each beginning, over all texts."""
+def shared_counts(texts: DataFrame, table: dict[str, np.ndarray]) -> dict[tuple[int, int], int]:
+    """By (kind, key) of the class counts: in how many contexts a word stands over all texts, and
+    how many words a beginning has. All other keys of a kind count together under key 0."""
+    keys = {k: np.sort(table["key"][table["kind"] == k].view(np.uint64)) for k in (_WORD, _PREFIX)}
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+    # One number holds the row of a key (the first of each kind for all other keys) above bits of the context's hash.
+    base = {_WORD: 1, _PREFIX: 2 + len(keys[_WORD])}
+    bits = 63 - (base[_PREFIX] + len(keys[_PREFIX])).bit_length()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = np.zeros(WORD_SLOTS + PREFIX_SLOTS, dtype=np.uint64)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {k: Counts(v, np.zeros(0)) for k, v in shared.value.items()}
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for part in flat.slices(batch):
                 _, word, prefix, pair = units(part.column("text"))
-                one = np.uint64(1)
-                np.bitwise_or.at(sets, slot_of(word, WORD_SLOTS), one << (pair >> np.uint64(58)))
-                np.bitwise_or.at(sets, WORD_SLOTS + slot_of(prefix, PREFIX_SLOTS), one << (word >> np.uint64(58)))
-        slots = np.flatnonzero(sets)
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(sets[slots].view(np.int64))], ["slot", "bits"])
-
-    return texts.mapInArrow(sketch, "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+                # A context of a word: the word with the one before, or the word alone at a text's start.
+                for kind, of, context in ((_WORD, word, np.where(pair != 0, pair, word)), (_PREFIX, prefix, word)):
+                    row = known[kind].find(of) + base[kind]
+                    held.append(np.unique((row << bits) | (context >> np.uint64(64 - bits)).astype(np.int64)))
+                    size += len(held[-1])
+                if size >= HELD_CONTEXTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["packed"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["packed"])
+
+    rows = texts.mapInArrow(gather, "packed long").distinct().groupBy(F.shiftright("packed", bits).alias("row")).agg(F.count("*").alias("n")).collect()
+    shared.unpersist()
+    out = {}
+    for r in rows:
+        kind = _PREFIX if r["row"] >= base[_PREFIX] - 1 else _WORD
+        at = r["row"] - base[kind]
+        out[kind, int(keys[kind][at]) if at >= 0 else 0] = r["n"]
+    return out
 
 
 def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -127,23 +151,23 @@ class Counts:
 class Model:
     """Smoothed ratios from counts."""
 
-    def __init__(self, table: dict[str, np.ndarray], sketches: np.ndarray, columns: tuple[str, ...], rare: int):
+    def __init__(self, table: dict[str, np.ndarray], others: dict[int, int], columns: tuple[str, ...], rare: int):
         kinds = {}
         for kind in (_PREFIX, _WORD, _PAIR):
             rows = np.flatnonzero(table["kind"] == kind)
             keys = table["key"][rows].view(np.uint64)
             order = np.argsort(keys)
             counts = np.stack([sum(table[f"{name}_{c}"][rows].astype(np.int64) for c in columns) for name in ("toxic", "plain")], 1)[order].astype(np.float64)
-            kinds[kind] = (keys[order], counts, table["before"][rows].view(np.uint64)[order])
+            n = table["contexts"][rows][order] + 0.5
+            kinds[kind] = (keys[order], counts, table["before"][rows].view(np.uint64)[order], n / max(n.sum() + others.get(kind, 0) + UNSEEN.get(kind, 0), 1.0))
         self.prefix, self.word, self.pair = (Counts(kinds[k][0], kinds[k][1]) for k in (_PREFIX, _WORD, _PAIR))
         self.total = np.maximum(self.word.count.sum(0), 1.0)
         self.word_share = discounted(self.word.count, rare) / self.total
         self.word_free = 1 - self.word_share.sum(0)
         prefix_share = discounted(self.prefix.count, rare) / self.total
         self.prefix_free = 1 - prefix_share.sum(0)
-        self.shared = contexts(sketches[:WORD_SLOTS])
-        shared_prefix = contexts(sketches[WORD_SLOTS:])
-        self.prefix_ratio = prefix_share / shared_prefix[slot_of(self.prefix.keys, PREFIX_SLOTS)][:, None] + self.prefix_free
+        self.shared = kinds[_WORD][3]
+        self.prefix_ratio = prefix_share / kinds[_PREFIX][3][:, None] + self.prefix_free
         before = self.word.find(kinds[_PAIR][2])
         known = before >= 0
         # The share of a first word that its kept pairs take is common to both classes, and a
@@ -159,8 +183,9 @@ class Model:
         """log P(word | toxic) / P(word | ordinary) of every word."""
         w, p, q = self.word.find(word), self.prefix.find(prefix), self.pair.find(pair)
         ratio = np.where((p >= 0)[:, None], self.prefix_ratio[p] if len(self.prefix_ratio) else 0.0, self.prefix_free)
-        prob = self.word_free * ratio * self.shared[slot_of(word, WORD_SLOTS)][:, None]
-        prob[w >= 0] += self.word_share[w[w >= 0]]
+        # Words without class counts leave the shared count out: it is the same in both classes.
+        prob = self.word_free * ratio
+        prob[w >= 0] = prob[w >= 0] * self.shared[w[w >= 0]][:, None] + self.word_share[w[w >= 0]]
         before = np.concatenate([[-1], w[:-1]]) if len(w) else w
         before = np.where(pair != 0, before, -1)
         prob[before >= 0] *= self.pair_free[before[before >= 0]]
@@ -191,10 +216,10 @@ class Model:
 
 @dataclass
 class Fitted:
-    """What travels to the tasks: counts, sketches and the fit. Models are built from it once in each worker."""
+    """What travels to the tasks: counts, contexts of all other words and beginnings, and the fit. Models are built from it once in each worker."""
 
     table: dict[str, np.ndarray]
-    sketches: np.ndarray
+    others: dict[int, int]
     columns: tuple[str, ...]
     rare: tuple[int, ...]
     weights: np.ndarray
@@ -203,7 +228,7 @@ class Fitted:
     def models(self) -> list[Model]:
         if self.token not in _BUILT:
             _BUILT.clear()
-            _BUILT[self.token] = [Model(self.table, self.sketches, self.columns, r) for r in self.rare]
+            _BUILT[self.token] = [Model(self.table, self.others, self.columns, r) for r in self.rare]
         return _BUILT[self.token]
 
 
@@ -215,13 +240,6 @@ def discounted(count: np.ndarray, rare: int) -> np.ndarray:
     return np.where(count > rare, count - DISCOUNT, 0.0)
 
 
-def contexts(sketches: np.ndarray) -> np.ndarray:
-    """Continuation probability of each slot by linear counting of its 64-bit set."""
-    bits = np.bitwise_count(sketches).astype(np.float64)
-    n = -64 * np.log(np.maximum(1 - bits / 64, 1 / 128)) + 0.5
-    return n / n.sum()
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
     """Weighted logistic regression by Newton steps."""
     b = np.zeros(x.shape[1])
@@ -252,13 +270,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = docs.select(docs["doc_id"], docs["text"]).where("text is not null")
     # The sample has at most 2 * sample_rows small rows, whatever the input.
     labelled = texts.join(F.broadcast(sample), "doc_id")
-    sketches = np.zeros(WORD_SLOTS + PREFIX_SLOTS, dtype=np.uint64)
-    got = shared_counts(texts.select("text")).toArrow()
-    sketches[np.asarray(got["slot"])] = np.asarray(got["bits"]).view(np.uint64)
     counted = class_counts(labelled).toArrow()
     table = {c: np.asarray(counted[c]) for c in counted.column_names}
     table |= {c: table[c].astype(np.int16) for c in table if c not in ("kind", "key", "before")}
-    shared = spark.sparkContext.broadcast(Fitted(table, sketches, ("fit",), RARE, np.zeros(4)))
+    found = shared_counts(texts.select("text"), table)
+    table["contexts"] = np.array([found.get((k, x), 0) for k, x in zip(table["kind"].tolist(), table["key"].view(np.uint64).tolist())], np.int64)
+    others = {k: n for (k, x), n in found.items() if x == 0}
+    shared = spark.sparkContext.broadcast(Fitted(table, others, ("fit",), RARE, np.zeros(4)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if not 0 < y.sum() < len(y):
         flat_fit = np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0, 0])
-        return Fitted(table, sketches, ("fit", "cal"), RARE[:1], flat_fit)
+        return Fitted(table, others, ("fit", "cal"), RARE[:1], flat_fit)
     weight = np.where(y > 0, sizes.get(1, 0) / y.sum(), sizes.get(0, 0) / (len(y) - y.sum()))
     weight /= weight.mean()
     fits = [logistic(x[:, i], y, weight) for i in range(len(RARE))]
@@ -282,7 +300,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # All labelled counts are larger by this factor than those the limit was chosen on.
     fit_sum, cal_sum = (table[f"toxic_{c}"].sum(dtype=np.int64) for c in ("fit", "cal"))
     rare = round(RARE[chosen] * (fit_sum + cal_sum) / max(1, fit_sum))
-    return Fitted(table, sketches, ("fit", "cal"), (rare,), fits[chosen])
+    return Fitted(table, others, ("fit", "cal"), (rare,), fits[chosen])
 
 
 def score(docs: DataFrame, model: Fitted, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:

@@ -359,3 +359,23 @@ def test_last_part_of_a_text_is_a_chunk():
     tail = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/ ") for _ in range(2_000))
     _, bad = quality.ratios(memoryview((prose(700, 1_000)[:2_048] + tail).encode()), bands, zstandard.ZstdCompressor(level=3))
     assert bad == 0.5
+
+
+def test_shared_counts_have_no_ceiling(spark):
+    words = [f"w{i}x" for i in range(2_000)]
+    rows = [(" ".join(f"{w} common" for w in words[k::4]),) for k in range(4)] + [(f"common {words[0]} common",), (None,)]
+    data = pa_texts(["common rare", "commo"])
+    _, word, prefix, _ = toxicity.units(data)
+    table = {"kind": np.array([1, 1, 0], np.int8), "key": np.array([word[0], word[1], prefix[0]], np.uint64).view(np.int64)}
+    got = toxicity.shared_counts(spark.createDataFrame(rows, "text string").repartition(3), table)
+    # 2,000 words stand before it, and a text begins with it.
+    assert got[1, int(word[0])] == 2_001 and (1, int(word[1])) not in got and got[0, int(prefix[0])] == 1
+    # After it 1,996 other words and the first of the last text; four texts begin with another word.
+    want = {(a, b) for (t,) in rows if t for a, b in zip([None, *t.split()], t.split()) if b != "common"}
+    assert got[1, 0] == len(want) and got[0, 0] == 2_000
+
+
+def pa_texts(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.string())
