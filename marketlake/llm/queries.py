@@ -1,4 +1,4 @@
-"""The ten operators bound to the given tables, and equal SQL where SQL can say it."""
+"""The operators bound to the given tables, and equal SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
+from marketlake.llm import decontam, language, mixing, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of at least 50 words that occur in another document too."""
     return passages.passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, by target weights of the sources."""
+    return mixing.digest(mixing.repetitions(table(spark, sf_dir, "documents")))
+
+
+SQL["op13_source_mix"] = mixing.SQL
