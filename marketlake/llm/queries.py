@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontam, language, mixing, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
+from marketlake.llm import collocations, decontam, language, mixing, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_source_mix"] = mixing.SQL
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by how firmly their words hold together."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = collocations.SQL
