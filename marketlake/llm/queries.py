@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import collocations, decontam, language, mixing, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
+from marketlake.llm import alignment, collocations, decontam, language, mixing, neardup, passages, pieces, pii, quality, tokens, toxicity, wrappers
 from marketlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_collocations"] = collocations.SQL
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two vocabularies' tokens in every document, with the links' counts in all documents."""
+    docs, _ = alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+    return docs
