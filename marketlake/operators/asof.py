@@ -1,9 +1,9 @@
 """As-of joins: the last tick at or before, the first at or after, the nearest in time.
 
-Ticks and probes are unioned and sorted once per key, so the work is linear in
-their number and no pairs are formed. Keys too large for one task are cut into
-time segments (see :mod:`.ordered`), with repeated ticks and probes of such a key
-collapsed first and the answer joined back to every copy.
+Ticks and probes are unioned and sorted once per key, so the work is linear in their number
+and no pairs are formed. Large tables are cut into ranges of (key, time), with the last tick of
+a range carried forward (see :mod:`.ordered`); repeated probes of one instant, and ticks of one
+instant under numeric ties, may lie in several ranges.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.times import micros
-from .ordered import ROWS_PER_SEGMENT, SEGMENT, Cuts, find_cuts
+from .ordered import ROWS_PER_SEGMENT, SEGMENT, Cuts, find_cuts, key_struct
+
+_T, _TICK, _TIE, _PROBE, _SALT, _IS_PROBE, _RANK = "__t", "__tick", "__tie", "__probe", "__salt", "__is_probe", "__rank"
+#: Ranges over which probes without a key are spread.
+_KEYLESS = 4096
 
-_T, _TICK, _TIE, _PROBE, _SALT = "__t", "__tick", "__tie", "__probe", "__salt"
 
 @dataclass(frozen=True)
 class _Side:
@@ -37,93 +41,68 @@ def _not_null(cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
 
 
-def _prepare(probes, ticks, on, probe_time, tick_time, values, tie) -> _Side:
+def _prepare(probes, ticks, on, probe_time, tick_time, values, tie, ahead: bool) -> _Side:
     tie_col = F.col(tie) if tie else F.lit(None).cast("int")
-    t = (ticks.filter(_not_null([*on, tick_time]))
-         .select(*on, _as_long(ticks, tick_time).alias(_T), tie_col.alias(_TIE),
-                 F.struct(F.col(tick_time).alias("at"), *[F.col(v) for v in values]).alias(_TICK)))
-    # Probes without a key find nothing; they are spread instead of meeting in one task.
-    salt = F.when(_not_null(on), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*probes.columns), F.lit(4096)).cast("int"))
-    p = probes.select(*on, _as_long(probes, probe_time).alias(_T), salt.alias(_SALT),
-                      F.struct(*probes.columns).alias(_PROBE))
-    return _Side(on, t.withColumn(_SALT, F.lit(0)), p)
+    payload = F.struct(F.col(tick_time).alias("at"), *[F.col(v) for v in values])
+    t = ticks.filter(_not_null([*on, tick_time])).select(*on, _as_long(ticks, tick_time).alias(_T), tie_col.alias(_TIE), payload.alias(_TICK))
+    if not ahead and (tie is None or isinstance(t.schema[_TIE].dataType, NumericType)):
+        # Ticks of one instant in the order in which the last one is wanted.
+        t = t.withColumn(_RANK, (-F.col(_TIE)).cast("double")).withColumn(_SALT, F.xxhash64(_TICK))
+    else:
+        best = F.struct(F.col(_TIE).isNull().alias("none"), F.col(_TIE).alias("tie"))
+        t = (t.groupBy(*on, _T).agg(F.min_by(F.struct(_TIE, _TICK), best).alias("__b"))
+             .select(*on, _T, F.col(f"__b.{_TIE}").alias(_TIE), F.col(f"__b.{_TICK}").alias(_TICK),
+                     F.lit(None).cast("double").alias(_RANK), F.lit(0).cast("bigint").alias(_SALT)))
+    p = probes.select(*on, _as_long(probes, probe_time).alias(_T), F.lit(None).cast("double").alias(_RANK),
+                      F.xxhash64(*probes.columns).alias(_SALT), F.struct(*probes.columns).alias(_PROBE))
+    return _Side(on, t.drop(_TIE), p)
 
 
 def _union(ticks: DataFrame, probes: DataFrame) -> DataFrame:
-    return (ticks.withColumn("__is_probe", F.lit(False))
-            .unionByName(probes.withColumn("__is_probe", F.lit(True)), allowMissingColumns=True))
-
+    return (ticks.withColumn(_IS_PROBE, F.lit(False))
+            .unionByName(probes.withColumn(_IS_PROBE, F.lit(True)), allowMissingColumns=True))
 
-def _orders(direction: str) -> list[Column]:
-    """Sort so that the wanted tick is the closest one before the probe.
 
-    Ticks of one instant come before its probes, the smallest tie value last.
-    """
-    t = F.col(_T).asc() if direction == "backward" else F.col(_T).desc()
-    return [t, F.col("__is_probe").asc(), F.col(_TIE).desc_nulls_first()]
+#: Ticks of one instant come before its probes, the smallest tie value last.
+_ORDER = [_T, _IS_PROBE, _RANK, _SALT]
 
 
-def _scan(u: DataFrame, keys: list[str], found: str, direction: str) -> DataFrame:
-    w = (Window.partitionBy(*keys).orderBy(*_orders(direction))
+def _scan(u: DataFrame, keys: list[str], found: str, direction: str, cuts: Cuts | None, ticks: DataFrame) -> DataFrame:
+    """Add the last tick so far as ``found``; ``direction`` forward reads time backward."""
+    back = direction == "backward"
+    t = F.col(_T).asc() if back else F.col(_T).desc()
+    w = (Window.partitionBy(SEGMENT, *keys).orderBy(t, *_ORDER[1:])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return u.withColumn(found, F.last(_TICK, ignorenulls=True).over(w))
-
-
-def _scan_cut(u: DataFrame, cuts: Cuts, found: str, direction: str) -> DataFrame:
-    """The same scan per (key, segment) with the tick carried over from earlier segments.
-
-    Ticks are unique per (key, time) here.
-    """
-    keys = cuts.keys
-    local = _scan(u, [*keys, SEGMENT], found, direction)
-    edge = F.max_by if direction == "backward" else F.min_by
-    summary = (u.groupBy(*keys, SEGMENT)
-               .agg(edge(F.col(_TICK), F.when(F.col(_TICK).isNotNull(), F.col(_T))).alias("__edge")))
-    order = F.col(SEGMENT).asc() if direction == "backward" else F.col(SEGMENT).desc()
-    before = (Window.partitionBy(*keys).orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summary.select(*keys, SEGMENT,
-                           F.last("__edge", ignorenulls=True).over(before).alias("__carry"))
-    return (local.join(carry, [*keys, SEGMENT], "left")
-            .withColumn(found, F.coalesce(found, "__carry")).drop("__carry"))
-
-
-def _asked(side: _Side) -> DataFrame:
-    """Ticks of the probed keys only; the planner picks the join by the real size of the keys."""
-    names = side.probes.filter(_not_null(side.keys)).select(*side.keys).distinct()
-    return side.ticks.join(names, side.keys, "left_semi")
+    u = u.withColumn(found, F.last(_TICK, ignorenulls=True).over(w))
+    if cuts is None:
+        return u
+    edge = F.max_by if back else F.min_by
+    rows = cuts.split(ticks.withColumn(_IS_PROBE, F.lit(False)))
+    edges = rows.groupBy(SEGMENT).agg(
+        edge(F.struct(key_struct(keys).alias("k"), F.col(_TICK).alias("v")), F.struct(*keys, *_ORDER)).alias("__edge"))
+    # Ranges without ticks have no row among the edges, but a carry all the same.
+    every = edges.unionByName(cuts.numbers(), allowMissingColumns=True).groupBy(SEGMENT).agg(F.first("__edge", ignorenulls=True).alias("__edge"))
+    carry = cuts.carried(every, F.col("__edge"), back=back)
+    same = key_struct(keys) == F.col("__carry.k")
+    return (u.join(carry, SEGMENT, "left")
+            .withColumn(found, F.coalesce(found, F.when(same, F.col("__carry.v")))).drop("__carry"))
 
 
 def _lookup(side: _Side, directions: dict[str, str], rows_per_segment: int | None) -> DataFrame:
     """Probe rows (``__probe``) with one tick struct per requested direction."""
     keys = side.keys
-    side = _Side(keys, _asked(side), side.probes)
-    every = (side.ticks.select(*keys, _T)
-             .unionByName(side.probes.filter(_not_null(keys)).select(*keys, _T)))
-    cuts = find_cuts(every, keys, _T, rows_per_segment)
-    found = list(directions)
-
-    def plain(ticks, probes):
-        u = _union(ticks, probes)
-        for name, direction in directions.items():
-            u = _scan(u, [*keys, _SALT], name, direction)
-        return u.filter("__is_probe").select(_PROBE, *found)
-
-    if cuts is None:
-        return plain(side.ticks, side.probes)
-
-    cold = plain(cuts.cold(side.ticks), cuts.cold(side.probes))
-    hot_probes = cuts.hot(side.probes)
-    hot_ticks = (cuts.hot(side.ticks).groupBy(*keys, _T)
-                 .agg(F.min_by(F.col(_TICK), F.struct(F.col(_TIE).isNull(), F.col(_TIE))).alias(_TICK),
-                      F.lit(None).cast(side.ticks.schema[_TIE].dataType).alias(_TIE)))
-    u = cuts.assign(_union(hot_ticks, hot_probes.select(*keys, _T).distinct()), _T)
+    columns = [*keys, *_ORDER]
+    every = _union(side.ticks.select(*keys, _T, _RANK, _SALT), side.probes.filter(_not_null(keys)).select(*keys, _T, _RANK, _SALT))
+    cuts = find_cuts(every.select(*columns), keys, _ORDER, rows_per_segment)
+    # Ticks of the probed keys only; the planner picks the join by the real size of the keys.
+    names = side.probes.filter(_not_null(keys)).select(*keys).distinct()
+    u = _union(side.ticks.join(names, keys, "left_semi"), side.probes)
+    u = cuts.assign(u) if cuts is not None else u.withColumn(SEGMENT, F.lit(0))
+    # Probes without a key find nothing; they are spread instead of meeting in one task.
+    u = u.withColumn(SEGMENT, F.when(_not_null(keys), F.col(SEGMENT)).otherwise(F.pmod(_SALT, F.lit(_KEYLESS)).cast("int")))
     for name, direction in directions.items():
-        u = _scan_cut(u, cuts, name, direction)
-    answers = u.filter("__is_probe").select(*keys, _T, *found)
-    hot = hot_probes.join(answers, [*keys, _T], "left").select(_PROBE, *found)
-    return cold.unionByName(hot)
+        u = _scan(u, keys, name, direction, cuts, side.ticks)
+    return u.filter(_IS_PROBE).select(_PROBE, *directions)
 
 
 def asof_backward(probes: DataFrame, ticks: DataFrame, on: list[str], probe_time: str,
@@ -138,7 +117,7 @@ def asof_backward(probes: DataFrame, ticks: DataFrame, on: list[str], probe_time
     ``at`` adds the chosen tick's time. Both times must be of one kind
     (timestamps, or integers in the same unit).
     """
-    side = _prepare(probes, ticks, on, probe_time, tick_time, values, tie)
+    side = _prepare(probes, ticks, on, probe_time, tick_time, values, tie, False)
     res = _lookup(side, {"__found": "backward"}, rows_per_segment)
     res = res.select(f"{_PROBE}.*", F.col("__found"))
     ok = F.col("__found").isNotNull()
@@ -179,7 +158,7 @@ def nearest(probes: DataFrame, targets: DataFrame, on: list[str], probe_time: st
     out. Times are integers in the tolerance's unit.
     """
     cols = list(dict.fromkeys([tie, *values]))
-    side = _prepare(probes, targets, on, probe_time, target_time, cols, tie)
+    side = _prepare(probes, targets, on, probe_time, target_time, cols, tie, True)
     res = _lookup(side, {"__b": "backward", "__f": "forward"}, rows_per_segment)
     res = res.select(f"{_PROBE}.*", "__b", "__f")
     t = F.col(probe_time)

@@ -32,8 +32,8 @@ def halts_from_status(polls: DataFrame, keys: list[str], order: list[str], activ
     A halt without a closing poll keeps a NULL end. ``order`` is an integer time and,
     where times repeat within a key, a sequence.
     """
-    # Changes are some of the polls, so the cuts of the polls bound their segments too.
-    cuts = find_cuts(polls.filter(F.col(active).isNotNull()).select(*keys, order[0]), keys, order[0], rows_per_segment)
+    # Changes are some of the polls, so the bounds of the polls keep their ranges small too.
+    cuts = find_cuts(polls.filter(F.col(active).isNotNull()), keys, order, rows_per_segment)
     changes = transitions(polls, keys, order, active, cuts)
     paired = neighbour(changes, keys, order, order[0], end, "next", cuts)
     return paired.filter(~F.col(active)).select(*keys, F.col(order[0]).alias(start), end)

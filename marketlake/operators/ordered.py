@@ -1,32 +1,29 @@
 """Ordered scans per key that stay balanced when one key holds much of the data.
 
-A window partitioned by key alone sends every row of a key to one task. Here the
-keys above ``rows_per_segment`` rows are found first (a count over the key
-columns only), their time axis is cut at approximate quantiles, and the window
-runs per ``(key, segment)``. What a segment needs from its neighbours is a
-one-row summary per segment, so the values carried across cuts come from a table
-with a few rows per hot key. Keys below the limit use segment 0 and need no carry.
-Any number of keys may be hot, NULL keys too: cuts are a table, and the planner
-picks the join.
-
-The order columns must not repeat within a key, which the table keys guarantee;
-times are compared as BIGINT microseconds or seconds.
+A window partitioned by key alone sends every row of a key to one task. Here all rows are
+cut into ranges of (key, time, sequence): the window runs per (range, key), and one boundary
+row for each range is carried forward to the ranges after it. The bounds come from a sample of
+the key and order columns inside the query itself, so building a plan starts no job, no key is
+counted, and any key can be cut: a NULL key, many equal ones, or one whose rows share an instant.
+Tables of up to ``rows_per_segment`` rows have no bounds and are one range.
+
+The order columns must not repeat within a key, which the table keys guarantee.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
 #: Rows one task sorts comfortably.
 ROWS_PER_SEGMENT = 4_000_000
+#: Most ranges of a table, and sampled rows for each range.
+MOST_SEGMENTS, SAMPLED = 1 << 16, 16
 
 SEGMENT = "__segment"
+_CUTS = "__cuts"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -41,23 +38,41 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
 
 @dataclass(frozen=True)
 class Cuts:
-    """Hot keys and the sorted times at which each is cut, at most ``most`` of a key."""
+    """Bounds between ranges of (keys, order): one row with a sorted array of structs, maybe empty."""
 
     keys: list[str]
-    table: DataFrame
-    most: int
+    order: list[str]
+    bounds: DataFrame
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Add the number of the row's range: how many bounds are at or below the row."""
+        place = F.struct(*[F.col(c) for c in (*self.keys, *self.order)])
+        return (df.withColumn(_CUTS, self.bounds.scalar())
+                .withColumn(SEGMENT, cut_index(F.col(_CUTS), place, MOST_SEGMENTS)).drop(_CUTS))
+
+    def split(self, df: DataFrame) -> DataFrame:
+        """The same where there are bounds; of an uncut table, which carries nothing, no rows."""
+        place = F.struct(*[F.col(c) for c in (*self.keys, *self.order)])
+        return (df.withColumn(_CUTS, self.bounds.scalar()).filter(F.size(_CUTS) > 0)
+                .withColumn(SEGMENT, cut_index(F.col(_CUTS), place, MOST_SEGMENTS)).drop(_CUTS))
 
-    def hot(self, df: DataFrame) -> DataFrame:
-        return null_safe_join(df, self.table.select(*self.keys), self.keys, "left_semi")
+    def numbers(self) -> DataFrame:
+        """(range): the numbers of all ranges of a cut table, a few rows."""
+        return self.bounds.filter(F.size(_CUTS) > 0).select(F.explode(F.sequence(F.lit(0), F.size(_CUTS))).alias(SEGMENT))
 
-    def cold(self, df: DataFrame) -> DataFrame:
-        return null_safe_join(df, self.table.select(*self.keys), self.keys, "left_anti")
+    def carried(self, edges: DataFrame, value: Column, *, back: bool = True) -> DataFrame:
+        """(range, ``__carry``): ``value`` over the ranges before (or after) each range.
 
-    def assign(self, df: DataFrame, order: str) -> DataFrame:
-        """Add the segment number: how many cuts are at or below the row's time."""
-        return (null_safe_join(df, self.table, self.keys, "left")
-                .withColumn(SEGMENT, cut_index(F.col("__cuts"), F.col(order), self.most))
-                .drop("__cuts"))
+        ``edges`` has one row for each range, so this table has few rows whatever the input and
+        is sent to every task.
+        """
+        order = F.col(SEGMENT).asc() if back else F.col(SEGMENT).desc()
+        before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.broadcast(edges.select(SEGMENT, F.last(value, ignorenulls=True).over(before).alias("__carry")))
+
+
+def key_struct(keys: list[str]) -> Column:
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
 def cut_index(cuts: Column, x: Column, most: int = 4096) -> Column:
@@ -66,32 +81,32 @@ def cut_index(cuts: Column, x: Column, most: int = 4096) -> Column:
     found = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(F.get(cuts, at + step - 1) <= x, at + step).otherwise(at))
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
+    return F.when(F.coalesce(F.size(cuts), F.lit(0)) <= 0, F.lit(0)).otherwise(found)
 
 
-def find_cuts(df: DataFrame, keys: list[str], order: str,
+def find_cuts(df: DataFrame, keys: list[str], order: list[str],
               rows_per_segment: int | None = ROWS_PER_SEGMENT) -> Cuts | None:
-    """Cut points of the keys holding more than ``rows_per_segment`` rows, or None.
+    """Bounds that cut a table into ranges of about ``rows_per_segment`` rows; None cuts nothing.
 
-    Reads only the key (and for hot keys the order) column. Hot keys and cuts are written to
-    the shared folder; the driver learns the largest count alone.
+    No job runs here. The query that uses the bounds counts the rows, keeps those whose hash is
+    below a limit (about ``SAMPLED`` for each range, the same ones in every run) and takes every
+    ``SAMPLED``-th of them in order; both read the key and order columns only.
     """
     if rows_per_segment is None:
         return None
-    hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows_per_segment), "hot-keys")
-    largest = hot.agg(F.max("__n")).first()[0]
-    if largest is None:
-        return None
-    pieces = max(2, 1 << math.ceil(math.log2(largest / rows_per_segment)))
-    grid = [i / pieces for i in range(1, pieces)]
-    # A key needs about n / limit pieces, so it keeps every stride-th point of the grid.
-    stride = F.greatest(F.lit(1), F.floor(F.lit(pieces) * rows_per_segment / F.col("__n"))).cast("int")
-    cuts = (null_safe_join(df.select(*dict.fromkeys([*keys, order])), hot, keys, "inner")
-            .groupBy(*keys, "__n")
-            .agg(F.percentile_approx(order, grid, max(10_000, 10 * pieces)).alias("__q"))
-            .select(*keys, F.array_sort(F.array_distinct(F.filter(
-                F.col("__q"), lambda x, i: (i + 1) % stride == 0))).alias("__cuts")))
-    return Cuts(keys, materialize(cuts, "cuts"), pieces)
+    rows = df.select(*dict.fromkeys([*keys, *order]))
+    # Hashes below this share of 2 ** 62 are kept; a table of one range keeps none.
+    n = F.count(F.lit(1)).cast("double")
+    pieces = F.least(F.ceil(n / rows_per_segment), F.lit(MOST_SEGMENTS))
+    limit = rows.agg(F.when(n > rows_per_segment, F.least(F.lit(1.0), pieces * SAMPLED / n) * float(1 << 62)).otherwise(0.0).cast("bigint"))
+    hashed = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in (*keys, *order)]), 2)
+    place = F.struct(*[F.col(c) for c in (*keys, *order)])
+    sample = (rows.withColumn("__limit", limit.scalar()).filter(hashed < F.col("__limit"))
+              .agg(F.array_sort(F.array_distinct(F.collect_list(place))).alias("__sample")))
+    every = F.transform(F.sequence(F.lit(1), F.floor(F.size("__sample") / SAMPLED).cast("int") - 1),
+                        lambda i: F.get("__sample", i * SAMPLED))
+    bounds = sample.select(F.when(F.size("__sample") >= 2 * SAMPLED, every).otherwise(F.slice("__sample", 1, 0)).alias(_CUTS))
+    return Cuts(keys, order, bounds)
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
@@ -99,8 +114,7 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out:
               found: str | None = None) -> DataFrame:
     """Add the value of the previous (or next) row of the key as ``out``.
 
-    ``order[0]`` is the time the cuts refer to. ``found`` optionally names a
-    BOOLEAN column telling a missing neighbour from a NULL value.
+    ``found`` optionally names a BOOLEAN column telling a missing neighbour from a NULL value.
     """
     step = F.lag if direction == "previous" else F.lead
     boxed = F.struct(F.col(value).alias("v"))
@@ -108,16 +122,15 @@ def neighbour(df: DataFrame, keys: list[str], order: list[str], value: str, out:
         w = Window.partitionBy(*keys).orderBy(*order)
         res = df.withColumn("__box", step(boxed).over(w))
     else:
-        seg = cuts.assign(df, order[0])
-        w = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+        w = Window.partitionBy(SEGMENT, *keys).orderBy(*order)
         edge = F.max_by if direction == "previous" else F.min_by
-        summary = (cuts.assign(cuts.hot(df), order[0])
-                   .groupBy(*keys, SEGMENT)
-                   .agg(edge(boxed, F.struct(*order)).alias("__edge")))
-        across = Window.partitionBy(*keys).orderBy(SEGMENT)
-        carry = summary.select(*keys, SEGMENT, step("__edge").over(across).alias("__carry"))
-        res = (null_safe_join(seg.withColumn("__box", step(boxed).over(w)), carry, [*keys, SEGMENT], "left")
-               .withColumn("__box", F.coalesce("__box", "__carry"))
+        edges = (cuts.split(df.select(*dict.fromkeys([*keys, *order, value]))).groupBy(SEGMENT)
+                 .agg(edge(F.struct(key_struct(keys).alias("k"), boxed.alias("b")), F.struct(*keys, *order)).alias("__edge")))
+        carry = cuts.carried(edges, F.col("__edge"), back=direction == "previous")
+        # The nearest range's edge row counts where it is of the same key; nothing of that key lies beyond another.
+        same = key_struct(keys).eqNullSafe(F.col("__carry.k"))
+        res = (cuts.assign(df).withColumn("__box", step(boxed).over(w)).join(carry, SEGMENT, "left")
+               .withColumn("__box", F.coalesce("__box", F.when(same, F.col("__carry.b"))))
                .drop("__carry", SEGMENT))
     res = res.withColumn(out, F.col("__box.v"))
     if found:
@@ -129,23 +142,24 @@ def running(df: DataFrame, keys: list[str], order: list[str], out: str, fold, me
             cuts: Cuts | None = None, part=None) -> DataFrame:
     """Add a running aggregate over each key's rows up to and including the current one.
 
-    ``fold()`` is the aggregate over rows and ``part()`` the same over a segment
-    (default ``fold``); ``merge(col)`` aggregates segment results, and the carried
-    and local values are combined with ``merge.join(carried, local)``.
+    ``fold()`` is the aggregate over rows and ``part()`` the same over a range
+    (default ``fold``); ``merge.over(col, window)`` aggregates the ranges' results, and the
+    carried and local values are combined with ``merge.join(carried, local)``.
     """
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
     if cuts is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*up_to_here)
         return df.withColumn(out, fold().over(w))
-    seg = cuts.assign(df, order[0])
-    w = Window.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(*up_to_here)
-    summary = (cuts.assign(cuts.hot(df), order[0])
-               .groupBy(*keys, SEGMENT).agg((part or fold)().alias("__part")))
-    before = (Window.partitionBy(*keys).orderBy(SEGMENT)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summary.select(*keys, SEGMENT, merge.over(F.col("__part"), before).alias("__carry"))
-    return (null_safe_join(seg.withColumn(out, fold().over(w)), carry, [*keys, SEGMENT], "left")
-            .withColumn(out, merge.join(F.col("__carry"), F.col(out)))
+    w = Window.partitionBy(SEGMENT, *keys).orderBy(*order).rowsBetween(*up_to_here)
+    # Only a range's last key can go on in the next one.
+    edges = (cuts.split(df).groupBy(SEGMENT, *keys).agg((part or fold)().alias("__part"))
+             .groupBy(SEGMENT).agg(F.max_by(F.struct(key_struct(keys).alias("k"), F.col("__part").alias("p")), F.struct(*keys)).alias("__edge")))
+    so_far = Window.partitionBy("__edge.k").orderBy(SEGMENT).rowsBetween(*up_to_here)
+    edges = edges.withColumn("__sum", F.struct(F.col("__edge.k").alias("k"), merge.over(F.col("__edge.p"), so_far).alias("v")))
+    carry = cuts.carried(edges, F.col("__sum"))
+    same = key_struct(keys).eqNullSafe(F.col("__carry.k"))
+    return (cuts.assign(df).withColumn(out, fold().over(w)).join(carry, SEGMENT, "left")
+            .withColumn(out, merge.join(F.when(same, F.col("__carry.v")), F.col(out)))
             .drop("__carry", SEGMENT))
 
 

@@ -47,11 +47,8 @@ def trade_series(trades: DataFrame, keys: list[str], time: str, price: str) -> D
 
 def change_only(df: DataFrame, keys: list[str], order: list[str], value: str,
                 rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
-    """Rows whose value differs from the previous row of the key (the first is kept).
-
-    ``order[0]`` is an integer time.
-    """
-    cuts = find_cuts(df.filter(F.col(order[0]).isNotNull()), keys, order[0], rows_per_segment)
+    """Rows whose value differs from the previous row of the key (the first is kept)."""
+    cuts = find_cuts(df, keys, order, rows_per_segment)
     seen = neighbour(df, keys, order, value, "__prev", cuts=cuts, found="__has")
     return (seen.filter(~F.col("__has") | ~F.col(value).eqNullSafe(F.col("__prev")))
             .drop("__prev", "__has"))

@@ -291,7 +291,7 @@ def step_prefix(t):
     """Running position and set of kinds seen per user and day."""
     e = t.events().select("event_id", "user_id", "t", "event_type",
                           F.floor(F.col("t") / 86_400_000_000).cast("bigint").alias("day"))
-    cuts = find_cuts(e, ["user_id", "day"], "t")
+    cuts = find_cuts(e, ["user_id", "day"], ["t", "event_id"])
     seen = prefix_sets(e, ["user_id", "day"], ["t", "event_id"], "event_type", cuts=cuts)
     return seen.select("event_id", "user_id", "day", "step", F.array_join("seen", ",").alias("seen"))
 

@@ -1,7 +1,7 @@
 """Operators with state per key: change-only snapshots and trading halts.
 
-Rows of a micro-batch reach the state in (time, sequence) order per key. The state
-is one small value per key; a micro-batch is bounded by the source's file limit.
+Snapshots wait in a reorder buffer until the watermark has passed them; polls of a micro-batch
+reach the state in (time, sequence) order. A micro-batch is bounded by the source's file limit.
 """
 
 from __future__ import annotations
@@ -29,33 +29,55 @@ def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class _ChangeOnly(StatefulProcessor):
-    def __init__(self, order: list[str], value: str, columns: list[str]) -> None:
-        self.order, self.value, self.columns = order, value, columns
+    """A reorder buffer and the last value of one key.
+
+    Rows wait in the buffer under their (time, sequence). A timer for each second of waiting rows
+    fires once the watermark has passed it; all rows the watermark has passed then leave in order.
+    """
+
+    def __init__(self, order: list[str], value: str, columns: list[str], schema: str) -> None:
+        self.order, self.value, self.columns, self.schema = order, value, columns, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "value string, newest bigint")
+        self.waiting = handle.getMapState("waiting", "time bigint, seq string", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, self.order)
+        released = timerValues.getCurrentWatermarkInMs() * 1_000
+        newest = self.last.get()[1] if self.last.exists() else None
+        if newest is not None:
+            released = max(released, newest)
+        for batch in rows:
+            time = batch[self.order[0]].fillna(-1 << 62).to_numpy("int64")  # without a time: late
+            late = time <= released
+            if late.any():
+                yield batch.loc[late, self.columns].assign(late=True)
+            on_time = batch.loc[~late, self.columns].astype(object)
+            on_time = on_time.where(on_time.notna(), None)
+            for row in on_time.itertuples(index=False, name=None):
+                at = [row[self.columns.index(c)] for c in self.order]
+                self.waiting.updateValue((int(at[0]), "\0".join(map(str, at[1:]))), row)
+            for second in np.unique(time[~late] // 1_000_000):
+                self.handle.registerTimer(int(second + 1) * 1_000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1_000
+        ready = [(at, row) for at, row in self.waiting.iterator() if at[0] <= passed]
+        if not ready:
+            return
+        batch = pd.DataFrame([tuple(row) for _, row in ready], columns=self.columns, dtype=object)
+        batch = batch.sort_values(self.order, kind="stable", ignore_index=True)
+        for at, _ in ready:
+            self.waiting.removeKey(tuple(at))
         has = self.last.exists()
-        value, newest = self.last.get() if has else (None, None)
-        time = batch[self.order[0]]
-        late = (time < newest - WATERMARK_SECONDS * 1_000_000) if has and newest is not None \
-            else pd.Series(False, index=batch.index)
-        on_time = batch[~late]
-        if len(on_time):
-            current = on_time[self.value].astype(object)
-            current = current.where(current.notna(), None)
-            previous = current.shift(1)
-            changed = ~((current == previous) | (current.isna() & previous.isna()))
-            first = current.iloc[0]
-            changed.iloc[0] = (not has) or first != value
-            last = current.iloc[-1]
-            top = int(on_time[self.order[0]].max())
-            self.last.update((last, top if newest is None else max(top, newest)))
-            yield on_time.loc[changed, self.columns].assign(late=False)
-        if late.any():
-            yield batch.loc[late, self.columns].assign(late=True)
+        current = batch[self.value]
+        previous = current.shift(1)
+        changed = ~((current == previous) | (current.isna() & previous.isna()))
+        first = current.iloc[0]
+        changed.iloc[0] = (not has) or first != self.last.get()[0]
+        self.last.update((current.iloc[-1], int(batch[self.order[0]].iloc[-1])))
+        yield batch.loc[changed, self.columns].assign(late=False)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         row = initialState.iloc[-1]
@@ -67,21 +89,26 @@ class _ChangeOnly(StatefulProcessor):
 
 
 def stream_change_only(books: DataFrame, keys: list[str], order: list[str], value: str,
-                       seed: DataFrame | None = None) -> DataFrame:
-    """Stream rows whose text value differs from the previous one of their key.
-
-    ``order[0]`` is the capture time in microseconds. ``seed`` (keys, ``value``,
-    ``newest`` time or NULL) starts from what is already stored. Rows more than ten
-    minutes behind their key's newest are not compared; they come out with
-    ``late = true`` so that they can be counted.
+                       seed: DataFrame | None = None, hold_seconds: int = WATERMARK_SECONDS) -> DataFrame:
+    """Stream rows whose text value differs from the previous one of their key, in event-time order.
+
+    ``order[0]`` is the capture time in microseconds, the others order rows of one time. Rows wait
+    until the watermark, ``hold_seconds`` behind the newest row of the stream, has passed them,
+    so rows that arrive out of order inside that span are compared in order. Older ones come
+    out at once with ``late = true``, so that they can be counted, as do rows not newer than the
+    ``seed`` (keys, ``value``, ``newest`` time or NULL), which starts from what is already stored.
+    A row of the same order values replaces a waiting one, so a repeated row counts once. The
+    last ``hold_seconds`` of a stream stay in the buffer until newer rows come.
     """
     use_rocksdb(books.sparkSession)
     out = T.StructType([*books.schema.fields, T.StructField("late", T.BooleanType())])
-    processor = _ChangeOnly(order, value, books.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in books.schema.fields)
+    # The watermark's own column is left out again: Spark would drop late rows by it instead of reporting them.
+    timed = books.withColumn("__at", F.timestamp_micros(order[0])).withWatermark("__at", f"{hold_seconds} seconds")
     initial = seed.groupBy(*keys) if seed is not None else None
-    return books.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="None",
-        initialState=initial)
+    return timed.select(*books.columns).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_ChangeOnly(order, value, books.columns, schema), outputStructType=out, outputMode="Append",
+        timeMode="EventTime", initialState=initial)
 
 
 class _Halts(StatefulProcessor):

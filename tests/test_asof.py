@@ -103,3 +103,25 @@ def test_ticks_of_keys_nobody_asks_for_are_dropped_by_any_join(spark, ticks):
         assert rows(asof_backward(p, ticks, ["k"], "at", "t", ["p"], tie="res")) == few
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_one_key_at_one_instant(spark):
+    """Ticks and probes that share key and time fall into many ranges; every probe finds the smallest tie."""
+    t = spark.range(0, 3000, 1, 4).selectExpr("'a' as k", "50L as t", "cast(id as int) as res", "cast(id as double) as p")
+    t = t.union(spark.createDataFrame([("a", 10, 1, -1.0), ("b", 60, 1, -2.0)], TICKS))
+    p = spark.range(0, 3000, 1, 4).selectExpr("cast(id as int) as i", "if(id < 10, 'b', 'a') as k", "if(id % 100 = 0, 49L, 50L) as at")
+    got = asof_backward(p, t, ["k"], "at", "t", ["p"], tie="res", rows_per_segment=150)
+    plain = asof_backward(p, t, ["k"], "at", "t", ["p"], tie="res", rows_per_segment=None)
+    assert same(got, plain)
+    assert {(r["k"], r["at"], r["p"]) for r in got.select("k", "at", "p").distinct().collect()} == {
+        ("a", 50, 0.0), ("a", 49, -1.0), ("b", 49, None), ("b", 50, None)}
+
+
+def test_building_an_asof_join_starts_no_job(spark, ticks):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("asof-building", "plan")
+    try:
+        asof_backward(probes(spark, ("a", 250)), ticks, ["k"], "at", "t", ["p"], tie="res")
+        assert len(tracker.getJobIdsForGroup("asof-building")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

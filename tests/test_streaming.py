@@ -33,29 +33,49 @@ def stream(spark, landed):
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_change_only(spark, landed):
-    books = stream(spark, landed).select("event_id", "user_id", "t", "event_type")
-    got = drain(stream_change_only(books, ["user_id"], ["t", "event_id"], "event_type"), "t1")
-    want = change_only(landed[1], ["user_id"], ["t", "event_id"], "event_type").select("event_id")
-    assert got.filter("late").count() == 0 and same(got.select("event_id"), want)
+@pytest.fixture(scope="module")
+def jumbled(spark, landed, tmp_path_factory):
+    """The events in six files by time plus up to ten minutes, then a row that lets the last ones go."""
+    path, e = str(tmp_path_factory.mktemp("jumbled")), landed[1].select("event_id", "user_id", "t", "event_type")
+    arrival = F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(599_000_000))
+    edges = [None, *e.select(arrival.alias("x")).approxQuantile("x", [i / 6 for i in range(1, 6)], 0.001), None]
+    for lo, hi in zip(edges, edges[1:]):
+        part = e.filter(arrival > lo) if lo is not None else e
+        (part.filter(arrival <= hi) if hi is not None else part).coalesce(1).write.mode("append").parquet(path)
+    last = e.agg(F.max("t")).first()[0]
+    spark.createDataFrame([(-1, -1, last + 7_200_000_000, "end")], e.schema).coalesce(1).write.mode("append").parquet(path)
+    return path, e
+
+
+def test_change_only_out_of_order(spark, jumbled):
+    got = drain(stream_change_only(stream(spark, jumbled), ["user_id"], ["t", "event_id"], "event_type"), "t1")
+    want = change_only(jumbled[1], ["user_id"], ["t", "event_id"], "event_type").select("event_id")
+    assert got.filter("late").count() == 0 and same(got.filter("user_id >= 0").select("event_id"), want)
+
+
+def test_change_only_seeded(spark, jumbled):
+    first = jumbled[1].groupBy("user_id").agg(F.min_by("event_type", F.struct("t", "event_id")).alias("value")).withColumn("newest", F.lit(None).cast("long"))
+    got = drain(stream_change_only(stream(spark, jumbled), ["user_id"], ["t", "event_id"], "event_type", seed=first), "t2")
+    want = change_only(jumbled[1], ["user_id"], ["t", "event_id"], "event_type")
+    assert got.filter("user_id >= 0").count() == want.count() - first.count()
 
 
-def test_change_only_seeded(spark, landed):
-    first = landed[1].groupBy("user_id").agg(F.min_by("event_type", "t").alias("value")).withColumn("newest", F.lit(None).cast("long"))
-    books = stream(spark, landed).select("event_id", "user_id", "t", "event_type")
-    got = drain(stream_change_only(books, ["user_id"], ["t", "event_id"], "event_type", seed=first), "t2")
-    want = change_only(landed[1], ["user_id"], ["t", "event_id"], "event_type")
-    assert got.count() == want.count() - first.count()
+def test_rows_not_newer_than_the_seed_are_late(spark, tmp_path):
+    src = land(spark, f"{tmp_path}/in", "k string, t long, v string", [("a", 5_000_000, "x"), ("a", 6_000_000, "x"), ("a", 7_000_000, "y")],
+               [("end", 9_000_000_000, "e")])
+    seed = spark.createDataFrame([("a", "x", 5_000_000)], "k string, value string, newest long")
+    got = drain(stream_change_only(src, ["k"], ["t"], "v", seed=seed), "t8")
+    assert rows(got, "t", "v", "late") == [(5_000_000, "x", True), (7_000_000, "y", False)]
 
 
 def test_late_rows_are_reported(spark, tmp_path):
     schema = "k string, t long, v string"
     hour = 3_600_000_000
-    for data in ([("a", 2 * hour, "x")], [("a", hour, "y"), ("a", 2 * hour - 1_000_000, "x"), ("a", 2 * hour + 1, "z")]):
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    src = land(spark, f"{tmp_path}/in", schema, [("a", 2 * hour, "x")],
+               [("a", hour, "y"), ("a", 2 * hour - 1_000_000, "x"), ("a", 2 * hour + 1, "z")], [("b", 9 * hour, "end")])
     got = drain(stream_change_only(src, ["k"], ["t", "v"], "v"), "t3")
-    assert rows(got, "v", "late") == [("x", False), ("y", True), ("z", False)]
+    # The "x" one second earlier is the first row in order, so the other "x" is no change.
+    assert rows(got.filter("k = 'a'"), "t", "v", "late") == [(hour, "y", True), (2 * hour - 1_000_000, "x", False), (2 * hour + 1, "z", False)]
 
 
 def test_halts(spark, landed):
