@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import WATCH_AFTER, WATCH_BEFORE
 from .ordered import ROWS_PER_SEGMENT, Cuts, find_cuts, neighbour
 
-#: Width of the time buckets that turn an overlap test into an equi join, seconds.
-BUCKET = 8 * 3600
+#: Overlap tests are equi joins on dyadic nodes: node n of level k spans 2 ** k base units of 2 ** BASE_BITS
+#: seconds (68 minutes). An interval is covered by two nodes a level at most, a point lies in one node of each.
+BASE_BITS, TOP_LEVEL = 12, 50
 
 
 def transitions(polls: DataFrame, keys: list[str], order: list[str], active: str,
@@ -51,25 +52,50 @@ def recent_outages(outages: DataFrame, order: list[str | Column], n: int = 10) -
     return outages.orderBy(*order).limit(n)
 
 
-def _bucketed(outages: DataFrame, now: Column | int, before: int, after: int,
-              games: DataFrame, anchor: str, start: str, end: str) -> DataFrame:
-    """Outages widened by the game window and exploded to the buckets they touch.
+def dyadic_cover(lo: Column, hi: Column) -> Column:
+    """Disjoint (level, node) that cover the seconds [lo, hi]; empty where hi is below lo.
 
-    An anchor g has an overlapping outage exactly when g lies in
-    [start - after, end + before], so games are looked up by their own bucket and
-    are never exploded. The lowest and highest anchor (one scalar subquery) clip
-    the expansion of long or open outages.
+    Nodes inside are covered whole; those of level 0 at the ends maybe in part.
+    """
+    ends = F.struct(F.shiftright(lo.cast("bigint"), BASE_BITS).alias("a"), (F.shiftright(hi.cast("bigint"), BASE_BITS) + 1).alias("b"), (lo <= hi).alias("some"))
+
+    def at_level(e: Column, level: Column) -> Column:
+        # Rounded inward to nodes of the level; what sticks out beyond a pair of them is a node of the cover.
+        a = -F.call_function("shiftright", -e["a"], level)
+        b = F.call_function("shiftright", e["b"], level)
+        inside = e["some"] & (a < b)
+        left = F.when(inside & (F.pmod(a, F.lit(2)) == 1), a)
+        right = F.when(inside & (F.pmod(b, F.lit(2)) == 1), b - 1)
+        return F.array(*[F.when(n.isNotNull(), F.struct(level.alias("level"), n.alias("node"))) for n in (left, right)])
+
+    levels = F.sequence(F.lit(0), F.lit(TOP_LEVEL))
+    nodes = F.transform(F.array(ends), lambda e: F.flatten(F.transform(levels, lambda level: at_level(e, level))))
+    return F.filter(F.flatten(nodes), lambda n: n.isNotNull())
+
+
+def dyadic_node(at: Column, level: Column) -> Column:
+    """The node of a level in which a point lies."""
+    return F.call_function("shiftright", F.shiftright(at.cast("bigint"), BASE_BITS), level)
+
+
+def _covered(outages: DataFrame, now: Column | int, before: int, after: int, start: str, end: str) -> DataFrame:
+    """Outages widened by the game window, one row for each node of their cover.
+
+    An anchor g has an overlapping outage exactly when g lies in [start - after, end + before],
+    so games are points. An outage of ten years has less than forty rows.
     """
     now = now if isinstance(now, Column) else F.lit(now)
-    wide = (outages.withColumn("__lo", F.col(start) - after)
-            .withColumn("__hi", F.coalesce(F.col(end), now) + before))
-    span = games.agg(F.struct(F.min(anchor).alias("lo"), F.max(anchor).alias("hi"))).scalar()
-    lo, hi = F.greatest(F.col("__lo"), span["lo"]), F.least(F.col("__hi"), span["hi"])
-    return (wide.withColumn("__first", F.floor(lo / BUCKET))
-            .withColumn("__last", F.floor(hi / BUCKET))
-            .filter("__first <= __last")
-            .withColumn("__bucket", F.explode(F.sequence("__first", "__last")))
-            .drop("__first", "__last"))
+    wide = outages.withColumn("__lo", F.col(start) - after).withColumn("__hi", F.coalesce(F.col(end), now) + before)
+    return wide.withColumn("__n", F.explode(dyadic_cover(F.col("__lo"), F.col("__hi")))).select(
+        *wide.columns, F.col("__n.level").alias("__level"), F.col("__n.node").alias("__node"))
+
+
+def _points(games: DataFrame, anchor: str, covered: DataFrame) -> DataFrame:
+    """Games with an anchor, one row for each level that the covers use."""
+    used = covered.agg(F.collect_set("__level")).scalar()
+    return (games.filter(F.col(anchor).isNotNull()).withColumn("__levels", used)
+            .withColumn("__level", F.explode("__levels")).drop("__levels")
+            .withColumn("__node", dyadic_node(F.col(anchor), F.col("__level"))))
 
 
 def interval_overlap(games: DataFrame, outages: DataFrame, on: list[str], anchor: str,
@@ -79,11 +105,10 @@ def interval_overlap(games: DataFrame, outages: DataFrame, on: list[str], anchor
 
     An open outage lasts until ``now``, which is an argument so that results repeat.
     """
-    probes = games.filter(F.col(anchor).isNotNull()).withColumn("__bucket", F.floor(F.col(anchor) / BUCKET))
-    wide = _bucketed(outages, now, before, after, games, anchor, start, end)
-    return (probes.join(wide, [*on, "__bucket"])
+    wide = _covered(outages, now, before, after, start, end)
+    return (_points(games, anchor, wide).join(wide, [*on, "__level", "__node"])
             .filter((F.col(anchor) >= F.col("__lo")) & (F.col(anchor) <= F.col("__hi")))
-            .drop("__bucket", "__lo", "__hi"))
+            .drop("__level", "__node", "__lo", "__hi"))
 
 
 def overlapping_games(games: DataFrame, outages: DataFrame, on: list[str], anchor: str,
@@ -91,21 +116,21 @@ def overlapping_games(games: DataFrame, outages: DataFrame, on: list[str], ancho
                       start: str = "start_ts", end: str = "end_ts") -> DataFrame:
     """Games whose window overlaps at least one outage.
 
-    Per key and bucket, outages beginning at the same second (or before the
-    bucket) shrink to the longest, so a bucket holds at most ``BUCKET`` of them.
+    Equal rows come out once. Per key and node all outages that cover it whole are one row, and those beginning at the same
+    second shrink to the longest, so a node of level 0 has at most 2 ** BASE_BITS rows.
     """
-    wide = _bucketed(outages, now, before, after, games, anchor, start, end)
-    low = F.col("__bucket") * BUCKET
-    merged = (wide.withColumn("__lo", F.greatest("__lo", low))
-              .groupBy(*on, "__bucket", "__lo").agg(F.max("__hi").alias("__hi")))
-    probes = games.withColumn("__bucket", F.floor(F.col(anchor) / BUCKET)).alias("g")
-    m = merged.alias("o")
-    cond = F.col("g.__bucket") == F.col("o.__bucket")
-    for k in on:
+    wide = _covered(outages, now, before, after, start, end)
+    low = F.call_function("shiftleft", F.col("__node"), F.col("__level") + BASE_BITS)
+    high = F.call_function("shiftleft", F.col("__node") + 1, F.col("__level") + BASE_BITS) - 1
+    merged = (wide.select(*on, "__level", "__node", F.greatest("__lo", low).alias("__lo"), F.least("__hi", high).alias("__hi"))
+              .groupBy(*on, "__level", "__node", "__lo").agg(F.max("__hi").alias("__hi")))
+    g, m = _points(games, anchor, wide).alias("g"), merged.alias("o")
+    cond = F.lit(True)
+    for k in [*on, "__level", "__node"]:
         cond = cond & (F.col(f"g.{k}") == F.col(f"o.{k}"))
-    cond = (cond & (F.col(f"g.{anchor}") >= F.col("o.__lo"))
-            & (F.col(f"g.{anchor}") <= F.col("o.__hi")))
-    return probes.join(m, cond, "left_semi").drop("__bucket")
+    cond = cond & (F.col(f"g.{anchor}") >= F.col("o.__lo")) & (F.col(f"g.{anchor}") <= F.col("o.__hi"))
+    # A game may be found on several levels.
+    return g.join(m, cond, "left_semi").drop("__level", "__node").distinct()
 
 
 def flag_outages(markets: DataFrame, outages: DataFrame, now: Column | int, *,

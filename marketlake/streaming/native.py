@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import WATCH_AFTER, WATCH_BEFORE
-from ..operators.intervals import BUCKET
+from ..operators.intervals import BASE_BITS, dyadic_cover, dyadic_node
 from ..operators.merge import coalesce_merge, new_rows
 from ..sinks.append import with_week
 
@@ -110,15 +110,18 @@ def stream_flag_halted(polls: DataFrame, markets: DataFrame, keys: list[str], ma
                        time: str = "ts", active: str = "active", start: str = "game_start_ts") -> DataFrame:
     """Markets near their start while a poll says trading is halted.
 
-    A stream-static join on (key, time bucket): a market's watch window touches few
-    buckets, so polls never meet all markets. Feed the result to ``set_fields``.
+    A stream-static join on (key, dyadic node): a watch window is covered by a few nodes of
+    low levels, and a poll lies in one node of each, so polls never meet all markets. Feed the
+    result to ``set_fields``.
     """
     g = F.col(start)
-    spread = (markets.filter(g.isNotNull() & (g != 0))
-              .select(*dict.fromkeys([*keys, *market, start]))
-              .withColumn("__bucket", F.explode(F.sequence(F.floor((g - WATCH_BEFORE) / BUCKET),
-                                                           F.floor((g + WATCH_AFTER) / BUCKET)))))
+    spread = (markets.filter(g.isNotNull() & (g != 0)).select(*dict.fromkeys([*keys, *market, start]))
+              .withColumn("__n", F.explode(dyadic_cover(g - WATCH_BEFORE, g + WATCH_AFTER)))
+              .withColumn("__level", F.col("__n.level")).withColumn("__node", F.col("__n.node")).drop("__n"))
+    # No node of a cover is wider than the window.
+    top = max(0, (WATCH_BEFORE + WATCH_AFTER).bit_length() - BASE_BITS)
     halted = (polls.filter(~F.col(active)).select(*keys, F.col(time).alias("__t"))
-              .withColumn("__bucket", F.floor(F.col("__t") / BUCKET)))
+              .withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+              .withColumn("__node", dyadic_node(F.col("__t"), F.col("__level"))))
     near = F.col("__t").between(g - WATCH_BEFORE, g + WATCH_AFTER)
-    return halted.join(spread, [*keys, "__bucket"]).filter(near).select(*dict.fromkeys([*keys, *market]), "__t")
+    return halted.join(spread, [*keys, "__level", "__node"]).filter(near).select(*dict.fromkeys([*keys, *market]), "__t")
