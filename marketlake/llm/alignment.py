@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from marketlake.session import materialize
 #: Bytes of text whose pairs are counted together.
 BUCKET_BYTES = 4_000_000
 #: Distinct words kept encoded by a worker.
-POOL_WORDS = 150_000
+POOL_WORDS = 200_000
 _MARK = np.uint16(0xFFFF)
 #: Both tokenizers end a token before a space with a character after it; elsewhere a text is cut for the first one only.
 _ODD = re.compile(r" \s|▁")
@@ -74,47 +75,71 @@ class Coder:
         sp = SentencePieceProcessor(model_file=second)
         piece = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.b = Spelling([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(pieces.SPACE, " ").encode() for i, p in enumerate(piece)])
-        self.whole = pieces.encoder(second)
-        self.words_a, self.words_b = WordPool(self._first, POOL_WORDS), WordPool(self._second, POOL_WORDS)
+        self.library, self.whole = sp, pieces.encoder(second)
+        # A word's ids by the first vocabulary, then those by the second; how many the first has, by code.
+        self.words, self.n_first = WordPool(self._both, POOL_WORDS), np.empty(0, np.int64)
+
+    def _both(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A word stands for itself after a space; one that starts with a space is literal, and only for the first vocabulary."""
+        plain = np.array([w[0] != " " for w in words])
+        ids, size = self._first([w for w, p in zip(words, plain.tolist()) if p])
+        literal = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if w[0] == " "], add_special_tokens=False)]
+        found = [x if p else [] for p, x in zip(plain.tolist(), _in_places(plain, self.library.encode([w for w in words if w[0] != " "], num_threads=1)))]
+        n_a, n_b = np.empty(len(words), np.int64), np.array([len(x) for x in found], np.int64)
+        n_a[plain], n_a[~plain] = size, [len(x) for x in literal]
+        both, start = np.empty(int((n_a + n_b).sum()), np.int32), np.cumsum(n_a + n_b) - n_a - n_b
+        both[spread(start[plain], n_a[plain])] = ids
+        both[spread(start[~plain], n_a[~plain])] = [i for x in literal for i in x]
+        both[spread(start + n_a, n_b)] = np.fromiter(chain.from_iterable(found), np.int32, int(n_b.sum()))
+        # The pool starts anew now and then.
+        self.n_first = np.concatenate([self.n_first[: len(self.words.code)], n_a])
+        return both, n_a + n_b
 
     def _first(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A word stands for itself after a space; one that starts with a space is literal."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w if w[0] == " " else f" {w}" for w in words], add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
-
-    def _second(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.whole.pieces.encode([pieces.SPACE + w for w in words])
+        """Words are encoded side by side in texts, since a token always ends before each, and cut by their bytes."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        texts = [" " + " ".join(words[i: i + 500]) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum(self.a.size[ids])
+        own = np.cumsum([len(w.encode()) + 1 for w in words])
+        last = np.searchsorted(ends, own)
+        if not np.array_equal(ends[last], own):
+            raise ValueError("the first vocabulary does not cut before each word")
+        return ids, np.diff(np.concatenate([[-1], last]))
 
     def texts(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """For both vocabularies all ids end to end and the number of ids of each text, none of them empty."""
-        plain = [not _ODD.search(t) and not t[0].isspace() for t in texts]
+        plain = np.array([not _ODD.search(t) and not t[0].isspace() and t[-1] != " " for t in texts])
         words: list[str] = []
         ends = [0]
-        for t, simple in zip(texts, plain):
+        for t, simple in zip(texts, plain.tolist()):
             words += t.split(" ") if simple else [w[1:] if w[1:2].strip() else w for w in _CUT.split(f" {t}") if w]
-            # A space at the end of a text is a word of its own.
-            if simple and not words[-1]:
-                words[-1] = " "
             ends.append(len(words))
-        ids_a, size = self.words_a.gather(self.words_a.codes(words))
-        at = np.concatenate([[0], np.cumsum(size)])[np.array(ends)]
-        n_a = np.diff(at)
-        simple = np.array(plain, dtype=bool)
-        if simple.all() and not any(t[-1] == " " for t in texts):
-            ids_b, size = self.words_b.gather(self.words_b.codes(words))
-            return (ids_a, n_a), (ids_b, np.diff(np.concatenate([[0], np.cumsum(size)])[np.array(ends)]))
-        simple &= np.array([t[-1] != " " for t in texts])
-        chosen = [w for i in np.flatnonzero(simple).tolist() for w in words[ends[i]: ends[i + 1]]]
-        own, size = self.words_b.gather(self.words_b.codes(chosen))
-        n_words = np.diff(np.array(ends))[simple]
-        n_own = np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)])
-        rest, n_rest = self.whole.texts([t for t, s in zip(texts, simple.tolist()) if not s])
-        n_b = np.empty(len(texts), np.int64)
-        n_b[simple], n_b[~simple] = n_own, n_rest
-        ids_b, start = np.empty(int(n_b.sum()), np.int32), np.cumsum(n_b) - n_b
-        ids_b[spread(start[simple], n_own)], ids_b[spread(start[~simple], n_rest)] = own, rest
-        return (ids_a, n_a), (ids_b, n_b)
+        at = np.array(ends)
+        code = self.words.codes(words)
+        start, n_a = self.words.start[code], self.n_first[code]
+        n_b = self.words.size[code] - n_a
+        per_text = [np.diff(np.concatenate([[0], np.cumsum(n)])[at]) for n in (n_a, n_b)]
+        ids_a = self.words.ids[spread(start, n_a)]
+        simple = np.repeat(plain, np.diff(at))
+        own = self.words.ids[spread((start + n_a)[simple], n_b[simple])]
+        if plain.all():
+            return (ids_a, per_text[0]), (own, per_text[1])
+        rest, n_rest = self.whole.texts([t for t, s in zip(texts, plain.tolist()) if not s])
+        size = per_text[1]
+        size[~plain] = n_rest
+        ids_b, begin = np.empty(int(size.sum()), np.int32), np.cumsum(size) - size
+        ids_b[spread(begin[plain], size[plain])], ids_b[spread(begin[~plain], n_rest)] = own, rest
+        return (ids_a, per_text[0]), (ids_b, size)
+
+
+def _in_places(where: np.ndarray, values: list) -> list:
+    """Values laid where the flags are set, None elsewhere."""
+    out, each = [None] * len(where), iter(values)
+    for i in np.flatnonzero(where).tolist():
+        out[i] = next(each)
+    return out
 
 
 @lru_cache(maxsize=1)
