@@ -53,7 +53,7 @@ def training_rows(deltas: DataFrame, games: DataFrame, picks: DataFrame, bans: D
     none = F.array().cast(_NO_TEXT)
     return (rows.filter((F.size("own_picks") > 0) & (F.size("enemy_picks") > 0))
             .select("oe_game_id", "team", "opponent",
-                    (logit(F.col("post_p")) - logit(F.col("pre_p"))).alias("y"),
+                    "pre_p", (logit(F.col("post_p")) - logit(F.col("pre_p"))).alias("y"),
                     F.coalesce("patch", F.lit("")).alias("patch"),
                     "own_picks", "enemy_picks", "own_roles", "enemy_roles",
                     F.coalesce("own_bans", none).alias("own_bans"),

@@ -1,8 +1,10 @@
 """Score draft states with a fitted model, whole or step by step.
 
-A table of drafts is scored at once. A feature is switched on at the step of its
-last part, so each draft's features are listed once with the steps between which
-they hold, and the per-step totals are a running sum.
+A table of drafts is scored at once, and a draft's rows meet once: its moves, its features and
+their coefficients lie side by side in one row. A feature is switched on at the step of its last
+part, so each draft's features are listed once with the steps between which they hold. The
+coefficients of a stored model small enough go to every task by the planner's own measure of
+the table; those of a larger one are joined by feature, where Spark splits a frequent one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import PRE_CLAMP
 from ..functions.numbers import logit, sigmoid, sql_round
-from .features import explode_features
+from .features import feature_names
 from .ordered import Cuts, SetUnion, Sum, running
 
 
@@ -21,29 +23,36 @@ def coefficients(model: DataFrame) -> DataFrame:
 
 
 def score_states(states: DataFrame, model: DataFrame, keys: list[str], pre: str = "pre_p") -> DataFrame:
-    """Probability of each draft state: sigmoid(logit(pre) + sum of active coefficients)."""
-    active = (explode_features(states, keys).join(coefficients(model), "feature")
-              .groupBy(*keys).agg(F.sum("coef").alias("effect"), F.count(F.lit(1)).alias("n_terms")))
-    return (states.join(active, keys, "left")
-            .withColumn("effect", F.coalesce("effect", F.lit(0.0)))
-            .withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
+    """Probability of each draft state: sigmoid(logit(pre) + sum of active coefficients).
+
+    All columns of the states travel through one aggregation by ``keys``, which are unique.
+    """
+    rest = [c for c in states.columns if c not in keys]
+    rows = states.select(*keys, F.struct(*rest).alias("__rest"), F.explode_outer(feature_names()).alias("feature"))
+    summed = (rows.join(coefficients(model), "feature", "left").groupBy(*keys)
+              .agg(F.first("__rest").alias("__rest"), F.coalesce(F.sum("coef"), F.lit(0.0)).alias("effect"), F.count("coef").alias("n_terms")))
+    return (summed.select(*keys, "__rest.*", "effect", "n_terms").select(*states.columns, "effect", "n_terms")
             .withColumn("p", sigmoid(logit(F.col(pre)) + F.col("effect"))))
 
 
-def clean_actions(actions: DataFrame) -> DataFrame:
-    """Normalised actions; blank champions are skipped but the others keep their step.
+def drafts(actions: DataFrame) -> DataFrame:
+    """(draft_id, patch, moves): each draft's actions in step order, copies of an action once.
 
-    Copies of an action are combined map-side, which leaves one row per (draft, step).
+    Blank champions are skipped but the others keep their step. A draft has one patch, the
+    last in order where texts differ. Actions without a draft id belong to no draft. A draft
+    has one row per step of the draft order, so its moves are few.
     """
     champion = F.trim(F.coalesce("champion", F.lit("")))
-    return (actions.select("draft_id", F.col("step").cast("int").alias("step"),
-                           F.upper(F.substring("side", 1, 1)).alias("side"),
-                           F.lower("action").alias("action"), champion.alias("champion"),
-                           F.coalesce("role", F.lit("")).alias("role"),
-                           F.greatest(F.lit(PRE_CLAMP), F.least(F.lit(1 - PRE_CLAMP), F.col("pre_blue")))
-                           .alias("pre_blue"),
-                           F.trim(F.coalesce("patch", F.lit(""))).alias("patch"))
-            .filter(F.col("champion") != "").distinct())
+    clean = (actions.select("draft_id", F.col("step").cast("int").alias("step"),
+                            F.upper(F.substring("side", 1, 1)).alias("side"),
+                            F.lower("action").alias("action"), champion.alias("champion"),
+                            F.coalesce("role", F.lit("")).alias("role"),
+                            F.greatest(F.lit(PRE_CLAMP), F.least(F.lit(1 - PRE_CLAMP), F.col("pre_blue"))).alias("pre_blue"),
+                            F.trim(F.coalesce("patch", F.lit(""))).alias("patch"))
+             .filter((F.col("champion") != "") & F.col("draft_id").isNotNull()))
+    return clean.groupBy("draft_id").agg(
+        F.max("patch").alias("patch"),
+        F.array_sort(F.collect_set(F.struct("step", "side", "action", "champion", "role", "pre_blue"))).alias("moves"))
 
 
 def _feature(name: Column, since: Column, until: Column | None, *parts: Column) -> Column:
@@ -76,19 +85,9 @@ def _roles(group: Column, kind: str) -> Column:
     return F.filter(made, lambda f: f["until"].isNull() | (f["since"] < f["until"]))
 
 
-def draft_features(actions: DataFrame) -> DataFrame:
-    """Each draft's features with the steps [since, until) between which they are active.
-
-    A draft has one row per step of the draft order, so a draft is a small group.
-    """
-    moves = F.col("moves")
-    drafts = (actions.groupBy("draft_id", "patch")
-              .agg(F.array_sort(F.collect_list(F.struct("step", "side", "action", "champion", "role")))
-                   .alias("moves")))
+def draft_features(moves: Column, patch: Column) -> Column:
+    """A draft's features with the steps [since, until) between which they are active."""
     own, enemy = _of(moves, "B", "pick"), _of(moves, "R", "pick")
-    sides = drafts.select("draft_id", "patch", own.alias("own"), enemy.alias("enemy"),
-                          _of(moves, "B", "ban").alias("own_bans"), _of(moves, "R", "ban").alias("enemy_bans"))
-    own, enemy, patch = F.col("own"), F.col("enemy"), F.col("patch")
     synergy = F.flatten(F.transform(own, lambda a, i: F.transform(
         F.slice(own, i + 2, F.size(own)),
         lambda b: _feature(F.concat(F.lit("syn:"), F.least(a["champion"], b["champion"]), F.lit("|"),
@@ -97,50 +96,48 @@ def draft_features(actions: DataFrame) -> DataFrame:
     versus = F.flatten(F.transform(own, lambda a: F.transform(
         enemy, lambda b: _feature(F.concat(F.lit("vs:"), a["champion"], F.lit("|"), b["champion"]),
                                   F.greatest(a["step"], b["step"]), None, a["champion"], b["champion"]))))
-    every = F.concat(_singles(own, "own_pick", patch), _roles(own, "own_pick"),
-                     _singles(enemy, "enemy_pick", patch), _roles(enemy, "enemy_pick"),
-                     _singles(F.col("own_bans"), "own_ban", patch),
-                     _singles(F.col("enemy_bans"), "enemy_ban", patch), synergy, versus)
-    return sides.select("draft_id", F.inline(every))
+    return F.concat(_singles(own, "own_pick", patch), _roles(own, "own_pick"),
+                    _singles(enemy, "enemy_pick", patch), _roles(enemy, "enemy_pick"),
+                    _singles(_of(moves, "B", "ban"), "own_ban", patch),
+                    _singles(_of(moves, "R", "ban"), "enemy_ban", patch), synergy, versus)
 
 
 def score_draft_steps(actions: DataFrame, model: DataFrame, top: int = 6) -> DataFrame:
     """Blue's estimated win probability after every action of every draft.
 
     ``terms`` are the strongest ``top`` active features naming the step's champion,
-    ``known`` tells whether the model has any such feature.
+    ``known`` tells whether the model has any such feature. Grouping by draft is the only
+    shuffle: features are listed inside the draft's row, spread to meet their coefficients and
+    gathered again where they are.
     """
-    steps = clean_actions(actions)
-    active = draft_features(steps).join(coefficients(model), "feature")
-
-    term = F.struct((-F.abs(sql_round(F.col("coef"), 4))).alias("rank"), "feature",
-                    sql_round(F.col("coef"), 4).alias("coef"), "n")
-    changes = (active.select("draft_id", F.explode(F.array(
-                   F.struct(F.col("since").alias("step"), F.col("coef").alias("change")),
-                   F.struct(F.col("until").alias("step"), (-F.col("coef")).alias("change")))).alias("e"))
-               .select("draft_id", "e.step", "e.change").filter(F.col("step").isNotNull()))
-    named = (active.select("draft_id", "feature", "coef", "n", "since", "until",
-                           F.explode(F.array_distinct("parts")).alias("champion"))
-             .join(steps.select("draft_id", "step", "champion"), ["draft_id", "champion"])
-             .filter((F.col("since") <= F.col("step"))
-                     & (F.col("until").isNull() | (F.col("step") < F.col("until"))))
-             .select("draft_id", "step", term.alias("term")))
-    # Changes and terms of a step meet in one aggregation.
-    per_step = (changes.unionByName(named, allowMissingColumns=True).groupBy("draft_id", "step")
-                .agg(F.sum("change").alias("change"), F.collect_list("term").alias("terms")))
-
-    w = Window.partitionBy("draft_id").orderBy("step")
-    total = F.sum(F.coalesce("change", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    p = sigmoid(logit(F.col("pre_blue")) + total)
-    return (steps.join(per_step, ["draft_id", "step"], "left")
-            .withColumn("p", p)
-            .withColumn("dp", F.col("p") - F.coalesce(F.lag("p").over(w), F.col("pre_blue")))
-            .select("draft_id", "step", "side", "action", "champion", "role",
-                    sql_round(F.col("dp"), 4).alias("dp_blue"), sql_round(F.col("p"), 4).alias("p_blue"),
-                    (F.coalesce(F.size("terms"), F.lit(0)) > 0).alias("known"),
-                    F.transform(top_terms(F.col("terms"), top),
-                                lambda t: F.struct(t["feature"].alias("feature"), t["coef"].alias("coef"),
-                                                   t["n"].alias("n"))).alias("terms")))
+    listed = drafts(actions).select("draft_id", "moves", F.inline_outer(draft_features(F.col("moves"), F.col("patch"))))
+    active = F.when(F.col("coef").isNotNull(), F.struct("feature", "coef", "n", "since", "until", "parts"))
+    rows = (listed.join(coefficients(model), "feature", "left").groupBy("draft_id")
+            .agg(F.first("moves").alias("moves"), F.array_sort(F.collect_list(active)).alias("active")))
+
+    def total(features: Column) -> Column:
+        return F.aggregate(features, F.lit(0.0), lambda s, f: s + f["coef"])
+
+    def holds(f: Column, step: Column) -> Column:
+        return (f["since"] <= step) & (f["until"].isNull() | (step < f["until"]))
+
+    def term(f: Column) -> Column:
+        coef = sql_round(f["coef"], 4)
+        return F.struct((-F.abs(coef)).alias("rank"), f["feature"].alias("feature"), coef.alias("coef"), f["n"].alias("n"))
+
+    def scored(m: Column) -> Column:
+        on = F.filter("active", lambda f: holds(f, m["step"]))
+        named = F.transform(F.filter(on, lambda f: F.array_contains(f["parts"], m["champion"])), term)
+        return F.struct(m.alias("m"), sigmoid(logit(m["pre_blue"]) + total(on)).alias("p"), top_terms(named, top).alias("terms"))
+
+    steps = F.transform("moves", scored)
+    flat = rows.select("draft_id", steps.alias("steps")).select("draft_id", "steps", F.posexplode("steps").alias("i", "s"))
+    before = F.get("steps", F.col("i") - 1)["p"]
+    return flat.select(
+        "draft_id", "s.m.step", "s.m.side", "s.m.action", "s.m.champion", "s.m.role",
+        sql_round(F.col("s.p") - F.when(F.col("i") == 0, F.col("s.m.pre_blue")).otherwise(before), 4).alias("dp_blue"),
+        sql_round(F.col("s.p"), 4).alias("p_blue"), (F.size("s.terms") > 0).alias("known"),
+        F.transform("s.terms", lambda x: F.struct(x["feature"].alias("feature"), x["coef"].alias("coef"), x["n"].alias("n"))).alias("terms"))
 
 
 def top_terms(terms: Column, k: int = 6) -> Column:

@@ -243,9 +243,9 @@ def newest_split_query(t):
     return newest_split(draft_rows(t)).select("oe_game_id", "team", "patch", "is_test")
 
 
-def pseudo_model(t):
-    """A model whose coefficients follow from the support, so that scores can be checked."""
-    support = feature_support_query(t)
+def pseudo_model(rows):
+    """A model whose coefficients follow from the support in training rows, so that scores can be checked."""
+    support = feature_support(explode_features(rows, ["oe_game_id", "team"]))
     return support.select("feature", ((F.col("n") * 7919 % 201 - 100) / F.lit(1000.0)).alias("coef"), "n")
 
 
@@ -255,7 +255,7 @@ UNION ALL SELECT DISTINCT 'champion', regexp_extract(feature, '^own_(?:pick|ban)
 WHERE feature LIKE 'own_pick:%' OR feature LIKE 'own_ban:%'""")
 def model_lists(t):
     """Patches and champions a model knows."""
-    model = pseudo_model(t)
+    model = pseudo_model(draft_rows(t))
     return (model_patches(model).select(F.lit("patch").alias("kind"), F.col("patch").alias("name"))
             .unionByName(model_champions(model).select(F.lit("champion").alias("kind"), F.col("champion").alias("name"))))
 
@@ -267,10 +267,9 @@ q AS (SELECT r.*, least(0.98, greatest(0.02, pre_p)) AS a, coalesce(effect, 0) A
 SELECT g AS oe_game_id, team, n_terms, {rounded('eff', 6)} AS effect,
        {rounded('1 / (1 + exp(-(ln(a / (1 - a)) + eff)))', 6)} AS p FROM q""")
 def score_states_query(t):
-    """Every draft scored whole with the pseudo model."""
-    means = training_means(side_deltas(t)).select("oe_game_id", "team", "pre_p")
-    states = draft_rows(t).join(means, ["oe_game_id", "team"])
-    return (score_states(states, pseudo_model(t), ["oe_game_id", "team"])
+    """Every draft scored whole with the pseudo model; rows and model are made once."""
+    states = materialize(draft_rows(t), "training-rows")
+    return (score_states(states, materialize(pseudo_model(states), "model"), ["oe_game_id", "team"])
             .select("oe_game_id", "team", "n_terms", sql_round(F.col("effect"), 6).alias("effect"),
                     sql_round(F.col("p"), 6).alias("p")))
 
@@ -316,7 +315,7 @@ SELECT g AS draft_id, CAST(step AS INTEGER) AS step, side, action, c AS champion
        coalesce(terms, '') AS terms FROM v""")
 def score_steps(t):
     """Blue's chance after every step of every order's draft, with the strongest terms."""
-    steps = score_draft_steps(order_drafts(t), pseudo_model(t))
+    steps = score_draft_steps(order_drafts(t), materialize(pseudo_model(draft_rows(t)), "model"))
     return steps.withColumn("terms", F.coalesce(
         F.array_join(F.transform("terms", lambda x: x["feature"]), ";"), F.lit("")))
 
