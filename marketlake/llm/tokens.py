@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ _SPLIT = re.compile(r"[ \n\t]+")
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+", re.I)
 _END = "</w>"
+#: Whole texts of such words, and their parts once folded to lower case.
+_PLAIN_TEXT = re.compile("[\n\t -~À-ÖØ-öø-ÿ]*")
+_FOLDED_PARTS = re.compile("[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9ß-öø-ÿ \n\t]+")
 
 
 def bit_width(values: np.ndarray) -> np.ndarray:
@@ -136,7 +140,20 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith(_END)]] = True
-        self.pool = WordPool(self._encode, 600_000)
+        # Signs stick to words, so distinct words are many more than the parts they are made of.
+        self.parts, self.words = WordPool(self._encode_parts, 600_000), WordPool(self._encode, 100_000)
+        letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and _PLAIN.fullmatch(chr(c))]
+        upper, lower = (self.tokenizer.encode_batch_fast([f(c) for c in letters], add_special_tokens=False) for f in (str, str.lower))
+        self.folds = all(x.ids == y.ids for x, y in zip(upper, lower))
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts are encoded side by side in texts and cut at word ends."""
+        texts = [" ".join(parts[i: i + 500]) for i in range(0, len(parts), 500)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.is_end[ids])
+        if len(ends) != len(parts):
+            raise ValueError("the vocabulary splits words in another way")
+        return ids, np.diff(np.concatenate([[-1], ends]))
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words are encoded as one text and cut at word ends, others one by one."""
@@ -158,16 +175,26 @@ class Encoder:
         return out, size
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words, n_words = [], []
-        for t in texts:
-            found = _SPLIT.split(t) if t else []
-            words += found
-            n_words.append(len(found))
-        ids, size = self.pool.gather(self.pool.codes(words))
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)]
+        plain = [self.folds and (not t or (_PLAIN_TEXT.fullmatch(t) is not None and "<|" not in t)) for t in texts]
+        found = [_FOLDED_PARTS.findall(t.lower()) if t else [] for t, p in zip(texts, plain) if p]
+        ids, size = self._gathered(self.parts, found)
+        if not all(plain):
+            rest, n_rest = self._gathered(self.words, [_SPLIT.split(t) if t else [] for t, p in zip(texts, plain) if not p])
+            is_plain, both = np.array(plain, dtype=bool), np.empty(len(texts), np.int64)
+            both[is_plain], both[~is_plain] = size, n_rest
+            out, start = np.empty(int(both.sum()), np.int32), np.cumsum(both) - both
+            out[spread(start[is_plain], size)], out[spread(start[~is_plain], n_rest)] = ids, rest
+            ids, size = out, both
         if self.end_id is None:
-            return ids, np.diff(ends)
-        return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
+            return ids, size
+        return np.insert(ids, np.cumsum(size), self.end_id), size + 1
+
+    @staticmethod
+    def _gathered(pool: WordPool, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units of texts, and the number of ids of each text."""
+        ids, size = pool.gather(pool.codes(list(chain.from_iterable(found))))
+        at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[at])
 
 
 @lru_cache(maxsize=2)
@@ -186,6 +213,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
     texts give the end id alone; NULL ids come first. Other columns are not read.
     Manifest: name, part, sequence, n_docs, n_ids, start (ids in all files before).
     """
+    context = docs.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(folder)  # there even without documents
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
@@ -193,7 +223,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
         from pyarrow import fs
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(path)
+        # pyarrow knows the object store of s3a: and s3n: as s3:.
+        store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
         store.create_dir(root, recursive=True)
         coder, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         sequence = before = 0
