@@ -24,6 +24,8 @@ from .registry import query
 
 #: 1998-10-03 02:00, inside the order dates.
 NOW = 907380000
+#: 1995-01-01, before them.
+EARLY = 788918400
 DAY = 86400
 
 
@@ -383,10 +385,11 @@ def _export_events(t):
         F.lit("x").alias("platform"), F.concat(F.lit("c "), F.col("c_custkey")).alias("event_id"))
 
 
-def _export_tables(t):
+def _export_tables(t, event=None):
     x = F.lit("x").alias("platform")
+    event = F.concat(F.lit("c "), F.col("o_custkey")) if event is None else event
     markets = t("orders").select(
-        x, F.col("o_orderkey").cast("string").alias("market_id"), F.concat(F.lit("c "), F.col("o_custkey")).alias("event_id"),
+        x, F.col("o_orderkey").cast("string").alias("market_id"), event.alias("event_id"),
         *[F.lit(None).cast("string").alias(c) for c in ("series", "condition_id", "title", "outcome", "result")],
         F.col("o_orderstatus").alias("status"), _seconds("o_orderdate").alias("game_start_ts"),
         F.lit(None).cast("bigint").alias("open_ts"), F.lit(None).cast("bigint").alias("close_ts"),
@@ -405,8 +408,8 @@ def _export_tables(t):
                                 *[price.alias(c) for c in ("open", "high", "low", "close")],
                                 F.col("l_quantity").alias("volume"), F.lit(0.0).alias("open_interest")),
         "price_points": lines.select("platform", "market_id", "ts", F.lit(1).alias("fidelity"), price.alias("price")),
-        "outages": t("supplier").select(x, F.lit("halt").alias("kind"), (F.lit(NOW) + F.col("s_suppkey") * 1000).alias("start_ts"),
-                                        (F.lit(NOW) + F.col("s_suppkey") * 1000 + 10).alias("end_ts"), F.lit("n").alias("note")),
+        "outages": t("supplier").select(x, F.lit("halt").alias("kind"), (F.lit(EARLY) + F.col("s_suppkey") * 1_000_000).alias("start_ts"),
+                                        (F.lit(EARLY) + F.col("s_suppkey") * 1_000_000 + 200_000).alias("end_ts"), F.lit("n").alias("note")),
     }
 
 
