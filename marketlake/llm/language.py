@@ -39,14 +39,20 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _FOLD[data], at
 
 
-def grams(data: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of the byte n-gram that ends at each byte; the first ones are 0."""
+def grams(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """Bucket of the byte n-gram that ends at each byte; ``BUCKETS`` where its text has not so many bytes yet."""
     code = data.astype(np.uint64)
     for back in range(1, order):
         code[back:] = code[back:] | (data[:-back].astype(np.uint64) << np.uint64(8 * back))
-    slot = ((code + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-    slot[: order - 1] = 0
-    return slot.astype(np.int32)
+    slot = (((code + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int32)
+    for k in range(order - 1):
+        slot[(at[:-1] + k)[at[:-1] + k < at[1:]]] = BUCKETS
+    return slot
+
+
+def n_grams(size: np.ndarray) -> np.ndarray:
+    """How many n-grams of all orders texts of so many bytes have."""
+    return sum(np.maximum(size - order + 1, 0) for order in ORDERS)
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -58,14 +64,15 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             for part in flat.slices(batch):
                 data, at = _lowered(part.column("text"))
                 langs = part.column("lang").to_pylist()
+                slots = [grams(data, at, order) for order in ORDERS]
                 for name in set(langs):
                     of = np.repeat(np.array([x == name for x in langs]), np.diff(at))
                     sums = total.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
-                    for order in ORDERS:
-                        sums += np.bincount(grams(data, order)[of], minlength=BUCKETS)
+                    for slot in slots:
+                        sums += np.bincount(slot[of], minlength=BUCKETS + 1)[:BUCKETS]
         for name, sums in total.items():
-            slots = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(slots)), pa.array(slots, pa.int32()), pa.array(sums[slots], pa.int64())],
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used, pa.int32()), pa.array(sums[used], pa.int64())],
                                              ["lang", "bucket", "n"])
 
     chosen = docs.select(docs[text].alias("text"), docs[lang].alias("lang")).where("text is not null and lang is not null")
@@ -134,6 +141,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         labels = np.array([*m.langs, "und"], dtype=object)
+        weights = [np.append(w, np.float32(0)) for w in m.weights.T]
         for batch in batches:
             for part in flat.slices(batch, "ltext"):
                 column = part.column("ltext")
@@ -147,10 +155,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 margin = np.zeros((len(size), n_bits))
                 if len(full) and n_bits:
                     for order in ORDERS:
-                        slot = grams(data, order)
+                        slot = grams(data, at, order)
                         for b in range(n_bits):
-                            margin[full, b] += np.add.reduceat(m.weights[:, b][slot], at[full], dtype=np.float64)
-                    margin[full] /= size[full, None] * len(ORDERS)
+                            margin[full, b] += np.add.reduceat(weights[b][slot], at[full], dtype=np.float64)
+                    margin[full] /= n_grams(size[full])[:, None]
                 if len(m.langs):
                     share = decode(m, margin)
                     order = np.argsort(-share, axis=1, kind="stable")
