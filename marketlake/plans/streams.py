@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..session import scratch_path
+from ..sinks.log import Log
 from ..streaming.keyed import halt_table, stream_change_only, stream_halts
 from ..streaming.native import (current_buckets, current_catalog, start_bucket_log, start_catalog_log, start_trade_sink,
                                 stream_flag_halted)
@@ -88,7 +89,7 @@ def catalog_stream(t):
         F.when(F.col("event_type") == "signup", F.col("props")).alias("props"))
     path = scratch_path(t.spark, "catalog")
     start_catalog_log(log, f"{path}/log", f"{path}/checkpoint", available_now=True).awaitTermination()
-    return current_catalog(t.spark.read.parquet(f"{path}/log"), ["user_id"], ["value", "event_type", "props"], "t",
+    return current_catalog(Log(t.spark, f"{path}/log").read(), ["user_id"], ["value", "event_type", "props"], "t",
                            raw="props", order=["t", "event_id"])
 
 
@@ -99,7 +100,7 @@ def bucket_stream(t):
     path = scratch_path(t.spark, "buckets")
     start_bucket_log(rows, f"{path}/log", f"{path}/checkpoint", ["user_id"], ["value", "event_type"], width=3600, time="hour",
                      order=["t", "event_id"], available_now=True).awaitTermination()
-    return current_buckets(t.spark.read.parquet(f"{path}/log"), ["user_id"], ["value", "event_type"])
+    return current_buckets(Log(t.spark, f"{path}/log").read(), ["user_id"], ["value", "event_type"])
 
 
 @query("flag_stream", """

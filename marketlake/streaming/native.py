@@ -13,6 +13,7 @@ from ..constants import WATCH_AFTER, WATCH_BEFORE
 from ..operators.intervals import BASE_BITS, dyadic_cover, dyadic_node
 from ..operators.merge import coalesce_merge, new_rows
 from ..sinks.append import with_week
+from ..sinks.log import Log
 
 
 def start_trade_sink(trades: DataFrame, path: str, checkpoint: str, keys: list[str], *, time: str = "ts",
@@ -20,20 +21,20 @@ def start_trade_sink(trades: DataFrame, path: str, checkpoint: str, keys: list[s
     """Append every trade that is not stored yet, however late it comes.
 
     No watermark: repeats are dropped inside a micro-batch, then against the stored rows.
-    A repeated trade has the same time, so only the weeks of the batch are read (the folders
-    are ``week=``). Nothing is overwritten: a repeated batch, or a new checkpoint on the same
+    A repeated trade has the same time, so only the batch's own weeks are read (the folders
+    are ``week=``), however far apart they lie. Nothing is overwritten: a repeated batch, or a new checkpoint on the same
     path, finds its rows stored and appends what is missing. One writer for each path.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = with_week(batch.dropDuplicates(keys), time)
         batch.persist()
         try:
-            span = batch.agg(F.count(F.lit(1)).alias("n"), F.min("week").alias("lo"), F.max("week").alias("hi")).first()
-            if span["n"]:
+            weeks = [r["week"] for r in batch.select("week").distinct().collect()]
+            if weeks:
                 stored = _stored(batch, path)
                 if stored is not None:
-                    near = F.col("week").between(span["lo"], span["hi"]) | F.col("week").isNull()
-                    batch = new_rows(batch, stored.filter(near), keys)
+                    near = F.col("week").isin([w for w in weeks if w is not None])
+                    batch = new_rows(batch, stored.filter(near | F.col("week").isNull() if None in weeks else near), keys)
                 batch.write.mode("append").partitionBy("week").parquet(path)
         finally:
             batch.unpersist()
@@ -57,24 +58,23 @@ def _stored(batch: DataFrame, path: str) -> DataFrame | None:
         return None
 
 
-def _batch_path(spark: SparkSession, path: str, checkpoint: str, batch_id: int) -> str:
-    """The folder of one micro-batch of one checkpoint.
+def _batch_name(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """A micro-batch of one checkpoint.
 
     The run is the query's id, which lives in the checkpoint: a restart repeats its own
-    folders, a new checkpoint on the same path never meets them.
+    names, a new checkpoint on the same path never meets them.
     """
-    run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-    return f"{path}/run={run}/batch={batch_id}"
+    return f"{json.loads(spark.read.text(f'{checkpoint}/metadata').first()[0])['id']}/{batch_id}"
 
 
 def start_catalog_log(sightings: DataFrame, path: str, checkpoint: str, *,
                       available_now: bool = False) -> StreamingQuery:
-    """Append every micro-batch of sightings to ``path/run=/batch=``.
+    """Append every micro-batch of sightings to the log at ``path``, once.
 
-    The rows carry the source's own ingest sequence, so a repeated batch is the same batch.
+    The rows carry the source's own ingest sequence. Small files are merged now and then.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(batch.sparkSession, path, checkpoint, batch_id))
+        Log(batch.sparkSession, path).append(batch, _batch_name(batch.sparkSession, checkpoint, batch_id))
 
     return _start(sightings, write, checkpoint, available_now)
 
@@ -90,12 +90,16 @@ def start_bucket_log(rows: DataFrame, path: str, checkpoint: str, keys: list[str
     """Last values per key and time bucket of every micro-batch (``width`` in the unit of ``time``).
 
     Each batch adds one row for each bucket it touches, late rows included;
-    :func:`current_buckets` merges them. ``order`` is unique within a key.
+    :func:`current_buckets` merges them, and so does the log when it makes a new base.
+    ``order`` is unique within a key.
     """
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "bucket_ts").agg(F.max_by("last", "at").alias("last"), F.max("at").alias("at"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("bucket_ts", F.floor(F.col(time) / width) * width).groupBy(*keys, "bucket_ts")
-         .agg(F.max(F.struct(*order)).alias("at"), F.max_by(F.struct(*values), F.struct(*order)).alias("last"))
-         .write.mode("overwrite").parquet(_batch_path(batch.sparkSession, path, checkpoint, batch_id)))
+        rows = (batch.withColumn("bucket_ts", F.floor(F.col(time) / width) * width).groupBy(*keys, "bucket_ts")
+                .agg(F.max(F.struct(*order)).alias("at"), F.max_by(F.struct(*values), F.struct(*order)).alias("last")))
+        Log(batch.sparkSession, path, merge).append(rows, _batch_name(batch.sparkSession, checkpoint, batch_id))
 
     return _start(rows, write, checkpoint, available_now)
 

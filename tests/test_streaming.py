@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketlake.operators.intervals import halts_from_status
 from marketlake.operators.merge import set_fields
 from marketlake.operators.series import bucket_last, change_only, latest_per_key
+from marketlake.sinks.log import Log
 from marketlake.streaming import native
 from marketlake.streaming.keyed import halt_table, stream_change_only, stream_halts
 from marketlake.streaming.run import drain
@@ -122,18 +123,19 @@ def test_buckets_keep_late_rows(spark, landed, tmp_path):
     s = stream(spark, landed).withColumn("s", F.floor(F.col("t") / 1_000_000))
     native.start_bucket_log(s, f"{tmp_path}/l", f"{tmp_path}/c", ["user_id"], ["value"], width=3600, time="s",
                             order=["t", "event_id"], available_now=True).awaitTermination()
-    got = native.current_buckets(spark.read.parquet(f"{tmp_path}/l"), ["user_id"], ["value"])
+    got = native.current_buckets(Log(spark, f"{tmp_path}/l").read(), ["user_id"], ["value"])
     assert same(got, bucket_last(landed[1], ["user_id"], "t", 3600, ["value"], seq="event_id"))
 
 
 def test_catalog_log(spark, landed, tmp_path):
     log = stream(spark, landed).select("user_id", "t", "event_id", "event_type")
     native.start_catalog_log(log, f"{tmp_path}/l", f"{tmp_path}/c", available_now=True).awaitTermination()
-    stored = spark.read.parquet(f"{tmp_path}/l")
-    assert stored.select("batch").distinct().count() == 4 and stored.select("run").distinct().count() == 1
+    batches = Log(spark, f"{tmp_path}/l").manifest()["batches"]
+    assert len(batches) == 4 and len({b.split("/")[0] for b in batches}) == 1
+    stored = Log(spark, f"{tmp_path}/l").read()
     native.start_catalog_log(stream(spark, landed).select("user_id", "t", "event_id", "event_type"), f"{tmp_path}/l",
                              f"{tmp_path}/c2", available_now=True).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/l").count() == 2 * landed[1].count()
+    assert Log(spark, f"{tmp_path}/l").read().count() == 2 * landed[1].count()
     got = native.current_catalog(stored, ["user_id"], ["event_type"], "t", order=["t", "event_id"])
     assert same(got.select("user_id", "event_type"), latest_per_key(landed[1], ["user_id"], ["t", "event_id"], ["event_type"]))
 
