@@ -3,7 +3,7 @@
 Each class has discounted counts (of documents) of word pairs, words and word beginnings. What
 the discount frees goes to the next shorter unit and in the end to continuation counts shared
 by both classes, which are gathered from the whole corpus: in how many contexts a word stands.
-They are exact, and needed for the words of the class counts only, as a word without such counts
+They are needed for the words of the class counts only, as a word without such counts
 has them in both classes alike.
 The log-likelihood ratio, divided by the number of words, over the whole text, over its most
 telling words and over its most telling run of words, becomes a probability by a logistic fit.
@@ -86,16 +86,39 @@ def class_counts(labelled: DataFrame) -> DataFrame:
 
 def shared_counts(texts: DataFrame, table: dict[str, np.ndarray]) -> dict[tuple[int, int], int]:
     """By (kind, key) of the class counts: in how many contexts a word stands over all texts, and
-    how many words a beginning has. All other keys of a kind count together under key 0."""
+    how many words a beginning has. All other keys of a kind count together under key 0.
+
+    Contexts are told apart by 32 bits of a hash (a word with n of them loses about n in 2 ** 33).
+    A task sends each (key, context) once, packed by ranges of the context's hash, so that a
+    frequent word's contexts spread over all of them.
+    """
+    spark = texts.sparkSession
     keys = {k: np.sort(table["key"][table["kind"] == k].view(np.uint64)) for k in (_WORD, _PREFIX)}
-    shared = texts.sparkSession.sparkContext.broadcast(keys)
-    # One number holds the row of a key (the first of each kind for all other keys) above bits of the context's hash.
+    shared = spark.sparkContext.broadcast(keys)
+    # The row of a key; the first row of each kind is that of all other keys.
     base = {_WORD: 1, _PREFIX: 2 + len(keys[_WORD])}
-    bits = 63 - (base[_PREFIX] + len(keys[_PREFIX])).bit_length()
+    n_rows = base[_PREFIX] + len(keys[_PREFIX])
+    bits = min(16, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+    rest = 32 - bits
+
+    def packed(pairs: np.ndarray) -> pa.RecordBatch:
+        """Distinct pairs as one record for each range of contexts: steps between ascending pairs, by bytes.
+
+        All first bytes come first, then all second ones, and so on: the higher ones are nearly all zero.
+        """
+        bucket = ((pairs >> rest) & ((1 << bits) - 1)).astype(np.uint16)
+        pairs = ((pairs >> 32) << rest) | (pairs & ((1 << rest) - 1))
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))
+        parts = np.split(pairs[order], ends[:-1])
+        steps = [np.diff(x, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in parts]
+        used = [k for k, x in enumerate(parts) if len(x)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([steps[k] for k in used], pa.binary())], ["bucket", "steps"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {k: Counts(v, np.zeros(0)) for k, v in shared.value.items()}
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = [np.empty(0, np.int64)]
         size = 0
         for batch in batches:
             for part in flat.slices(batch):
@@ -103,21 +126,48 @@ def shared_counts(texts: DataFrame, table: dict[str, np.ndarray]) -> dict[tuple[
                 # A context of a word: the word with the one before, or the word alone at a text's start.
                 for kind, of, context in ((_WORD, word, np.where(pair != 0, pair, word)), (_PREFIX, prefix, word)):
                     row = known[kind].find(of) + base[kind]
-                    held.append(np.unique((row << bits) | (context >> np.uint64(64 - bits)).astype(np.int64)))
+                    held.append(np.unique((row << 32) | (context >> np.uint64(32)).astype(np.int64)))
                     size += len(held[-1])
                 if size >= HELD_CONTEXTS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["packed"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["packed"])
+                    held = [np.unique(np.concatenate(held))]
+                    size = 0
+                    if len(held[0]) >= HELD_CONTEXTS:
+                        yield packed(held[0])
+                        held = [np.empty(0, np.int64)]
+        last = np.unique(np.concatenate(held))
+        if len(last):
+            yield packed(last)
 
-    rows = texts.mapInArrow(gather, "packed long").distinct().groupBy(F.shiftright("packed", bits).alias("row")).agg(F.count("*").alias("n")).collect()
-    shared.unpersist()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_rows, np.int64)
+        of, held, size = None, [], 0
+
+        def close() -> None:
+            if held:
+                total[:] += np.bincount(np.unique(np.concatenate(held)) >> rest, minlength=n_rows)
+
+        for batch in batches:
+            for k, steps in zip(*[c.to_pylist() for c in batch.columns]):
+                if k != of:
+                    close()
+                    of, held, size = k, [], 0
+                planes = np.frombuffer(steps, np.uint8).reshape(8, -1)
+                held.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0].astype(np.int64)))
+                size += len(held[-1])
+                if size >= HELD_CONTEXTS:
+                    held, size = [np.unique(np.concatenate(held))], 0
+        close()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["row", "n"])
+
+    sent = texts.mapInArrow(gather, "bucket int, steps binary")
+    counted = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "row long, n long")
     out = {}
-    for r in rows:
+    for r in counted.groupBy("row").agg(F.sum("n").alias("n")).collect():
         kind = _PREFIX if r["row"] >= base[_PREFIX] - 1 else _WORD
         at = r["row"] - base[kind]
         out[kind, int(keys[kind][at]) if at >= 0 else 0] = r["n"]
+    shared.unpersist()
     return out
 
 
@@ -261,6 +311,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     of the ids (crc32 modulo 4 is 3) is kept for the logistic fit on counts of the others.
     Without labels of both classes every score is the share of toxic labels (0 without any).
     """
+    if not 0 < sample_rows < 16_000:
+        raise ValueError("sample_rows must lie between 1 and 15,999")  # four counts of a row share one number
     spark = docs.sparkSession
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.when(F.max("toxic") > 0, 1).otherwise(0).alias("toxic"))
