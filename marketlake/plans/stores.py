@@ -11,6 +11,7 @@ from ..operators.catalog import event_outages
 from ..operators.scoring import prefix_state
 from ..session import scratch_path
 from ..sinks.export import export_events
+from ..sinks.upsert import latest, upsert
 from ..sources.legacy import import_legacy_tables, read_dump
 from ..sources.matches import load_match_csv, reload_games
 from .draft import order_drafts
@@ -175,3 +176,27 @@ def import_twice(t):
         row = stored[name].agg(F.count(F.lit(1)).alias("n"), F.sum(at).alias("total")).select(F.lit(name).alias("tbl"), "n", "total")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("upsert_weeks", """
+WITH l AS (SELECT l_returnflag AS platform, CAST(l_orderkey AS VARCHAR) AS market_id, (CAST(epoch(l_shipdate) AS BIGINT) + l_orderkey * 3600) % 4838400 AS s,
+                  l_discount, l_tax, l_quantity FROM lineitem),
+a AS (SELECT platform, market_id, s, max(l_discount) AS price FROM l GROUP BY ALL),
+b AS (SELECT platform, market_id, s, max(l_tax) AS price FROM l WHERE l_quantity > 40 AND s < 1209600 GROUP BY ALL)
+SELECT a.platform, a.market_id, a.s, coalesce(b.price, a.price) AS price FROM a LEFT JOIN b USING (platform, market_id, s)""")
+def upsert_weeks(t):
+    """A stored series whose first weeks are corrected, twice by the same batch, in place."""
+    path = scratch_path(t.spark, "weekly")
+    lines = t("lineitem").select(
+        F.col("l_returnflag").alias("platform"), F.col("l_orderkey").cast("string").alias("market_id"),
+        ((F.unix_timestamp("l_shipdate") + F.col("l_orderkey") * 3600) % 4_838_400).alias("s"), "l_discount", "l_tax", "l_quantity")
+    keys = ["platform", "market_id", "s"]
+
+    def dated(rows, price):
+        return rows.groupBy(*keys).agg(F.max(price).alias("price")).withColumn("ts", F.timestamp_seconds("s"))
+
+    rule = latest(keys, ["price"])
+    upsert(dated(lines, "l_discount"), path, rule, sort=["market_id", "ts"])
+    for _ in range(2):
+        upsert(dated(lines.filter("l_quantity > 40 and s < 1209600"), "l_tax"), path, rule, sort=["market_id", "ts"])
+    return t.spark.read.parquet(path).select(*keys, "price")
