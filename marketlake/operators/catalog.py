@@ -50,13 +50,19 @@ def coverage(markets: DataFrame, series: dict[str, DataFrame], keys: list[str] |
     Each table is counted per market first, so only counts are joined.
     """
     keys = keys or ["platform", "market_id"]
+    return coverage_of_counts(markets, {name: table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) for name, table in series.items()}, keys, event)
+
+
+def coverage_of_counts(markets: DataFrame, counts: dict[str, DataFrame], keys: list[str] | None = None,
+                       event: list[str] | None = None) -> DataFrame:
+    """The same from one row count ``n`` per market, as a rollup keeps it."""
+    keys = keys or ["platform", "market_id"]
     event = event or ["platform", "event_id"]
     members = markets.filter(F.col(event[-1]).isNotNull()).select(*dict.fromkeys([*keys, *event]))
-    for name, table in series.items():
-        counts = table.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        members = members.join(counts, keys, "left")
+    for name, table in counts.items():
+        members = members.join(table.select(*keys, F.col("n").alias(name)), keys, "left")
     return (members.groupBy(*event)
-            .agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in series]))
+            .agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in counts]))
 
 
 def search_with_coverage(markets: DataFrame, series: dict[str, DataFrame], terms: list[str], *,
@@ -146,7 +152,8 @@ def event_markets(markets: DataFrame, trades: DataFrame,
         F.min(F.when(F.col("game_start_ts") != 0, F.col("game_start_ts"))).alias("event_start_ts"))
     return (markets.join(counts, keys, "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
             .join(start, event, "left")
-            .orderBy(*event, F.col("n_trades").desc(), keys[-1]))
+            # Order is asked for inside an event only, so no task sorts all of them.
+            .repartition(*event).sortWithinPartitions(*event, F.col("n_trades").desc(), keys[-1]))
 
 
 def event_outages(markets: DataFrame, outages: DataFrame, now: int) -> DataFrame:

@@ -40,9 +40,9 @@ def mid_price(bid: Column, ask: Column) -> Column:
 
 
 def trade_series(trades: DataFrame, keys: list[str], time: str, price: str) -> DataFrame:
-    """Trade prices in time order per market, NULL prices dropped."""
+    """Trade prices in time order per market, NULL prices dropped; markets come in no order."""
     return (trades.select(*keys, time, price).filter(F.col(price).isNotNull())
-            .orderBy(*keys, time))
+            .repartition(*keys).sortWithinPartitions(*keys, time))
 
 
 def change_only(df: DataFrame, keys: list[str], order: list[str], value: str,

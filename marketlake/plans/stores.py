@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.hashes import book_hash
 from ..functions.numbers import sql_round
 from ..operators.calibration import brier, rejected
-from ..operators.catalog import event_outages
+from ..operators.catalog import coverage_of_counts, event_outages
 from ..operators.scoring import prefix_state
 from ..session import scratch_path
 from ..sinks.export import export_events
+from ..sinks.rollup import Rollup
 from ..sinks.upsert import latest, upsert
 from ..sources.legacy import import_legacy_tables, read_dump
 from ..sources.matches import load_match_csv, reload_games
@@ -200,3 +201,18 @@ def upsert_weeks(t):
     for _ in range(2):
         upsert(dated(lines.filter("l_quantity > 40 and s < 1209600"), "l_tax"), path, rule, sort=["market_id", "ts"])
     return t.spark.read.parquet(path).select(*keys, "price")
+
+
+@query("coverage_rollup", """
+SELECT 'c ' || o_custkey AS event_id, count(l_orderkey) AS trades, count(l_orderkey) FILTER (WHERE l_returnflag = 'R') AS returned
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def coverage_rollup(t):
+    """Stored rows per customer from counts kept while six batches were written, one of them twice."""
+    tables, path = _export_tables(t), scratch_path(t.spark, "rollup")
+    lines = tables["trades"].withColumn("part", F.pmod(F.xxhash64("market_id", "trade_id"), F.lit(6)))
+    rollups = {name: Rollup(t.spark, f"{path}/{name}", merge_after=3) for name in ("trades", "returned")}
+    for i in (0, 1, 2, 2, 3, 4, 5):
+        batch = lines.filter(F.col("part") == i)
+        rollups["trades"].add(batch, f"batch-{i}")
+        rollups["returned"].add(batch.filter("side = 'R'"), f"batch-{i}")
+    return coverage_of_counts(tables["markets"], {name: r.markets() for name, r in rollups.items()}).drop("platform")

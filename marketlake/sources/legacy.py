@@ -20,13 +20,33 @@ CATALOG = ["event_id", "series", "condition_id", "title", "outcome", "game_start
            "close_ts", "status", "result", "raw"]
 
 
-def read_dump(spark: SparkSession, root: str, fmt: str = "parquet", **options) -> dict[str, DataFrame]:
-    """Tables of a dump in files, or of a database with ``fmt='jdbc'`` and its options."""
+#: The column whose hash deals a database table's rows out to tasks.
+DEALT_BY = {"markets": "market_id", "book_snapshots": "market_id", "trades": "trade_id", "price_points": "market_id",
+            "candles": "market_id", "outages": "start_ts"}
+#: Part of a row in the dialect of the earlier store (PostgreSQL).
+HASH_PART = "mod(mod(hashtext({key}::text), {n}) + {n}, {n})"
+
+
+def read_dump(spark: SparkSession, root: str, fmt: str = "parquet", *, parts: int = 1, part: str = HASH_PART,
+              **options) -> dict[str, DataFrame]:
+    """Tables of a dump in files, or of a database with ``fmt='jdbc'`` and its options.
+
+    A database is read by ``parts`` tasks a table, each with the rows whose key hash falls to it.
+    ``part`` is SQL for a row's part, from 0, in the database's dialect; NULL keys go to part 0.
+    """
     if fmt == "jdbc":
-        return {t: spark.read.format("jdbc").options(dbtable=t, **options).load() for t in TABLE_NAMES}
+        return {t: _read_parts(spark, t, parts, part, options) for t in TABLE_NAMES}
     return {t: spark.read.format(fmt).options(**options).load(f"{root}/{t}") for t in TABLE_NAMES}
 
 
+def _read_parts(spark: SparkSession, table: str, parts: int, part: str, options: dict) -> DataFrame:
+    key = DEALT_BY[table]
+    of = part.format(key=key, n=parts)
+    rows = [f"{of} = {i}" if i else f"({of} = 0 OR {key} IS NULL)" for i in range(parts)]
+    given = dict(options)
+    return spark.read.jdbc(given.pop("url"), table, predicates=rows, properties=given)
+
+
 def _raw(col: str = "raw") -> Column:
     return F.coalesce(F.when(F.col(col) != "", F.col(col)), F.lit("{}"))
 
