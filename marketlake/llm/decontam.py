@@ -144,7 +144,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, block_patt
                       F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
     for block in range(n_blocks):
-        part = found.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == block) if n_blocks > 1 else found
+        # A window of very many items is searched in several blocks, each with some of them.
+        part = found.where(F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks)) == block) if n_blocks > 1 else found
         tables = spark.sparkContext.broadcast(Searcher([(r["window"], r["item"]) for r in part.collect()]) if total else None)
         if block:
             out = materialize(out, "decontam")
