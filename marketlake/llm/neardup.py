@@ -25,6 +25,10 @@ from marketlake.session import materialize
 
 #: Minwise tokens kept of each set.
 TOKENS = 48
+#: Bytes of ids up to which they are sent to every task.
+SENT_BYTES = 16_000_000
+#: Bytes of text worked on at a time; shingles take many times as much.
+SLICE_BYTES = 500_000
 _RNG = np.random.default_rng(20240229)
 _FACTOR = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
@@ -51,6 +55,7 @@ class Join:
     small: int = 16
     dense: float = 0.35
     block: int = 128
+    block_bytes: int = 4_000_000
     loose: float = 0.55
 
 
@@ -76,11 +81,11 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, two fingerprints of the set, and its minwise tokens."""
+    """doc_id, n, bytes of the text, two fingerprints of the set, and its minwise tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.slices(batch):
+            for part in flat.slices(batch, most=SLICE_BYTES):
                 data, at = flat.texts(part.column("text"))
                 sets, first = shingles(data, at, join.words)
                 size = np.diff(first)
@@ -93,11 +98,11 @@ def signatures(docs: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame
                     for k in range(TOKENS):
                         tokens[full, k] = np.minimum.reduceat((sets * _FACTOR[k] + _SHIFT[k]) >> np.uint64(32), first[full]).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * TOKENS, pa.int32()), pa.array(tokens.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(prints[0].view(np.int64)),
-                                                  pa.array(prints[1].view(np.int64)), lists], ["doc_id", "n", "f", "g", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.diff(at)), pa.array(prints[0].view(np.int64)),
+                                                  pa.array(prints[1].view(np.int64)), lists], ["doc_id", "n", "bytes", "f", "g", "tokens"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n long, f long, g long, tokens array<int>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n long, bytes long, f long, g long, tokens array<int>")
 
 
 def similar(pairs: DataFrame, join: Join) -> DataFrame:
@@ -105,7 +110,7 @@ def similar(pairs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.slices(batch, "ta"):
+            for part in flat.slices(batch, "ta", SLICE_BYTES):
                 sides, sizes, match = [], [], np.ones(part.num_rows, bool)
                 for text, mark in (("ta", "fa"), ("tb", "fb")):
                     data, at = flat.texts(part.column(text))
@@ -234,7 +239,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id"
     """
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     marked = materialize(signatures(docs, join, "doc_id", "text"), "signatures")
-    classes = marked.where("n > 0 and doc_id is not null").groupBy("f", "g", "n").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
+    classes = marked.where("n > 0 and doc_id is not null").groupBy("f", "g", "n").agg(
+        F.min("doc_id").alias("id"), F.max("bytes").alias("bytes"), F.first("tokens").alias("tokens"))
     classes = materialize(classes, "classes")
     small, large = grow(classes, join)
     sides = [classes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"x{s}"), F.col("f").alias(f"f{s}")) for s in "ab"]
@@ -244,10 +250,17 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id"
         met = pairs.distinct().join(sides[0], "a").join(sides[1], "b").where(_close(join))
         return materialize(met.select("a", "b", "fa", "fb", F.expr("aggregate(zip_with(xa, xb, (x, y) -> IF(x = y, 1, 0)), 0, (s, v) -> s + v)").alias("equal")), name)
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, text) of the ids asked for. Where they are few enough to be sent to every task, no other text is shuffled."""
+        found = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text")
+        held = ids.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 32)).first()[0] or 0
+        return found.join(F.broadcast(ids), "id", "left_semi") if held <= SENT_BYTES else found
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = docs.where("text is not null")
-        ta, tb = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return materialize(similar(pairs.select("a", "b", "fa", "fb").join(ta, "a").join(tb, "b"), join), name)
+        pairs = materialize(pairs.select("a", "b", "fa", "fb"), f"{name}-candidates")
+        wanted = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        ta, tb = wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), wanted.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        return materialize(similar(pairs.join(ta, "a").join(tb, "b"), join), name)
 
     within = None
     for members in small:
@@ -258,9 +271,11 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id"
     candidates = checked(within, "candidates")
     # First the most similar partner of each class, in small nodes and in blocks of large ones: a forest that connects most.
     best = candidates.select("a", "b", "equal").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
-    best = best.groupBy("a").agg(F.max(F.struct("equal", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
-    sizes = materialize(large.groupBy("node").agg(F.count("*").alias("members")), "large-sizes")
-    dealt = large.join(sizes, "node").withColumn("block", F.expr(f"pmod(xxhash64(id, node), cast(ceil(members / {join.block}) as int))"))
+    best = best.groupBy("a").agg(F.min(F.struct((-F.col("equal")).alias("e"), "b")).alias("m")).select("a", "m.b")
+    # A block has about ``block`` members and ``block_bytes`` of text at most.
+    deal = F.expr(f"pmod(xxhash64(id, node), cast(ceil(greatest(members / {join.block}, bytes / {join.block_bytes})) as int))")
+    sizes = materialize(large.join(classes.select("id", "bytes"), "id").groupBy("node").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes")), "large-sizes")
+    dealt = large.join(sizes, "node").withColumn("block", deal)
     blocks = dealt.join(classes.select("id", "n", "tokens"), "id").groupBy("node", "block").agg(
         F.collect_list("id").alias("ids"), F.collect_list("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -279,9 +294,8 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id"
     main = parts.groupBy("node").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k"), F.sum("n").alias("members")).where("k > 1")
     main = materialize(main.select("node", "members", F.col("m.c").alias("main")), "main-parts")
     if main.limit(1).count():
-        rep = docs.where("text is not null").select(F.col("doc_id").alias("id"), "text")
-        open_nodes = placed.join(main, "node").join(rep, "id").withColumn(
-            "block", F.expr(f"pmod(xxhash64(id, node), cast(ceil(members / {join.block}) as int))"))
+        inside = materialize(placed.join(main.drop("members"), "node").join(sizes, "node").withColumn("block", deal).select("node", "block", "id", "f", "c", "main"), "open-members")
+        open_nodes = inside.join(texts_of(inside.select("id").distinct()), "id")
         member = F.collect_list(F.struct("id", "c", "f", "text"))
         everyone = materialize(open_nodes.groupBy("node", "block").agg(member.alias("all")), "node-blocks")
         outside = materialize(open_nodes.where("c <> main").groupBy("node", "block").agg(member.alias("out")), "outside-blocks")
