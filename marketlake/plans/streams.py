@@ -14,6 +14,11 @@ from ..streaming.run import drain
 from .registry import SQL, query
 
 
+def _files(rows) -> int:
+    """Files of a micro-batch: as many as tasks read the table, so that they grow with it."""
+    return max(1, rows.rdd.getNumPartitions())
+
+
 def _events(t, order=(0, 1, 2, 3, 4)):
     """The events as a stream of five micro-batches: quarters of their time in the given order.
 
@@ -24,7 +29,7 @@ def _events(t, order=(0, 1, 2, 3, 4)):
     e = e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("t", micros(F.col("ts")))
     edges = e.approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
     quarter = sum((F.col("t") > x).cast("int") for x in edges) + (F.col("user_id") % 50 == 7).cast("int")
-    files = max(1, len(e.inputFiles()))
+    files = _files(e)
     for piece in order:
         e.filter(quarter == piece).repartition(files).write.mode("append").parquet(path)
     stream = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -41,7 +46,7 @@ def _jumbled(t):
     e = e.withColumn("arrival", F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(599_000_000)))
     edges = e.approxQuantile("arrival", [0.2, 0.4, 0.6, 0.8], 0.01)
     part = sum((F.col("arrival") > x).cast("int") for x in edges)
-    files = max(1, len(e.inputFiles()))
+    files = _files(e)
     for piece in range(5):
         e.filter(part == piece).drop("arrival").repartition(files).write.mode("append").parquet(path)
     end = e.agg((F.max("t") + 7_200_000_000).alias("t")).select(

@@ -1,5 +1,8 @@
 """Streams over several micro-batches equal their batch twins."""
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from helpers import rows, same, ts
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from marketlake.operators.intervals import halts_from_status
 from marketlake.operators.merge import set_fields
 from marketlake.operators.series import bucket_last, change_only, latest_per_key
 from marketlake.sinks.log import Log
-from marketlake.streaming import native
+from marketlake.streaming import keyed, native
 from marketlake.streaming.keyed import halt_table, stream_change_only, stream_halts
 from marketlake.streaming.run import drain
 
@@ -147,3 +150,52 @@ def test_flag_halted(spark, tmp_path):
     hits = drain(native.stream_flag_halted(polls, m, ["platform"], ["market_id"]), "t6")
     patch = hits.select("platform", "market_id").distinct().withColumn("outage_affected", F.lit(1))
     assert rows(set_fields(m, patch, ["platform", "market_id"], ["outage_affected"]), "market_id", "outage_affected") == [("a", 1), ("b", 0), ("c", 0)]
+
+
+class Store:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, set()
+
+    def getValueState(self, name, schema):
+        store = self
+
+        class State:
+            def exists(self):
+                store.calls += 1
+                return name in store.values
+
+            def get(self):
+                store.calls += 1
+                return store.values[name]
+
+            def update(self, value):
+                store.calls += 1
+                store.values[name] = value
+
+            def clear(self):
+                store.values.pop(name, None)
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_calls_to_the_state_do_not_grow_with_rows_or_keys():
+    schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("v", pa.string()), ("up", pa.bool_())])
+    data = pd.DataFrame({"k": np.arange(3000) % 700, "t": np.arange(3000) * 1_000_000 + 1, "v": "x", "up": np.arange(3000) % 2 == 0})
+    for made in (keyed._ChangeOnly(["k"], ["t"], "v", schema), keyed._Halts(["k"], "t", "up", None, schema)):
+        store = Store()
+        made.init(store)
+        for part in (data[:1000], data[1000:]):
+            list(made.handleInputRows((0,), iter([part]), store))
+        assert store.calls < 20 and len(store.timers) <= 1
