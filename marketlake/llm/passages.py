@@ -8,7 +8,10 @@ each such stretch together with the words on one side of it is a key, and texts
 key are linked. Then every stretch of ``common`` tokens whose keys occur in several texts is
 grouped by all its words, so that a text that holds only a part of a passage hides no other
 two. Texts are aligned on their links, and every stretch of at least ``least_words`` words
-whose shingles agree to ``percent`` is confirmed on the words themselves.
+whose shingles agree to ``percent`` is confirmed on the words themselves. Keys that further
+texts hold where two agree without a passage stay open: around them the stretches with one
+word left out are grouped by all their other words, so that no text hides two others that
+agree up to that word.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm import flat
-from marketlake.session import materialize
+from marketlake.session import discard, materialize
 
 #: Bits that mark keys of several texts, and how many of them one row of the table holds. They
 #: only spare rows: where two keys share a bit, stretches are grouped that need not be.
 MARKS, MARKS_ROW = 1 << 27, 1 << 15
+#: Rows of a chunk that are combined at a time.
+CHUNK_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -52,12 +57,28 @@ class Passages:
         """Equal shingles in a row that remain of ``common`` when one changed word parts them."""
         return -(-self.common // 2)
 
+    @property
+    def half_words(self) -> int:
+        """Words of such a run."""
+        return self.run + self.shingle - 1
+
+    @property
+    def gapped_words(self) -> int:
+        """Words beside the changed one of a passage that has no shingle to spare."""
+        return self.common + 2 * (self.shingle - 1)
+
     @property
     def side_words(self) -> int:
         """Words that a run has at least on one side of any of its tokens."""
         return (self.run - 1) // 2
 
 
+def lit(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys are marked."""
+    slot = (key & np.uint64(MARKS - 1)).astype(np.int64)
+    return (marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def minima(values: np.ndarray, seg_doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Stretches of ``width`` tokens of one text: first token and least token (leftmost of ties).
 
@@ -91,14 +112,15 @@ def anchors(values: np.ndarray, seg_doc: np.ndarray, first: np.ndarray, width: i
 class Tokens:
     """Shingles of the texts of a batch, and hashes of any stretches of their words."""
 
-    def __init__(self, column: pa.Array, p: Passages):
+    def __init__(self, column: pa.Array, p: Passages, every: bool = False):
         self.p = p
         data, at = flat.texts(column)
         self.seg = flat.words(data, at, flat.SPACED)
-        words = flat.Hasher(data, lower=True)(self.seg.start, self.seg.end)
+        self.words = words = flat.Hasher(data, lower=True)(self.seg.start, self.seg.end)
         self.tokens, self.first = flat.windows(words, self.seg, p.shingle)
-        long = self.seg.counts()[self.seg.doc[self.first]] >= p.least_words
-        self.tokens, self.first = self.tokens[long], self.first[long]
+        if not every:
+            long = self.seg.counts()[self.seg.doc[self.first]] >= p.least_words
+            self.tokens, self.first = self.tokens[long], self.first[long]
         self.doc = self.seg.doc[self.first]
         self.sums = np.zeros(len(words) + 1, np.uint64)
         up, self.down = flat._powers(len(words))
@@ -109,6 +131,60 @@ class Tokens:
     def stretch(self, begin: np.ndarray, words: int, salt: int) -> np.ndarray:
         return flat.mix((self.sums[begin + words] - self.sums[begin]) * self.down[begin] + self.salt[salt])
 
+    def gaps(self, opened: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+        """Words that have an open key in the run beside them: whether the run is before them, and the words."""
+        p = self.p
+        begin, least = self.first[self.start], self.first[self.least]
+        after = (least + p.shingle + p.side_words <= begin + p.half_words)
+        ok = np.zeros(len(begin), bool)
+        for k, of in ((0, after), (1, ~after)):
+            # The side that lies inside the run, so that equal runs have equal keys.
+            which = np.flatnonzero(of)
+            fits, key = self.side(self.least[which], k)
+            ok[which[fits]] = lit(opened, key)
+        begin = begin[ok]
+        for before in (True, False):
+            word = begin + p.half_words if before else begin - 1
+            text = self.seg.doc[begin]
+            yield before, word[(word >= self.seg.first[text]) & (word < self.seg.first[text + 1])]
+
+    def gapped(self, word: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of words with so many others on both sides in their text: those, and hashes of the others."""
+        text = self.seg.doc[word]
+        word = word[(word - left >= self.seg.first[text]) & (word + right < self.seg.first[text + 1])]
+        sides = self.stretch(word - left, left, 0), self.stretch(word + 1, right, 1)
+        return word, flat.mix(sides[0] + flat.mix(sides[1] + np.uint64(left)))
+
+    def cores(self, before: bool, word: np.ndarray) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+        """Lengths of the longer part, words that have what these share, and its keys.
+
+        The longer part has a run, the shorter one a shingle at least; with less, the longer
+        part is one of ``stretches``.
+        """
+        p = self.p
+        end = p.gapped_words - p.shingle + 1
+        for low in range(p.half_words, end, p.shingle):
+            lengths = range(low, min(low + p.shingle, end))
+            less = p.gapped_words - lengths[-1]
+            yield lengths, *self.gapped(word, *((low, less) if before else (less, low)))
+
+    def changing(self, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of what surrounds each word with an open key beside it, and the word."""
+        found = [(key, self.words[at]) for before, word in self.gaps(opened) for _, at, key in self.cores(before, word)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def gapped_stretches(self, opened: np.ndarray, changed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text and place of every stretch with one word left out that differs between texts."""
+        found = []
+        for before, word in self.gaps(opened):
+            for lengths, at, key in self.cores(before, word):
+                at = at[lit(changed, key)]
+                for more in lengths:
+                    less = self.p.gapped_words - more
+                    fit, key = self.gapped(at, *((more, less) if before else (less, more)))
+                    found.append((key, self.seg.doc[fit], fit - self.seg.first[self.seg.doc[fit]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text, and word of the text, of tokens."""
         return self.doc[at], self.first[at] - self.seg.first[self.doc[at]]
@@ -142,8 +218,7 @@ class Tokens:
         begin, least = begin[ok], least[ok]
         for k in (0, 1):
             _, key = self.side(least, k)
-            slot = (key & np.uint64(MARKS - 1)).astype(np.int64)
-            ok = (marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            ok = lit(marks, key)
             begin, least = begin[ok], least[ok]
         return (self.stretch(self.first[begin], p.common + p.shingle - 1, 0), *self.place(begin))
 
@@ -177,7 +252,7 @@ def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size = rows = 0
 
         def flush() -> pa.RecordBatch:
             key, doc, place = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -195,9 +270,10 @@ def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndar
                 key, row, place = hashed(Tokens(part.column("text"), p))
                 held.append((key, np.asarray(part.column("doc"))[row], place))
                 size += part.column("text").nbytes
-                if size >= p.chunk_bytes:
+                rows += len(key)
+                if size >= p.chunk_bytes or rows >= CHUNK_ROWS:
                     yield flush()
-                    held, size = [], 0
+                    held, size, rows = [], 0, 0
         if held:
             yield flush()
 
@@ -230,6 +306,19 @@ def linked(rows: DataFrame) -> DataFrame:
     return first.mapInArrow(run, "key long, doc long, at int, other long, other_at int").union(rows.where("other is not null"))
 
 
+def differing(docs: DataFrame, p: Passages, opened: Callable[[], np.ndarray]) -> DataFrame:
+    """Keys (key) around which the word left out differs between places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in flat.slices(batch):
+                key, word = Tokens(part.column("text"), p).changing(opened())
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word.astype(np.uint32).view(np.int32))], ["key", "word"])
+
+    words = docs.select("text").mapInArrow(run, "key long, word int")
+    return words.groupBy("key").agg(F.min("word").alias("one"), F.max("word").alias("other")).where("one <> other").select("key")
+
+
 def marked(links: DataFrame) -> np.ndarray:
     """Bits of the keys that occur in several texts."""
     slots = links.select((F.col("key").bitwiseAND(MARKS - 1)).alias("slot")).distinct()
@@ -244,8 +333,10 @@ def marked(links: DataFrame) -> np.ndarray:
 def confirm(pairs: DataFrame, p: Passages) -> DataFrame:
     """Passages of pairs (a, b, shifts, ta, tb): one row for each side and stretch.
 
-    ``shifts`` are differences of word positions at which the texts were seen to agree.
+    ``shifts`` are differences of word positions at which the texts were seen to agree. Rows
+    with ``key`` only are keys of the first text where both agree outside their passages.
     """
+    key_tokens = p.side_words + 1
 
     def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
         """Word ranges of all windows with enough equal shingles, merged, from their first to their last equal one."""
@@ -271,6 +362,7 @@ def confirm(pairs: DataFrame, p: Passages) -> DataFrame:
                     found, first = flat.windows(flat.Hasher(data, lower=True)(seg.start, seg.end), seg, p.shingle)
                     tokens.append((found, np.searchsorted(seg.doc[first], np.arange(part.num_rows + 1))))
                 out: list[tuple] = []
+                bare: list[tuple[int, np.ndarray]] = []
                 for i, (a, b, shifts) in enumerate(zip(*[part.column(c).to_pylist() for c in ("a", "b", "shifts")])):
                     x, y = (t[s[i]: s[i + 1]] for t, s in tokens)
                     equal_x, equal_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
@@ -285,10 +377,36 @@ def confirm(pairs: DataFrame, p: Passages) -> DataFrame:
                     sides = stretches(equal_x), stretches(equal_y)
                     if all(sides):
                         out += [(a, b, s, e) for s, e in sides[0]] + [(b, a, s, e) for s, e in sides[1]]
+                    if not equal_x.all() or not all(sides):
+                        runs = np.flatnonzero(np.diff(equal_x, prepend=False, append=False)).reshape(-1, 2)
+                        runs = runs[runs[:, 1] - runs[:, 0] >= key_tokens]
+                        whole = np.array(sides[0] if all(sides) else [], np.int64).reshape(-1, 2)
+                        # Stretches are ascending and apart.
+                        spot = np.searchsorted(whole[:, 0], runs[:, 0], "right") - 1
+                        inside = (spot >= 0) & (runs[:, 1] + p.shingle - 1 <= np.r_[whole[:, 1], 0][spot])
+                        if not inside.all():
+                            bare.append((i, runs[~inside]))
+                keys = open_keys(part.column("ta"), bare) if bare else np.zeros(0, np.int64)
                 columns = list(zip(*out)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(columns[k], pa.int64()) for k in range(4)], ["doc_id", "partner_id", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*columns[k], *[None] * len(keys)], pa.int64()) for k in range(4)] + [pa.concat_arrays([pa.nulls(len(out), pa.int64()), pa.array(keys)])],
+                    ["doc_id", "partner_id", "start_word", "end_word", "key"])
+
+    def open_keys(column: pa.Array, bare: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Keys inside of runs [begin, end) of shingles of the rows named."""
+        texts = Tokens(column.take(pa.array([i for i, _ in bare])), p, every=True)
+        first = np.searchsorted(texts.doc, np.arange(len(bare)))
+        runs = np.concatenate([at + of for at, (_, of) in zip(first, bare)])
+        begin, end = runs[:, 0], runs[:, 1]
+        top, found = np.unique(texts.least), []
+        for k in (0, 1):
+            ok, key = texts.side(top, k)
+            low = top[ok] - k * p.side_words
+            spot = np.searchsorted(begin, low, "right") - 1
+            found.append(key[(spot >= 0) & (low + key_tokens <= end[spot])])
+        return np.unique(np.concatenate(found)).view(np.int64)
 
-    return pairs.mapInArrow(run, "doc_id long, partner_id long, start_word long, end_word long")
+    return pairs.mapInArrow(run, "doc_id long, partner_id long, start_word long, end_word long, key long")
 
 
 def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,12 +419,42 @@ def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id",
     compared pair by pair, so a key's group is never gathered.
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null")
-    links = materialize(linked(materialize(keyed(docs, p, Tokens.keys), "windows")), "links")
-    marks = docs.sparkSession.sparkContext.broadcast(marked(links))
-    same = linked(materialize(keyed(docs, p, lambda t: t.stretches(marks.value)), "stretches"))
-    ordered = links.union(same).select(
-        F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b"),
-        F.when(F.col("doc") > F.col("other"), F.col("at") - F.col("other_at")).otherwise(F.col("other_at") - F.col("at")).alias("shift"))
-    pairs = materialize(ordered.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")), "passage-pairs")
-    ta, tb = docs.select(F.col("doc").alias("a"), F.col("text").alias("ta")), docs.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    return confirm(pairs.join(ta, "a").join(tb, "b").select("a", "b", "shifts", "ta", "tb"), p).distinct()
+    context = docs.sparkSession.sparkContext
+    windows = materialize(keyed(docs, p, Tokens.keys), "windows")
+    links = materialize(linked(windows), "links")
+    discard(windows)
+    marks = context.broadcast(marked(links))
+    stretches = materialize(keyed(docs, p, lambda t: t.stretches(marks.value)), "stretches")
+
+    def aligned(rows: DataFrame) -> DataFrame:
+        ordered = rows.select(
+            F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b"),
+            F.when(F.col("doc") > F.col("other"), F.col("at") - F.col("other_at")).otherwise(F.col("other_at") - F.col("at")).alias("shift"))
+        return ordered.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ta, tb = docs.select(F.col("doc").alias("a"), F.col("text").alias("ta")), docs.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+        return confirm(pairs.join(ta, "a").join(tb, "b").select("a", "b", "shifts", "ta", "tb"), p)
+
+    pairs = materialize(aligned(links.union(linked(stretches))), "passage-pairs")
+    discard(stretches)
+    found = materialize(confirmed(pairs), "confirmed")
+    rows = found.where("key is null").drop("key").distinct()
+    if p.tokens - p.common < p.shingle:
+        return rows  # no passage has a changed word inside
+    # A key of two texts hides nobody: they were compared.
+    several = links.groupBy("key").agg(F.min("doc").alias("one"), F.max("doc").alias("two")).where("one <> two")
+    left = materialize(found.where("key is not null").select("key").distinct().join(several.select("key"), "key", "left_semi"), "open-keys")
+    if not left.limit(1).count():
+        return rows
+    opened = context.broadcast(marked(left))
+    changed = context.broadcast(marked(differing(docs, p, lambda: opened.value)))
+    gapped = materialize(keyed(docs, p, lambda t: t.gapped_stretches(opened.value, changed.value)), "gapped-stretches")
+    # Pairs that were not aligned so are confirmed on all their shifts.
+    known = pairs.withColumnRenamed("shifts", "known")
+    more = aligned(linked(gapped)).join(known, ["a", "b"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<int>")))
+    more = materialize(more.where("size(array_except(shifts, known)) > 0").select("a", "b", F.array_union("shifts", "known").alias("shifts")), "gapped-pairs")
+    discard(gapped)
+    again = more.select("a", "b")
+    rows = rows.join(again, (F.greatest("doc_id", "partner_id") == again["a"]) & (F.least("doc_id", "partner_id") == again["b"]), "left_anti")
+    return rows.union(confirmed(more).where("key is null").drop("key").distinct())

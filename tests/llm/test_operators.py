@@ -337,6 +337,20 @@ def test_one_changed_word_loses_no_passage(spark):
     assert {g[:2] for g in passage_pairs(spark, rows)} == {(a, a ^ 1) for a in range(240)}
 
 
+def test_a_text_with_the_key_only_hides_no_pair_that_differs_in_one_word(spark):
+    rows, want = [], set()
+    for k in range(40):
+        one = prose(20_000 + k, 51).split()
+        other, at = list(one), 10 + k * 30 // 39
+        other[at] = "changed"
+        # The first text holds the longer part of the passage up to its last words, and nothing of the other part.
+        part = " ".join(one[at + 1:] if at < 25 else one[:at])
+        rows += [(10 * k, f"{prose(21_000 + k, 60)} {part} {prose(21_100 + k, 60)}"), (10 * k + 2, prose(21_200 + k, 60) + " " + " ".join(one)),
+                 (10 * k + 3, " ".join(other) + " " + prose(21_300 + k, 40))]
+        want |= {(10 * k + 2, 10 * k + 3), (10 * k + 3, 10 * k + 2)}
+    assert {g[:2] for g in passage_pairs(spark, rows)} == want
+
+
 def test_default_bands_reject_noise_and_keep_prose(spark):
     rng, rows = random.Random(5), []
     kinds = ["0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/ ", "".join(map(chr, range(32, 127)))]
