@@ -97,12 +97,30 @@ def odds_around(matched: DataFrame, ticks: DataFrame, start: str = "game_start",
         F.max(F.when(F.col("kind") == "post", F.col("p"))).alias("post_p"))
 
 
+def odds_of_starts(matched: DataFrame, ticks: DataFrame, start: str = "game_start", *,
+                   before: int = PRE_DRAFT, after: int = POST_DRAFT) -> DataFrame:
+    """``odds_around`` for markets that start once, as a catalog has them: the ticks are read once.
+
+    Every tick meets the starts of its market, so a market with many starts belongs to ``odds_around``.
+    """
+    g = F.col(start)
+    floor = F.timestamp_seconds(g - before)
+    seen = (ticks.select(*KEY, "ts", "resolution", "p").join(matched.select(*KEY, start).distinct(), KEY)
+            .filter(F.col("ts") <= F.timestamp_seconds(g + after)))
+    # Of one instant the finest resolution, as in the as-of join.
+    last = F.struct("ts", (-F.col("resolution")).cast("double").alias("rank"), F.xxhash64(F.struct("ts", "p")).alias("salt"))
+    picked = seen.groupBy(*KEY, start).agg(
+        F.max_by(F.struct("p"), F.when(F.col("ts") <= floor, last)).alias("pre"), F.max_by(F.struct("ts", "p"), last).alias("post"))
+    return picked.groupBy(*KEY).agg(
+        F.max("pre.p").alias("pre_p"), F.max(F.when(F.col("post.ts") >= floor, F.col("post.p"))).alias("post_p"))
+
+
 def build_deltas(markets: DataFrame, games: DataFrame, price_points: DataFrame, candles: DataFrame,
                  rows_per_segment: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Draft deltas of every market that can be matched and is priced on both sides."""
     matched = match_games(map_winner_candidates(markets), games, rows_per_segment=rows_per_segment)
-    matched = materialize(matched, "matched")  # a catalog-sized table, read three times below
-    odds = odds_around(matched, price_ticks(price_points, candles), rows_per_segment=rows_per_segment)
+    matched = materialize(matched, "matched")  # a catalog-sized table, read twice below
+    odds = odds_of_starts(matched, price_ticks(price_points, candles))
     return (matched.join(odds.filter(F.col("pre_p").isNotNull() & F.col("post_p").isNotNull()), KEY)
             .select(*KEY, "oe_game_id", "team", "opponent", "league", "game_start", "game_num",
                     "pre_p", "post_p", sql_round(F.col("post_p") - F.col("pre_p"), 4).alias("delta"),

@@ -3,6 +3,7 @@
 import pytest
 from helpers import same
 
+from marketlake.operators.deltas import odds_around, odds_of_starts
 from marketlake.operators.features import training_rows
 from marketlake.plans import draft
 from marketlake.plans.registry import QUERIES, Tables
@@ -38,3 +39,18 @@ def test_model_meets_features_without_a_shuffle(spark, sf_dir):
 def test_shares_of_tasks_are_bounded(spark):
     assert int(RUNTIME_CONF["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) >= 1000
     assert RUNTIME_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "12m" and RUNTIME_CONF["spark.sql.files.maxPartitionBytes"] == "32m"
+
+
+def test_ticks_of_deltas_are_read_once(spark, sf_dir):
+    # Once for the token and once for the ticker platform.
+    assert plan(spark, sf_dir, "draft_deltas").count("FileScan parquet [l_") == 2
+
+
+def test_odds_of_starts_equal_as_of_odds(spark):
+    at = "timestamp_seconds(100000 + id * 37 % 4000)"
+    ticks = spark.range(3000).selectExpr("IF(id % 2 = 0, 'a', 'b') AS platform", "cast(id % 40 AS string) AS market_id", f"{at} AS ts",
+                                         "IF(id % 11 = 0, NULL, cast(id % 3 AS int)) AS resolution", "IF(id % 13 = 0, NULL, id / 3000D) AS p")
+    matched = spark.range(60).selectExpr("IF(id % 2 = 0, 'a', 'b') AS platform", "cast(id AS string) AS market_id", "100000 + id * 70 AS game_start")
+    want = odds_around(matched, ticks).filter("pre_p is not null or post_p is not null")
+    got = odds_of_starts(matched, ticks).filter("pre_p is not null or post_p is not null")
+    assert want.count() > 30 and same(got, want)
