@@ -86,13 +86,15 @@ def normalize_ticker_trades(trades: DataFrame, value: str = "value", market: str
     v = F.col("v")
     parsed = trades.select(F.col(market).alias("market_id"), F.col(value).alias("raw"),
                            F.try_parse_json(value).alias("v"))
-    ts = F.coalesce(parse_ts(_text(v, "created_time")), F.lit(0).cast("bigint"))
+    # Members are taken out once; the price rules below read each several times.
+    parsed = parsed.select("market_id", "raw", _text(v, "trade_id").alias("trade_id"), _text(v, "created_time").alias("created"),
+                           F.coalesce(_text(v, "taker_side"), F.lit("")).alias("side"),
+                           *[json_member(v, f"$.{m}").alias(m) for m in ("yes_price_dollars", "yes_price", "count_fp", "count")])
+    ts = F.coalesce(parse_ts(F.col("created")), F.lit(0).cast("bigint"))
     return parsed.select(
-        F.lit(TICKER_PLATFORM).alias("platform"), _text(v, "trade_id").alias("trade_id"), "market_id",
-        from_seconds(ts).alias("ts"),
-        F.coalesce(json_price(json_member(v, "$.yes_price_dollars")), json_price(json_member(v, "$.yes_price"))).alias("price"),
-        F.coalesce(json_plain(json_member(v, "$.count_fp")), json_plain(json_member(v, "$.count")), F.lit(0.0)).alias("size"),
-        F.coalesce(_text(v, "taker_side"), F.lit("")).alias("side"), "raw")
+        F.lit(TICKER_PLATFORM).alias("platform"), "trade_id", "market_id", from_seconds(ts).alias("ts"),
+        F.coalesce(json_price(F.col("yes_price_dollars")), json_price(F.col("yes_price"))).alias("price"),
+        F.coalesce(json_plain(F.col("count_fp")), json_plain(F.col("count")), F.lit(0.0)).alias("size"), "side", "raw")
 
 
 def _ohlc(v: Column, name: str) -> Column:

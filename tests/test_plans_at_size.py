@@ -54,3 +54,7 @@ def test_odds_of_starts_equal_as_of_odds(spark):
     want = odds_around(matched, ticks).filter("pre_p is not null or post_p is not null")
     got = odds_of_starts(matched, ticks).filter("pre_p is not null or post_p is not null")
     assert want.count() > 30 and same(got, want)
+
+
+def test_members_of_trades_are_taken_out_once(spark, sf_dir):
+    assert plan(spark, sf_dir, "ticker_trades").count("$.created_time") == 1
