@@ -13,7 +13,7 @@ from ..session import scratch_path
 from ..sinks.export import export_events
 from ..sinks.rollup import Rollup
 from ..sinks.upsert import latest, upsert
-from ..sources.legacy import import_legacy_tables, read_dump
+from ..sources.legacy import GROWING, import_legacy_tables, read_dump
 from ..sources.matches import load_match_csv, reload_games
 from .draft import order_drafts
 from .registry import query, rounded
@@ -166,10 +166,12 @@ def import_twice(t):
         rows.write.parquet(f"{path}/dump/{name}")
     stored = None
     for turn in ("first", "second"):
-        made = import_legacy_tables(read_dump(t.spark, f"{path}/dump"), stored)
+        made = import_legacy_tables(read_dump(t.spark, f"{path}/dump"), stored, whole=False)
+        # Stored rows of tables that only grow stay where they are.
+        lies = {name: f"{path}/{'series' if name in GROWING else turn}/{name}" for name in made}
         for name, rows in made.items():
-            rows.write.parquet(f"{path}/{turn}/{name}")
-        stored = {name: t.spark.read.parquet(f"{path}/{turn}/{name}") for name in made}
+            rows.write.mode("append").parquet(lies[name])
+        stored = {name: t.spark.read.parquet(lies[name]) for name in made}
     times = {"trades": F.unix_timestamp("ts"), "price_points": F.unix_timestamp("ts"), "candles": F.unix_timestamp("ts"),
              "markets": F.col("game_start_ts"), "outages": F.col("start_ts")}
     out = None

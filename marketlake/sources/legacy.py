@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.hashes import book_hash
 from ..functions.numbers import to_double
 from ..functions.times import from_millis, from_seconds
-from ..operators.merge import coalesce_merge, current_outages, insert_if_absent, last_write_wins
+from ..operators.merge import coalesce_merge, current_outages, insert_if_absent, last_write_wins, new_rows
 from ..schemas import KEYS, MARKETS
 
 TABLE_NAMES = ("markets", "book_snapshots", "trades", "price_points", "candles", "outages")
+#: Tables whose stored rows never change.
+GROWING = ("book_snapshots", "trades", "price_points")
 CATALOG = ["event_id", "series", "condition_id", "title", "outcome", "game_start_ts", "open_ts",
            "close_ts", "status", "result", "raw"]
 
@@ -57,20 +59,28 @@ def _levels(col: str) -> Column:
                                                  to_double(F.get(x, F.lit(1))).alias("size")))
 
 
-def import_legacy_tables(dump: dict[str, DataFrame],
-                         stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def import_legacy_tables(dump: dict[str, DataFrame], stored: dict[str, DataFrame] | None = None, *,
+                         whole: bool = True) -> dict[str, DataFrame]:
     """The six tables after importing ``dump`` into ``stored`` (default: nothing stored).
 
-    Series tables come back whole (stored plus new rows), ready to write to a new path.
+    Series tables come back whole (stored plus new rows), ready to write to a new path. With
+    ``whole=False`` the tables of ``GROWING`` are their new rows alone, to be appended.
+
+    A dump's files may be few and dense, so rows are dealt out by key before they are parsed
+    and sorted, and those whose key is stored already are dropped before.
     """
     stored = stored or {}
 
-    def appended(name: str, rows: DataFrame) -> DataFrame:
+    def appended(name: str, rows: DataFrame, **values: Column) -> DataFrame:
+        """``rows`` have their keys; ``values`` are worked out for rows that are not stored only."""
         old = stored.get(name)
+        rows = rows.repartition(*KEYS[name]) if old is None else new_rows(rows, old, KEYS[name])
+        for column, value in values.items():
+            rows = rows.withColumn(column, value)
         rows = rows.select(*(old.columns if old is not None else rows.columns))
         new = insert_if_absent(rows, KEYS[name], [c for c in rows.columns if c not in KEYS[name]
-                                                  and c not in ("bids", "asks")] or KEYS[name], old)
-        return new if old is None else old.unionByName(new)
+                                                  and c not in ("bids", "asks")] or KEYS[name])
+        return old.unionByName(new) if whole and old is not None else new
 
     m = dump["markets"]
     seen = F.coalesce("last_seen_ts", F.lit(0)).cast("bigint")
@@ -83,16 +93,13 @@ def import_legacy_tables(dump: dict[str, DataFrame],
             "platform", "market_id", *CATALOG, "backfilled", "last_trade_ts", "outage_affected",
             F.col("first_seen_ts").alias("seen"), F.lit(0).alias("seq"))
         sightings = old.unionByName(sightings)
-    markets = coalesce_merge(sightings, ["platform", "market_id"], ["seq"],
+    markets = coalesce_merge(sightings.repartition("platform", "market_id"), ["platform", "market_id"], ["seq"],
                              [*CATALOG, "backfilled", "last_trade_ts", "outage_affected"],
                              seen="seen", raw="raw").select(*MARKETS.names)
 
     books = dump["book_snapshots"].select(
         "platform", "market_id", from_millis(F.col("ts_ms")).alias("ts"),
-        from_millis(F.when(F.col("source_ts_ms") != 0, F.col("source_ts_ms"))).alias("source_ts"),
-        _levels("bids").alias("bids"), _levels("asks").alias("asks"))
-    # Hashes are recomputed: number text differs between systems.
-    books = books.withColumn("hash", book_hash(F.col("bids"), F.col("asks")))
+        from_millis(F.when(F.col("source_ts_ms") != 0, F.col("source_ts_ms"))).alias("source_ts"), "bids", "asks")
     trades = dump["trades"].select("platform", "trade_id", "market_id", from_seconds(F.col("ts")).alias("ts"),
                                    "price", "size", "side", _raw().alias("raw"))
     points = dump["price_points"].select("platform", "market_id", F.col("fidelity").cast("int").alias("fidelity"),
@@ -103,7 +110,7 @@ def import_legacy_tables(dump: dict[str, DataFrame],
         _raw().alias("raw"), F.lit(1).alias("__seq"))
     if "candles" in stored:
         candles = stored["candles"].withColumn("__seq", F.lit(0)).unionByName(candles)
-    candles = last_write_wins(candles, KEYS["candles"], ["__seq", "close", "volume"]).drop("__seq")
+    candles = last_write_wins(candles.repartition(*KEYS["candles"]), KEYS["candles"], ["__seq", "close", "volume"]).drop("__seq")
 
     o = dump["outages"].select("platform", "kind", F.col("start_ts").cast("bigint").alias("start_ts"),
                                F.col("end_ts").cast("bigint").alias("end_ts"), "note")
@@ -112,6 +119,8 @@ def import_legacy_tables(dump: dict[str, DataFrame],
     if "outages" in stored:
         openings = stored["outages"].unionByName(openings)
     outages = current_outages(openings, closings, ["platform", "kind"])
-    return {"markets": markets, "book_snapshots": appended("book_snapshots", books),
+    # Hashes are recomputed: number text differs between systems.
+    books = appended("book_snapshots", books, bids=_levels("bids"), asks=_levels("asks"), hash=book_hash(F.col("bids"), F.col("asks")))
+    return {"markets": markets, "book_snapshots": books,
             "trades": appended("trades", trades), "price_points": appended("price_points", points),
             "candles": candles, "outages": outages}

@@ -296,3 +296,23 @@ def test_legacy_import_is_idempotent(spark):
     assert (m["first_seen_ts"], m["last_seen_ts"], m["raw"], m["backfilled"], m["last_trade_ts"]) == (9, 9, None, 1, 7)
     assert rows(once["outages"], "start_ts", "end_ts") == [(1, None), (5, 8)]
     assert once["book_snapshots"].collect()[0]["bids"][0]["size"] == 10.0
+
+
+def test_legacy_import_drops_stored_rows_first(spark):
+    book = "platform string, market_id string, ts_ms long, source_ts_ms long, bids string, asks string"
+    rest = {"markets": S.MARKETS, "trades": "platform string, trade_id string, market_id string, ts long, price double, size double, side string, raw string",
+            "price_points": "platform string, market_id string, fidelity int, ts long, price double",
+            "candles": "platform string, market_id string, period_min int, ts long, open double, high double, low double, close double, volume double, open_interest double, raw string",
+            "outages": S.OUTAGES}
+    dump = {name: spark.createDataFrame([], of) for name, of in rest.items()}
+    dump["book_snapshots"] = spark.createDataFrame([(KA, "a", 1500, 0, "[[0.4,10]]", "[]"), (KA, "a", 1500, 0, "[[0.4,10]]", "[]")], book)
+    once = import_legacy_tables(dump)
+    dump["book_snapshots"] = dump["book_snapshots"].union(spark.createDataFrame([(KA, "a", 2500, 0, "[]", "[[0.5,1]]")] * 2, book))
+    new = import_legacy_tables(dump, once, whole=False)["book_snapshots"]
+    assert [(r["bids"], r["asks"][0]["price"]) for r in new.collect()] == [([], 0.5)]
+    assert import_legacy_tables(dump, once)["book_snapshots"].count() == 2
+    # Texts are parsed once rows are dealt out by key (one sort), and for rows that are not stored only.
+    plan = once["book_snapshots"]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("from_json") < plan.index("Exchange")
+    whole = new._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.index("from_json") < whole.index("LeftAnti")
