@@ -25,13 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm import flat
-from marketlake.session import discard, materialize
+from marketlake.session import materialize
 
 #: Bits that mark keys of several texts, and how many of them one row of the table holds. They
 #: only spare rows: where two keys share a bit, stretches are grouped that need not be.
 MARKS, MARKS_ROW = 1 << 27, 1 << 15
 #: Rows of a chunk that are combined at a time.
 CHUNK_ROWS = 4_000_000
+#: Ranges of keys (2 to this power) that are grouped one by one, and links that one row holds. A range
+#: has 1 in 8,192 of all keys, and of a frequent key a row for each chunk.
+PART_BITS, LINKS_ROW = 13, 256
+LINK, LINK_TYPES = ["key", "doc", "at", "other", "other_at"], [np.int64, np.int64, np.int32, np.int64, np.int32]
+PACKED = "part int, key array<long>, doc array<long>, at array<int>, other array<long>, other_at array<int>"
 
 
 @dataclass(frozen=True)
@@ -82,25 +87,23 @@ def lit(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
 def minima(values: np.ndarray, seg_doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Stretches of ``width`` tokens of one text: first token and least token (leftmost of ties).
 
-    Minima of a sliding window, found with running minima of blocks in both directions.
+    Minima of a sliding window, found with running minima of blocks in both directions. Values
+    count by their lower 32 bits.
     """
     n = len(values)
     if n < width:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    # A unique order: value first, then position.
-    rank = np.empty(n, np.int64)
-    rank[np.argsort(values, kind="stable")] = np.arange(n)
+    # A unique order: the value's lower half first, then position.
+    half = np.uint64(32)
     size = -(-n // width) * width
-    padded = np.full(size, n, np.int64)
-    padded[:n] = rank
+    padded = np.full(size, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = values << half | np.arange(n, dtype=np.uint64)
     grid = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     start = np.arange(n - width + 1)
     start = start[seg_doc[start] == seg_doc[start + width - 1]]
-    back = np.empty(n, np.int64)
-    back[rank] = np.arange(n)
-    return start, back[np.minimum(behind[start], ahead[start + width - 1])]
+    return start, np.minimum(behind[start], ahead[start + width - 1]).astype(np.uint32).astype(np.int64)
 
 
 def anchors(values: np.ndarray, seg_doc: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
@@ -242,9 +245,27 @@ def star(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return to
 
 
+def by_key(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Order by key, document and place. Most keys occur once, so only the others are sorted by all three."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    spot = np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(order) else order
+    tied = order[spot]
+    order[spot] = tied[np.lexsort((place[tied], doc[tied], key[tied]))]
+    return order
+
+
+def packed(starts: np.ndarray, part: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``PACKED``: runs of the columns (key, doc, at, other, other_at), cut at ``starts``."""
+    ends = pa.array(np.r_[starts, len(columns[0])].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c.astype(t))) for c, t in zip(columns, LINK_TYPES)]
+    none = [pa.nulls(len(starts), pa.list_(pa.from_numpy_dtype(t))) for t in LINK_TYPES[len(lists):]]
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *lists, *none], ["part", *LINK])
+
+
 def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """(key, doc, at, other, other_at): a chunk's first text with each key (``other`` NULL), and
-    links from all other places of the key in the chunk.
+    """A chunk's first text with each key (key, doc, at), one row for each range of keys (part), and
+    links from all other places of the key in the chunk (part below 0).
 
     Combining inside chunks bounds the rows of a frequent passage by the number of chunks, and
     by the places in the text that is first.
@@ -254,16 +275,18 @@ def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndar
         held: list[tuple] = []
         size = rows = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             key, doc, place = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((place, doc, key))
+            order = by_key(key, doc, place)
             key, doc, place = key[order], doc[order], place[order]
             to = star(key, doc)
             none = to < 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32)),
-                 pa.array(doc[to], mask=none), pa.array(place[to].astype(np.int32), mask=none)],
-                ["key", "doc", "at", "other", "other_at"])
+            part = (key[none] >> np.uint64(64 - PART_BITS)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            yield packed(starts, part[starts], key[none].view(np.int64), doc[none], place[none])
+            to, key, doc, place, ends = to[~none], key[~none], doc[~none], place[~none], (doc, place)
+            starts = np.arange(0, len(key), LINKS_ROW)
+            yield packed(starts, -1 - (key[starts] >> np.uint64(64 - PART_BITS)).astype(np.int64), key.view(np.int64), doc, place, *[e[to] for e in ends])
 
         for batch in batches:
             for part in flat.slices(batch):
@@ -272,38 +295,49 @@ def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndar
                 size += part.column("text").nbytes
                 rows += len(key)
                 if size >= p.chunk_bytes or rows >= CHUNK_ROWS:
-                    yield flush()
+                    yield from flush()
                     held, size, rows = [], 0, 0
         if held:
-            yield flush()
+            yield from flush()
 
-    return docs.mapInArrow(run, "key long, doc long, at int, other long, other_at int")
+    return docs.mapInArrow(run, PACKED)
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """Links (key, doc, at, other, other_at): those of chunks, and those between the chunks' first texts."""
+    """Links (key, doc, at, other, other_at): those of chunks, and those between the chunks' first texts.
+
+    ``rows`` are read once. Of each range of keys the chunks' first texts meet in one task; links of chunks pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the last key so far: its first row and the first of another document, or else all its rows.
-        held = tuple(np.empty(0, np.int64) for _ in range(3))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc, at = (np.concatenate([h, np.asarray(batch.column(c)).astype(np.int64)]) for h, c in zip(held, ("key", "doc", "at")))
+        held: list[list[np.ndarray]] = []
+        now = -1
+
+        def met() -> pa.RecordBatch:
+            key, doc, at = (np.concatenate(c) for c in zip(*held))
+            order = by_key(key, doc, at)
+            key, doc, at = key[order], doc[order], at[order]
             to = star(key, doc)
             keep = to >= 0
-            if len(held[0]) and held[1][-1] != held[1][0]:
-                keep[: len(held[0])] = False
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(t)) for x, t in ((key[keep], np.int64), (doc[keep], np.int64), (at[keep], np.int32), (doc[to[keep]], np.int64),
-                                                    (at[to[keep]], np.int32))], ["key", "doc", "at", "other", "other_at"])
-            begin = int(np.searchsorted(key, key[-1]))
-            other = begin + np.flatnonzero(doc[begin:] != doc[begin])
-            last = np.array([begin, other[0]]) if len(other) else np.arange(begin, len(key))
-            held = key[last], doc[last], at[last]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key[keep], doc[keep], at[keep], doc[to[keep]], at[to[keep]])], LINK)
+
+        for batch in batches:
+            part = np.asarray(batch.column("part"))
+            # Parts are ascending.
+            done = int(np.searchsorted(part, 0))
+            if done:
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(0, done).flatten() for c in LINK], LINK)
+            cuts = done + np.flatnonzero(np.diff(part[done:], prepend=-1))
+            for start, end in zip(cuts, np.r_[cuts[1:], len(part)]):
+                if held and part[start] != now:
+                    yield met()
+                    held = []
+                now = part[start]
+                held.append([np.asarray(batch.column(c).slice(start, end - start).flatten()) for c in LINK[:3]])
+        if held:
+            yield met()
 
-    first = rows.where("other is null").select("key", "doc", "at").repartition("key").sortWithinPartitions("key", "doc", "at")
-    return first.mapInArrow(run, "key long, doc long, at int, other long, other_at int").union(rows.where("other is not null"))
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, doc long, at int, other long, other_at int")
 
 
 def differing(docs: DataFrame, p: Passages, opened: Callable[[], np.ndarray]) -> DataFrame:
@@ -420,11 +454,9 @@ def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id",
     """
     docs = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null")
     context = docs.sparkSession.sparkContext
-    windows = materialize(keyed(docs, p, Tokens.keys), "windows")
-    links = materialize(linked(windows), "links")
-    discard(windows)
+    links = materialize(linked(keyed(docs, p, Tokens.keys)), "links")
     marks = context.broadcast(marked(links))
-    stretches = materialize(keyed(docs, p, lambda t: t.stretches(marks.value)), "stretches")
+    stretches = keyed(docs, p, lambda t: t.stretches(marks.value))
 
     def aligned(rows: DataFrame) -> DataFrame:
         ordered = rows.select(
@@ -437,7 +469,6 @@ def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id",
         return confirm(pairs.join(ta, "a").join(tb, "b").select("a", "b", "shifts", "ta", "tb"), p)
 
     pairs = materialize(aligned(links.union(linked(stretches))), "passage-pairs")
-    discard(stretches)
     found = materialize(confirmed(pairs), "confirmed")
     rows = found.where("key is null").drop("key").distinct()
     if p.tokens - p.common < p.shingle:
@@ -449,12 +480,11 @@ def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id",
         return rows
     opened = context.broadcast(marked(left))
     changed = context.broadcast(marked(differing(docs, p, lambda: opened.value)))
-    gapped = materialize(keyed(docs, p, lambda t: t.gapped_stretches(opened.value, changed.value)), "gapped-stretches")
+    gapped = keyed(docs, p, lambda t: t.gapped_stretches(opened.value, changed.value))
     # Pairs that were not aligned so are confirmed on all their shifts.
     known = pairs.withColumnRenamed("shifts", "known")
     more = aligned(linked(gapped)).join(known, ["a", "b"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<int>")))
     more = materialize(more.where("size(array_except(shifts, known)) > 0").select("a", "b", F.array_union("shifts", "known").alias("shifts")), "gapped-pairs")
-    discard(gapped)
     again = more.select("a", "b")
     rows = rows.join(again, (F.greatest("doc_id", "partner_id") == again["a"]) & (F.least("doc_id", "partner_id") == again["b"]), "left_anti")
     return rows.union(confirmed(more).where("key is null").drop("key").distinct())

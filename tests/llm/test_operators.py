@@ -393,3 +393,19 @@ def pa_texts(texts):
     import pyarrow as pa
 
     return pa.array(texts, pa.string())
+
+
+def test_keys_are_ordered_by_text_and_place():
+    rng = np.random.default_rng(5)
+    key, doc, place = (rng.integers(0, n, 5000) for n in (3000, 4, 50))
+    assert [(key[i], doc[i], place[i]) for i in passages.by_key(key, doc, place)] == sorted(zip(key, doc, place))
+    assert passages.by_key(*np.zeros((3, 0), np.int64)).tolist() == []
+
+
+def test_windows_are_linked_without_a_table_between(spark, docs, monkeypatch):
+    names = []
+    real = passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df, name: names.append(name) or real(df, name))
+    first = spark.createDataFrame([(i, prose(40_000, 60) + f" end{i}") for i in range(6)], "doc_id long, text string").repartition(3)
+    assert {g[0] for g in by_id(passages.passages(first), "partner_id")} == set(range(6))
+    assert not {"windows", "stretches", "gapped-stretches"} & set(names)
