@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from marketlake.llm import flat
 from marketlake.llm.graph import components
-from marketlake.session import materialize
+from marketlake.session import materialize, small_batches
 
 #: Minwise tokens kept of each set.
 TOKENS = 48
@@ -29,6 +29,8 @@ TOKENS = 48
 SENT_BYTES = 16_000_000
 #: Bytes of text worked on at a time; shingles take many times as much.
 SLICE_BYTES = 500_000
+#: Bytes of rows sent to Python at a time.
+BATCH_BYTES = 4_000_000
 _RNG = np.random.default_rng(20240229)
 _FACTOR = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
@@ -200,9 +202,9 @@ def across(met: DataFrame, join: Join) -> DataFrame:
 
     def load(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         part = pa.RecordBatch.from_struct_array(column)
-        data, at = flat.texts(part.column("text"))
-        sets, first = shingles(data, at, join.words)
-        size = np.diff(first)
+        found = [shingles(*flat.texts(piece.column("text")), join.words) for piece in flat.slices(part, most=SLICE_BYTES)]
+        sets, size = np.concatenate([s for s, _ in found]), np.concatenate([np.diff(f) for _, f in found])
+        first = np.concatenate([[0], np.cumsum(size)])
         prints = np.zeros(len(size), np.uint64)
         full = np.flatnonzero(size > 0)
         prints[full] = np.add.reduceat(sets, first[full]) if len(full) else 0
@@ -237,6 +239,12 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id"
     with the same set, repeated rows included, form one class with the smallest id; a NULL id
     never names a class with other ids. Only classes are compared. Other columns are not read.
     """
+    # Everything that Python works on is written inside; a row of blocks alone has up to two blocks of text.
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _near_duplicates(docs, join, doc_id, text)
+
+
+def _near_duplicates(docs: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     marked = materialize(signatures(docs, join, "doc_id", "text"), "signatures")
     classes = marked.where("n > 0 and doc_id is not null").groupBy("f", "g", "n").agg(

@@ -409,3 +409,13 @@ def test_windows_are_linked_without_a_table_between(spark, docs, monkeypatch):
     first = spark.createDataFrame([(i, prose(40_000, 60) + f" end{i}") for i in range(6)], "doc_id long, text string").repartition(3)
     assert {g[0] for g in by_id(passages.passages(first), "partner_id")} == set(range(6))
     assert not {"windows", "stretches", "gapped-stretches"} & set(names)
+
+
+def test_python_gets_small_batches_of_blocks(spark, docs, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    real, before = neardup.materialize, spark.conf.get(name)
+    monkeypatch.setattr(neardup, "materialize", lambda df, what: seen.append(spark.conf.get(name)) or real(df, what))
+    rows = spark.createDataFrame([(i, prose(50_000 + i // 2, 60)) for i in range(8)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(rows).collect()}
+    assert got == {(i, i - i % 2) for i in range(8)}
+    assert set(seen) == {str(neardup.BATCH_BYTES)} and spark.conf.get(name) == before
