@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.llm import decontam, neardup, pieces, pii, quality
-from marketlake.session import materialize
+from marketlake.session import materialize, small_batches
+
+#: Bytes of rows sent to Python at a time, and of text encoded at a time: a worker's memory stays small beside a full heap.
+BATCH_BYTES, SLICE_BYTES = 4_000_000, 500_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,10 +53,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to the text again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = pieces.encode(docs.select("doc_id", "text", "lang", "source"), model)
-    back = pieces.decode(ids, model)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    back = pieces.encode(docs.select("doc_id", "text", "lang", "source"), model, decoded="decoded", slice_bytes=SLICE_BYTES)
+    out = back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                      (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    # Written here, so that the size of what Python gets holds.
+    with small_batches(spark, BATCH_BYTES):
+        return materialize(out, "token-ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -212,13 +212,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(load(path))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None,
+           slice_bytes: int = flat.SLICE_BYTES) -> DataFrame:
     """Add the ids of every whole text, as the library encodes it without begin or end ids.
 
     NULL and empty texts have no ids. Rows are encoded where they lie, in slices of bounded
-    size; repeated rows give repeated results; an existing column ``out`` is replaced.
+    size; repeated rows give repeated results; an existing column ``out`` is replaced. With
+    ``decoded`` the text of the ids is added too, by the same Python worker.
     """
-    keep = [c for c in docs.columns if c != out]
+    keep = [c for c in docs.columns if c not in (out, decoded)]
     names = [f"k{i}" for i in range(len(keep))]
     inner = docs.select(*[docs[c].alias(k) for k, c in zip(names, keep)])
     at_text = names[keep.index(text)]
@@ -226,12 +228,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for part in flat.slices(batch, at_text):
+            for part in flat.slices(batch, at_text, slice_bytes):
                 ids, size = coder.texts(part.column(at_text).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names], lists], [*names, "ids"])
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    made.append(pa.array(coder.pieces.decode(ids.astype(np.int64), size), pa.string()))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names], *made], [*names, "ids", "decoded"][: len(names) + len(made)])
 
-    return _renamed(inner.mapInArrow(run, _ddl(docs, keep) + ", ids array<int>"), keep, "ids", out)
+    rows = inner.mapInArrow(run, _ddl(docs, keep) + ", ids array<int>" + (", decoded string" if decoded else ""))
+    return _renamed(rows, keep, {"ids": out} | ({"decoded": decoded} if decoded else {}))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -252,12 +257,12 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 texts = pieces.decode(np.asarray(column.flatten()).astype(np.int64), size)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in names], pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return _renamed(inner.mapInArrow(run, _ddl(docs, keep) + ", decoded string"), keep, "decoded", out)
+    return _renamed(inner.mapInArrow(run, _ddl(docs, keep) + ", decoded string"), keep, {"decoded": out})
 
 
 def _ddl(docs: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
 
-def _renamed(df: DataFrame, keep: list[str], made: str, out: str) -> DataFrame:
-    return df.select(*[df[f"k{i}"].alias(c) for i, c in enumerate(keep)], df[made].alias(out))
+def _renamed(df: DataFrame, keep: list[str], made: dict[str, str]) -> DataFrame:
+    return df.select(*[df[f"k{i}"].alias(c) for i, c in enumerate(keep)], *[df[m].alias(out) for m, out in made.items()])

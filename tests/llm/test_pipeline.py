@@ -53,3 +53,17 @@ def test_an_empty_table_passes(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_token_ids_need_one_worker_a_task_and_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    real, before = corpus_pipeline.materialize, spark.conf.get(name)
+
+    def write(df, what):
+        seen.append((spark.conf.get(name), df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")))
+        return real(df, what)
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", write)
+    docs = spark.createDataFrame([(1, "two words", "en", "x"), (2, None, "en", "x")], "doc_id long, text string, lang string, source string")
+    assert sorted(tuple(r)[0:1] + (r["round_trip"],) for r in corpus_pipeline.token_ids(spark, docs, "").collect()) == [(1, True), (2, True)]
+    assert seen == [(str(corpus_pipeline.BATCH_BYTES), 1)] and spark.conf.get(name) == before
