@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over one text: where their tokens end together.
 
-Token lists of a slice of documents are flattened with their parents, byte ends are cumulative
-sums within each document, and a hash join on (document, end) finds the ends both share. They
+Token lists of a slice of documents lie flat with their parents, byte ends are cumulative sums
+within each document, and a hash join on (document, end) finds the ends both share. They
 cut a text into groups of tokens and link the two tokens that end there. Linked id pairs are
 counted for each bucket of text; Spark adds the buckets' counts up, finds for each id of the
 second vocabulary its most frequent partners, and hands every bucket the totals of its own pairs.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from marketlake.session import materialize
 #: Bytes of text whose pairs are counted together.
 BUCKET_BYTES = 4_000_000
 #: Distinct words kept encoded by a worker.
-POOL_WORDS = 200_000
+POOL_WORDS = 300_000
 _MARK = np.uint16(0xFFFF)
 #: Both tokenizers end a token before a space with a character after it; elsewhere a text is cut for the first one only.
 _ODD = re.compile(r" \s|▁")
@@ -63,6 +64,8 @@ class Coder:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        # Spark's tasks use the cores; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(first)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         letters = byte_letters()
@@ -76,24 +79,25 @@ class Coder:
         piece = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.b = Spelling([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(pieces.SPACE, " ").encode() for i, p in enumerate(piece)])
         self.library, self.whole = sp, pieces.encoder(second)
-        # A word's ids by the first vocabulary, then those by the second; how many the first has, by code.
-        self.words, self.n_first = WordPool(self._both, POOL_WORDS), np.empty(0, np.int64)
+        # How many ids a word has by the first vocabulary, these, and then those by the second.
+        self.words = WordPool(self._both, POOL_WORDS, recurring=True)
 
     def _both(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A word stands for itself after a space; one that starts with a space is literal, and only for the first vocabulary."""
         plain = np.array([w[0] != " " for w in words])
         ids, size = self._first([w for w, p in zip(words, plain.tolist()) if p])
         literal = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if w[0] == " "], add_special_tokens=False)]
-        found = [x if p else [] for p, x in zip(plain.tolist(), _in_places(plain, self.library.encode([w for w in words if w[0] != " "], num_threads=1)))]
-        n_a, n_b = np.empty(len(words), np.int64), np.array([len(x) for x in found], np.int64)
-        n_a[plain], n_a[~plain] = size, [len(x) for x in literal]
-        both, start = np.empty(int((n_a + n_b).sum()), np.int32), np.cumsum(n_a + n_b) - n_a - n_b
+        found = self.library.encode([w for w in words if w[0] != " "], num_threads=1)
+        n_a, n_b = np.empty(len(words), np.int64), np.zeros(len(words), np.int64)
+        n_a[plain], n_a[~plain], n_b[plain] = size, [len(x) for x in literal], [len(x) for x in found]
+        total = 1 + n_a + n_b
+        both, start = np.empty(int(total.sum()), np.int32), np.cumsum(total) - total
+        both[start] = n_a
+        start += 1
         both[spread(start[plain], n_a[plain])] = ids
         both[spread(start[~plain], n_a[~plain])] = [i for x in literal for i in x]
         both[spread(start + n_a, n_b)] = np.fromiter(chain.from_iterable(found), np.int32, int(n_b.sum()))
-        # The pool starts anew now and then.
-        self.n_first = np.concatenate([self.n_first[: len(self.words.code)], n_a])
-        return both, n_a + n_b
+        return both, total
 
     def _first(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words are encoded side by side in texts, since a token always ends before each, and cut by their bytes."""
@@ -118,8 +122,9 @@ class Coder:
             ends.append(len(words))
         at = np.array(ends)
         code = self.words.codes(words)
-        start, n_a = self.words.start[code], self.n_first[code]
-        n_b = self.words.size[code] - n_a
+        start = self.words.start[code]
+        n_a = self.words.ids[start].astype(np.int64)
+        start, n_b = start + 1, self.words.size[code] - 1 - n_a
         per_text = [np.diff(np.concatenate([[0], np.cumsum(n)])[at]) for n in (n_a, n_b)]
         ids_a = self.words.ids[spread(start, n_a)]
         simple = np.repeat(plain, np.diff(at))
@@ -134,24 +139,12 @@ class Coder:
         return (ids_a, per_text[0]), (ids_b, size)
 
 
-def _in_places(where: np.ndarray, values: list) -> list:
-    """Values laid where the flags are set, None elsewhere."""
-    out, each = [None] * len(where), iter(values)
-    for i in np.flatnonzero(where).tolist():
-        out[i] = next(each)
-    return out
-
-
 @lru_cache(maxsize=1)
 def coder(first: str, second: str) -> Coder:
     """One coder and its pools of words for all tasks of a worker."""
     return Coder(first, second)
 
 
-def lists(ids: np.ndarray, size: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))
-
-
 def spelled_as(spelling: Spelling, ids: np.ndarray, size: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which documents' tokens spell out exactly their bytes."""
     n_bytes = spelling.size[ids]
@@ -169,24 +162,28 @@ def spelled_as(spelling: Spelling, ids: np.ndarray, size: np.ndarray, data: np.n
     return good
 
 
-def ends_of(tokens: pa.ListArray, spelling: Spelling) -> pa.Table:
-    """One row a token: its document and the byte where it ends there, as one key, and its place."""
-    doc = pc.list_parent_indices(tokens).cast(pa.int64())
-    size = pa.array(spelling.size).take(pc.list_flatten(tokens))
-    end = pc.cumulative_sum(size)
-    # Segmented: what the documents before it hold is subtracted.
-    total = np.concatenate([[0], np.asarray(end)])[np.asarray(tokens.offsets)[:-1]]
-    key = pc.add(pc.multiply(doc, 1 << 32), pc.subtract(end, pa.array(total).take(doc)))
-    return pa.table({"key": key, "place": pa.array(np.arange(len(doc)))})
+def ends_of(ids: np.ndarray, size: np.ndarray, spelling: Spelling, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its document and the byte where it ends there, as one key: the place among the bytes of all documents."""
+    doc = np.repeat(np.arange(len(size)), size)
+    end = np.cumsum(spelling.size[ids])
+    # Segmented: what the documents before it hold is subtracted, and where its own begins is added.
+    total = np.concatenate([[0], end])[np.cumsum(size) - size]
+    return doc, end + (at[:-1] - total)[doc]
+
 
+def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], spell_a: Spelling, spell_b: Spelling,
+           at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place in A and place in B of all tokens (ids, how many a document) that end together, in order.
 
-def linked(a: pa.ListArray, b: pa.ListArray, spell_a: Spelling, spell_b: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place in A and place in B of all tokens that end together, in order."""
-    left, right = ends_of(a, spell_a), ends_of(b, spell_b).rename_columns(["key", "other"])
-    met = left.join(right, keys="key", join_type="inner", use_threads=False)
-    first, second = np.asarray(met["place"].combine_chunks()), np.asarray(met["other"].combine_chunks())
-    order = np.argsort(first)
-    return np.asarray(met["key"].combine_chunks())[order] >> 32, first[order], second[order]
+    A hash join on (document, end): keys are places among the bytes ``at``, so the table of B's ends needs one slot for each byte and
+    no two keys share one.
+    """
+    (doc, key), (_, other) = ends_of(*a, spell_a, at), ends_of(*b, spell_b, at)
+    slot = np.full(int(at[-1]) + 1, -1, np.int32)
+    slot[other] = np.arange(len(other), dtype=np.int32)
+    second = slot[key]
+    first = np.flatnonzero(second >= 0)
+    return doc[first], first, second[first].astype(np.int64)
 
 
 class Bucket:
@@ -210,7 +207,8 @@ class Bucket:
             good = spelled_as(self.coder.a, ids_a, n_a, data, at) & spelled_as(self.coder.b, ids_b, n_b, data, at)
             if not good.all():
                 ids_a, ids_b, n_a, n_b, full = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)], n_a[good], n_b[good], full[good]
-            doc, first, second = linked(lists(ids_a, n_a), lists(ids_b, n_b), self.coder.a, self.coder.b)
+                at = np.concatenate([[0], np.cumsum(np.diff(at)[good])])
+            doc, first, second = linked((ids_a, n_a), (ids_b, n_b), self.coder.a, self.coder.b, at)
             pairs = ids_a[first].astype(np.int64) * len(self.coder.b.size) + ids_b[second]
             n[0, full], n[1, full] = n_a, n_b
             n[2, full] = n[3, full] = np.bincount(doc, minlength=len(full))

@@ -228,3 +228,22 @@ def test_phrases_equal_plain_code(docs, monkeypatch, held):
         assert got == phrases_by_hand(rows, mining.least, mining.cover, mining.top, mining.scale)
     assert collocations.collocations(docs.limit(0)).count() == 0
     assert collocations.collocations(docs.where("text is null or text = ''")).count() == 0
+
+
+def test_a_pool_keeps_the_words_that_come_up_again():
+    import numpy as np
+
+    from marketlake.llm.pool import WordPool
+
+    asked = []
+
+    def encode(words):
+        asked.append(list(words))
+        return np.concatenate([np.arange(len(w)) + ord(w[0]) for w in words]), np.array([len(w) for w in words])
+
+    pool = WordPool(encode, 6, recurring=True)
+    for words in (["aa", "b"], ["b", "ccc", "d"], ["e", "ff", "g", "b"], ["ccc", "b", "h"]):
+        ids, size = pool.gather(pool.codes(words))
+        assert size.tolist() == list(map(len, words)) and ids.tolist() == [ord(w[0]) + i for w in words for i in range(len(w))]
+    # Beyond six words the pool was renewed: what came up once is encoded again, what came up again is not.
+    assert asked == [["aa", "b"], ["ccc", "d"], ["e", "ff", "g"], ["ccc", "h"]]
