@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SENT_BYTES = 16_000_000
 SLICE_BYTES = 500_000
 #: Bytes of rows sent to Python at a time.
 BATCH_BYTES = 4_000_000
+#: Shared shingles of two blocks that are compared at a time.
+COLUMNS = 1 << 15
 _RNG = np.random.default_rng(20240229)
 _FACTOR = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
@@ -215,14 +218,17 @@ def across(met: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             for out, every in zip(batch.column("out"), batch.column("all")):
                 (ia, ca, ra, xa, na), (ib, cb, rb, xb, nb) = load(out.values), load(every.values)
-                values, spot = np.unique(np.concatenate([xa, xb]), return_inverse=True)
+                # Only shingles that both sides hold count, as columns, so many at a time.
+                values = np.intersect1d(xa, xb)
                 common = np.zeros((len(ia), len(ib)), np.float32)
-                for low in range(0, len(values), 1 << 15):
-                    left, right = (np.zeros((len(i), 1 << 15), np.float32) for i in (ia, ib))
-                    for grid, rows, spots in ((left, ra, spot[: len(xa)]), (right, rb, spot[len(xa):])):
-                        use = (spots >= low) & (spots < low + (1 << 15))
-                        grid[rows[use], spots[use] - low] = 1
-                    common += left @ right.T
+                for low in range(0, len(values), COLUMNS):
+                    columns, grids = values[low: low + COLUMNS], []
+                    for ids, rows, held in ((ia, ra, xa), (ib, rb, xb)):
+                        spot = np.minimum(np.searchsorted(columns, held), len(columns) - 1)
+                        use = columns[spot] == held
+                        grids.append(np.zeros((len(ids), len(columns)), np.float32))
+                        grids[-1][rows[use], spot[use]] = 1
+                    common += grids[0] @ grids[1].T
                 total = na[:, None] + nb[None, :] - common
                 good = (100 * common >= join.percent * total) & (common > 0) & (ca[:, None] != cb[None, :]) & (na[:, None] > 0) & (nb[None, :] > 0)
                 i, j = np.nonzero(good)
@@ -270,12 +276,10 @@ def _near_duplicates(docs: DataFrame, join: Join, doc_id: str, text: str) -> Dat
         ta, tb = wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), wanted.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return materialize(similar(pairs.join(ta, "a").join(tb, "b"), join), name)
 
-    within = None
-    for members in small:
-        lists = members.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-        made = lists.select(F.explode(F.expr(
-            "flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
-        within = made if within is None else within.union(made)
+    # Nodes of all levels are told apart by their hashes, so they are gathered at once.
+    lists = reduce(DataFrame.union, small).groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    within = lists.select(F.explode(F.expr(
+        "flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.a", "p.b")
     candidates = checked(within, "candidates")
     # First the most similar partner of each class, in small nodes and in blocks of large ones: a forest that connects most.
     best = candidates.select("a", "b", "equal").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))

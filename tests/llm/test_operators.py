@@ -419,3 +419,39 @@ def test_python_gets_small_batches_of_blocks(spark, docs, monkeypatch):
     got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(rows).collect()}
     assert got == {(i, i - i % 2) for i in range(8)}
     assert set(seen) == {str(neardup.BATCH_BYTES)} and spark.conf.get(name) == before
+
+
+def test_a_round_of_components_writes_two_tables(spark, monkeypatch):
+    names = []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: names.append(name) or real(df, name))
+    edges = spark.createDataFrame([(1, 2), (3, 2), (2, 1), (9, 8), (8, 7), (3, 4)], "a long, b long")
+    got = {(r["node"], r["component"]) for r in graph.components(edges).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
+    assert names[:2] == ["edges", "labels"] and set(zip(names[2::2], names[3::2])) == {("hooked", "labels")}
+
+
+@pytest.mark.parametrize("columns", [1 << 15, 7])
+def test_blocks_are_compared_on_the_shingles_both_hold(spark, monkeypatch, columns):
+    monkeypatch.setattr(neardup, "COLUMNS", columns)
+    join, base = neardup.Join(), prose(60_000, 80).split()
+    texts = [" ".join(base), " ".join(base[:79] + ["other"]), " ".join(base[:40] + prose(60_001, 40).split()), prose(60_002, 50)]
+    sets = [neardup.shingles(*flat.texts(neardup.pa.array([t])), join.words)[0] for t in texts]
+    rows = [(i, i, int(np.add.reduce(s).view(np.int64)), t) for i, (t, s) in enumerate(zip(texts, sets))]
+    width, zeros = [], np.zeros
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, **k: width.append(shape) or zeros(shape, *a, **k))
+    member = "array<struct<id long, c long, f long, text string>>"
+    made = []
+
+    class Frame:
+        schema = spark.createDataFrame([], f"out {member}, all {member}").schema
+
+        def mapInArrow(self, run, ddl):
+            struct = neardup.pa.struct([(n, neardup.pa.string() if n == "text" else neardup.pa.int64()) for n in ("id", "c", "f", "text")])
+            column = neardup.pa.array([[dict(zip(("id", "c", "f", "text"), r)) for r in rows]], neardup.pa.list_(struct))
+            made.extend(run(iter([neardup.pa.RecordBatch.from_arrays([column, column], ["out", "all"])])))
+
+    neardup.across(Frame(), join)
+    assert {tuple(x.values()) for b in made for x in b.to_pylist()} == {(0, 1)}
+    # No grid is wider than what both sides hold.
+    assert max(s[1] for s in width if isinstance(s, tuple) and len(s) == 2) <= min(columns, len(np.unique(np.concatenate(sets))))
