@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm import flat
-from marketlake.session import materialize
+from marketlake.session import materialize, small_batches
 
+#: Bytes of rows sent to Python at a time, and of text worked on at a time; hashes take many times as much.
+BATCH_BYTES, SLICE_BYTES = 4_000_000, 500_000
 #: Bits that mark keys of several texts, and how many of them one row of the table holds. They
 #: only spare rows: where two keys share a bit, stretches are grouped that need not be.
 MARKS, MARKS_ROW = 1 << 27, 1 << 15
@@ -277,8 +279,10 @@ def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndar
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, doc, place = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
             order = by_key(key, doc, place)
             key, doc, place = key[order], doc[order], place[order]
+            del order
             to = star(key, doc)
             none = to < 0
             part = (key[none] >> np.uint64(64 - PART_BITS)).astype(np.int64)
@@ -289,7 +293,7 @@ def keyed(docs: DataFrame, p: Passages, hashed: Callable[[Tokens], tuple[np.ndar
             yield packed(starts, -1 - (key[starts] >> np.uint64(64 - PART_BITS)).astype(np.int64), key.view(np.int64), doc, place, *[e[to] for e in ends])
 
         for batch in batches:
-            for part in flat.slices(batch):
+            for part in flat.slices(batch, most=SLICE_BYTES):
                 key, row, place = hashed(Tokens(part.column("text"), p))
                 held.append((key, np.asarray(part.column("doc"))[row], place))
                 size += part.column("text").nbytes
@@ -345,7 +349,7 @@ def differing(docs: DataFrame, p: Passages, opened: Callable[[], np.ndarray]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.slices(batch):
+            for part in flat.slices(batch, most=SLICE_BYTES):
                 key, word = Tokens(part.column("text"), p).changing(opened())
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word.astype(np.uint32).view(np.int32))], ["key", "word"])
 
@@ -388,7 +392,7 @@ def confirm(pairs: DataFrame, p: Passages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.slices(batch, "ta"):
+            for part in flat.slices(batch, "ta", SLICE_BYTES):
                 tokens = []
                 for text in ("ta", "tb"):
                     data, at = flat.texts(part.column(text))
@@ -452,6 +456,12 @@ def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id",
     rows; rows with one id are one document; other columns are not read. The texts are
     compared pair by pair, so a key's group is never gathered.
     """
+    # Everything that Python works on is written inside.
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _passages(docs, p, doc_id, text)
+
+
+def _passages(docs: DataFrame, p: Passages, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].alias("text")).where("doc is not null and text is not null")
     context = docs.sparkSession.sparkContext
     links = materialize(linked(keyed(docs, p, Tokens.keys)), "links")
@@ -487,4 +497,4 @@ def passages(docs: DataFrame, p: Passages = Passages(), doc_id: str = "doc_id",
     more = materialize(more.where("size(array_except(shifts, known)) > 0").select("a", "b", F.array_union("shifts", "known").alias("shifts")), "gapped-pairs")
     again = more.select("a", "b")
     rows = rows.join(again, (F.greatest("doc_id", "partner_id") == again["a"]) & (F.least("doc_id", "partner_id") == again["b"]), "left_anti")
-    return rows.union(confirmed(more).where("key is null").drop("key").distinct())
+    return rows.union(materialize(confirmed(more).where("key is null").drop("key").distinct(), "gapped-confirmed"))

@@ -455,3 +455,16 @@ def test_blocks_are_compared_on_the_shingles_both_hold(spark, monkeypatch, colum
     assert {tuple(x.values()) for b in made for x in b.to_pylist()} == {(0, 1)}
     # No grid is wider than what both sides hold.
     assert max(s[1] for s in width if isinstance(s, tuple) and len(s) == 2) <= min(columns, len(np.unique(np.concatenate(sets))))
+
+
+def test_python_gets_small_batches_of_windows(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    real, before = passages.materialize, spark.conf.get(name)
+    monkeypatch.setattr(passages, "materialize", lambda df, what: seen.append(spark.conf.get(name)) or real(df, what))
+    # Keys that stay open, so that all steps take part.
+    part, ends = prose(70_000, 40).split(), [prose(70_001 + i, 30).split() for i in range(2)]
+    rows = [(1, " ".join(part))] + [(2 + i, " ".join([*ends[0], *part[:20], f"w{i}", *part[21:], *ends[1]])) for i in range(3)]
+    out = passages.passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == {2, 3, 4}
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert set(seen) == {str(passages.BATCH_BYTES)} and spark.conf.get(name) == before
