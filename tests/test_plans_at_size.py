@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import same
+from pyspark.sql import DataFrame
 
 from marketlake.operators.deltas import odds_around, odds_of_starts
 from marketlake.operators.features import training_rows
@@ -36,6 +37,16 @@ def test_model_meets_features_without_a_shuffle(spark, sf_dir):
     assert "SortMergeJoin [feature" not in plan(spark, sf_dir, "ridge_residual")
 
 
+def test_fit_holds_no_rows_in_memory_and_moves_none(spark, sf_dir, monkeypatch):
+    def persist(self, *level):
+        raise AssertionError("rows are cached on the executors")
+
+    for kind in {DataFrame, type(spark.range(1))}:
+        monkeypatch.setattr(kind, "persist", persist)
+    shown = plan(spark, sf_dir, "ridge_residual")
+    assert "SortMergeJoin" not in shown and "FileScan parquet" in shown and "own_picks" not in shown
+
+
 def test_shares_of_tasks_are_bounded(spark):
     assert int(RUNTIME_CONF["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) >= 1000
     assert RUNTIME_CONF["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "12m" and RUNTIME_CONF["spark.sql.files.maxPartitionBytes"] == "32m"
