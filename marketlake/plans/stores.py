@@ -9,7 +9,7 @@ from ..functions.numbers import sql_round
 from ..operators.calibration import brier, rejected
 from ..operators.catalog import coverage_of_counts, event_outages
 from ..operators.scoring import prefix_state
-from ..session import scratch_path
+from ..session import scratch_path, shuffles_dropped
 from ..sinks.export import export_events
 from ..sinks.rollup import Rollup
 from ..sinks.upsert import latest, upsert
@@ -17,7 +17,7 @@ from ..sources.legacy import GROWING, import_legacy_tables, read_dump
 from ..sources.matches import load_match_csv, reload_games
 from .draft import order_drafts
 from .registry import query, rounded
-from .trading import EARLY, NOW, _export_tables, match_csv
+from .trading import EARLY, NOW, _export_tables, match_loads
 
 _EVENTS_SQL = """
 WITH o AS (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS g,
@@ -120,14 +120,11 @@ SELECT game_id, min(o_orderpriority) AS league, CAST(epoch(max(d)) AS BIGINT) AS
 FROM k GROUP BY game_id""")
 def match_files(t):
     """Match rows in two CSV files, the second with other winners and a day later; both loaded one after the other."""
-    csv = match_csv(t).drop("file", "row").withColumn("key", F.col("gameid").cast("long"))
     path = scratch_path(t.spark, "matches")
-    day_later = F.date_format(F.to_timestamp("date") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss")
-    turned = csv.withColumn("date", day_later).withColumn("result", F.when(F.col("side") == "Red", "1").otherwise("0"))
-    for name, rows in (("a", csv.filter("key % 3 <> 0")), ("b", turned.filter("key % 3 <> 1"))):
-        # A game's rows lie in one file, as they are published.
-        rows.repartition("gameid").drop("key").write.option("header", True).csv(f"{path}/{name}")
-    first, second = (load_match_csv(t.spark, f"{path}/{name}")["oe_games"] for name in "ab")
+    # A game's rows lie in one file, as they are published.
+    with shuffles_dropped(t.spark):
+        match_loads(t).write.partitionBy("load").option("header", True).option("compression", "gzip").csv(path)
+    first, second = (load_match_csv(t.spark, f"{path}/load={name}")["oe_games"] for name in "ab")
     return reload_games(first, second)
 
 

@@ -651,26 +651,56 @@ def ticker_times(t):
 
 # ---------------------------------------------------------------- match statistics
 
-def match_csv(t):
-    """Order lines as match rows: a player row per line, and a team row per line holding it as pick and ban."""
-    j = (t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(t("part"), F.col("l_partkey") == F.col("p_partkey")))
-    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity",
-                   "l_returnflag")
+def _match_columns():
+    """Columns of a match row that all rows of an order line share, and those of its team and its player row."""
     common = [F.col("l_orderkey").cast("string").alias("gameid"), F.col("o_orderpriority").alias("league"),
               F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("date"),
               F.lit("1.0").alias("game"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy").alias("patch"),
               F.when(F.col("l_linestatus") == "F", "Blue").otherwise("Red").alias("side"),
               F.when(F.col("l_linestatus") == F.col("o_orderstatus"), "1").otherwise("0").alias("result"),
-              F.concat(F.lit("T"), "l_linestatus").alias("teamname"), F.lit("f").alias("file"), row.alias("row")]
+              F.concat(F.lit("T"), "l_linestatus").alias("teamname")]
     slot = (F.col("l_linenumber") - 1) % 5 + 1
     nothing = F.lit(None).cast("string")
-    team = j.select(*common, F.lit("team").alias("position"), nothing.alias("champion"),
-                    *[F.when(slot == i, F.concat(F.lit(" "), "p_brand")).alias(f"pick{i}") for i in range(1, 6)],
-                    *[F.when(slot == i, F.col("p_type")).alias(f"ban{i}") for i in range(1, 6)])
-    player = j.select(*common, F.col("l_returnflag").alias("position"), F.col("p_brand").alias("champion"),
-                      *[nothing.alias(f"{k}{i}") for k in ("pick", "ban") for i in range(1, 6)])
-    return team.unionByName(player)
+    team = [F.lit("team").alias("position"), nothing.alias("champion"),
+            *[F.when(slot == i, F.concat(F.lit(" "), "p_brand")).alias(f"pick{i}") for i in range(1, 6)],
+            *[F.when(slot == i, F.col("p_type")).alias(f"ban{i}") for i in range(1, 6)]]
+    player = [F.col("l_returnflag").alias("position"), F.col("p_brand").alias("champion"),
+              *[nothing.alias(f"{k}{i}") for k in ("pick", "ban") for i in range(1, 6)]]
+    return common, team, player
+
+
+def match_csv(t):
+    """Order lines as match rows: a player row per line, and a team row per line holding it as pick and ban."""
+    j = (t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(t("part"), F.col("l_partkey") == F.col("p_partkey")))
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity",
+                   "l_returnflag")
+    common, team, player = _match_columns()
+    placed = [*common, F.lit("f").alias("file"), row.alias("row")]
+    return j.select(*placed, *team).unionByName(j.select(*placed, *player))
+
+
+def match_loads(t, lines_per_part: int = 50_000):
+    """The same rows in two loads ``a`` and ``b``, the second with other winners and a day later; each leaves out a third of the games.
+
+    Lines are joined once and dealt out by game while they are narrow; rows are made of them where they
+    then lie. A game's rows are in one partition, and a partition's share does not grow with the input.
+    """
+    parts = t("lineitem").count() // lines_per_part + 1
+    lines = (t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+             .select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "p_brand", "p_type"))
+    orders = t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    # Both sides are dealt out alike, so the join shuffles neither of them again.
+    j = lines.repartition(parts, "l_orderkey").join(orders.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    left_out = F.col("l_orderkey") % 3
+    j = j.withColumn("load", F.explode(F.array_compact(F.array(F.when(left_out != 0, "a"), F.when(left_out != 1, "b")))))
+    common, team, player = _match_columns()
+    rows = j.select("load", *common, F.inline(F.array(F.struct(*team), F.struct(*player))))
+    second = F.col("load") == "b"
+    day_later = F.date_format(F.to_timestamp("date") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss")
+    turned = F.when(F.col("side") == "Red", "1").otherwise("0")
+    return (rows.withColumn("date", F.when(second, day_later).otherwise(F.col("date")))
+            .withColumn("result", F.when(second, turned).otherwise(F.col("result"))))
 
 
 _LINES_SQL = """

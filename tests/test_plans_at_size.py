@@ -1,12 +1,15 @@
 """What keeps the queries over drafts linear in their input: their plans, and equal results of the shorter way."""
 
+import os
+
 import pytest
 from helpers import same
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketlake.operators.deltas import odds_around, odds_of_starts
 from marketlake.operators.features import training_rows
-from marketlake.plans import draft
+from marketlake.plans import draft, stores, trading
 from marketlake.plans.registry import QUERIES, Tables
 from marketlake.session import RUNTIME_CONF
 
@@ -69,3 +72,31 @@ def test_odds_of_starts_equal_as_of_odds(spark):
 
 def test_members_of_trades_are_taken_out_once(spark, sf_dir):
     assert plan(spark, sf_dir, "ticker_trades").count("$.created_time") == 1
+
+
+def test_match_files_are_small_and_whole(spark, sf_dir, tmp_path, monkeypatch):
+    kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(kept)
+    monkeypatch.setattr(stores, "scratch_path", lambda session, name: f"{tmp_path}/{name}")
+    QUERIES["match_files"](spark, sf_dir)
+    assert spark.conf.get(kept) == before
+    given = sum(os.path.getsize(f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders", "part"))
+    written = {str(p): p.stat().st_size for p in (tmp_path / "matches").rglob("part-*")}
+    assert sum(written.values()) < 2 * given
+    rows = trading.match_csv(Tables(spark, sf_dir)).drop("file", "row").withColumn("key", F.col("gameid").cast("long"))
+    for load, left_out in (("a", 0), ("b", 1)):
+        read = spark.read.option("header", True).csv(f"{tmp_path}/matches/load={load}").withColumn("at", F.input_file_name())
+        assert read.groupBy("gameid").agg(F.countDistinct("at").alias("n")).filter("n > 1").count() == 0
+        moved = [] if load == "a" else ["date", "result"]
+        columns = [F.trim(c).alias(c) for c in rows.columns if c not in ["key", *moved]]
+        want = rows.filter(f"key % 3 <> {left_out}")
+        assert want.count() > 1000 and same(read.select(columns), want.select(columns))
+        if load == "b":
+            assert read.filter("(result = '1') <> (side = 'Red')").count() == 0
+            at, dated = (x.select("gameid", F.to_timestamp("date").alias("date")).distinct() for x in (read, want))
+            assert at.join(dated.withColumnRenamed("date", "old"), "gameid").filter("date <> old + INTERVAL 1 DAY").count() == 0
+
+
+def test_lines_of_match_files_are_joined_once(spark, sf_dir):
+    shown = trading.match_loads(Tables(spark, sf_dir), lines_per_part=500)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("FileScan parquet [l_") == 1 and shown.count("Exchange hashpartitioning(l_orderkey") == 1
